@@ -47,17 +47,26 @@ def write_result(
     table: str,
     mode: str = "create",
     partition_by: tuple[str, ...] = ("scenario",),
+    path: str | None = None,
 ) -> None:
     """``create``: create or replace the table; ``append``: add rows by name;
-    ``replace``: overwrite only the scenarios present in ``df``."""
+    ``replace``: overwrite only the scenarios present in ``df``.
+
+    ``path`` makes a created table external, with its data at that location
+    (a shared folder); otherwise it lives in the catalog's warehouse.
+    """
     spark = df.sparkSession
     if mode == "create":
-        df.write.mode("overwrite").format("parquet").partitionBy(*partition_by).saveAsTable(table)
+        w = df.write.mode("overwrite").format("parquet").partitionBy(*partition_by)
+        if path:
+            w = w.option("path", path)
+        w.saveAsTable(table)
     elif mode == "append":
-        _check_schema(spark, df, table).write.mode("append").format("parquet").saveAsTable(table)
+        # aligned by name first, so the positional insert is safe
+        _check_schema(spark, df, table).write.insertInto(table, overwrite=False)
     elif mode == "replace":
         if not table_exists(spark, table):
-            return write_result(df, table, "create", partition_by)
+            return write_result(df, table, "create", partition_by, path)
         aligned = _check_schema(spark, df, table)
         # insertInto is positional: ``aligned`` is already in table order.
         (
@@ -69,10 +78,10 @@ def write_result(
         raise ValueError(f"unknown write mode {mode!r}")
 
 
-def create_or_append(df: DataFrame, table: str) -> str:
+def create_or_append(df: DataFrame, table: str, path: str | None = None) -> str:
     """Append when the table exists, else create it. Returns the mode used."""
     mode = "append" if table_exists(df.sparkSession, table) else "create"
-    write_result(df, table, mode)
+    write_result(df, table, mode, path=path)
     return mode
 
 

@@ -90,12 +90,15 @@ def write_scenario(
     mode: str = "auto",
     name: str | None = None,
     as_of_year: int | None = None,
+    root: str | None = None,
 ) -> DataFrame:
     """Run a scenario and write its tables in dependency order.
 
     ``mode``: ``auto`` (append if the table exists, else create; the
     reference's behaviour), ``append``, ``replace`` (overwrite only this
-    scenario's partition) or ``create``. Returns the audit counts.
+    scenario's partition) or ``create``. ``root``: folder for newly
+    created tables (external tables); default: the catalog's warehouse.
+    Returns the audit counts.
     """
     spec, _rows, codes = load_scenario(config, name)
 
@@ -105,7 +108,7 @@ def write_scenario(
             m = "append" if table_exists(spark, table) else "create"
         if pair_key is not None:
             df = df.withColumn("pair", F.lit(pair_key))
-        write_result(df, table, m)
+        write_result(df, table, m, path=None if root is None else f"{root.rstrip('/')}/{table}")
         back = spark.table(table).where(F.col("scenario") == F.lit(spec.name))
         if pair_key is not None:
             back = back.where(F.col("pair") == F.lit(pair_key)).drop("pair")
