@@ -22,7 +22,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from cohortlab.plans import registry  # noqa: E402
 from cohortlab.plans.scenario_run import ResultTables, write_scenario  # noqa: E402
 from cohortlab.plans.session import local_session, scratch_path  # noqa: E402
-from cohortlab.sources.fixtures import scenario_config, test_inputs  # noqa: E402
+from cohortlab.sources.fixtures import scenario_config, fixture_inputs  # noqa: E402
 
 HEADLINE = [
     "criterion_1",
@@ -50,7 +50,7 @@ def full_run(spark, sf_dir) -> float:
     tag = uuid.uuid4().hex[:8]
     tables = ResultTables(f"b_crit_{tag}", f"b_pair_{tag}", f"b_cohort_{tag}")
     write_scenario(
-        spark, test_inputs(spark, sf_dir), scenario_config(spark), tables, "auto", None, 2025,
+        spark, fixture_inputs(spark, sf_dir), scenario_config(spark), tables, "auto", None, 2025,
         root=scratch_path(spark, "bench"),
     ).collect()
     return time.perf_counter() - t0

@@ -10,10 +10,10 @@ Plan shape, chosen for skew and scale:
 1. ``matched``  claims x code list (broadcast, size-checked), date window per
    criterion. Scan-level filters (code IN list, overall date range) reach the
    Parquet scan.
-2. ``base``     distinct (criterion, patient, date, source, group, claim).
-   Partial aggregation collapses a hot patient's repeated lines before the
-   shuffle; both consumers below reuse this one exchange, so each claim
-   table is read once.
+2. ``base``     distinct (criterion, patient, date, source, group, claim),
+   written once to the shared scratch folder (see ``criterion_events``), so
+   each claim table is read once. Partial aggregation collapses repeated
+   lines before the shuffle.
 3. ``qualified`` per (criterion, patient): distinct groups and distinct
    claims against the thresholds.
 4. ``eligible``  qualified patients x patient reference, birth-year test,
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import age, age_band, birth_year_test, case_by
+from ..plans.materialize import materialize
 from ..sources.schemas import CRITERION_COLUMNS
 from ..sources.tables import ClaimInputs
 from ..spec import ScenarioSpec
@@ -196,15 +197,27 @@ def criterion_events(
     spec: ScenarioSpec,
     as_of_year: int | None = None,
     criteria: list[int] | None = None,
+    store: bool = True,
 ) -> DataFrame:
     """Events of every qualified patient, all criteria in one long table.
 
     Columns: ``CRITERION_COLUMNS``; rows are distinct (claim id dropped).
+
+    ``base`` feeds two consumers (the counts and the event rows). Catalyst
+    cannot share it between them: the counts only use duplicate-insensitive
+    aggregates, so it drops ``base``'s distinct in that branch and the claim
+    tables would be scanned twice. With ``store`` (the default) ``base`` is
+    written once to the shared scratch folder and both consumers read that;
+    matched claims are a small part of the claim tables.
     """
     matched = match_events(inputs.tagged_events(), codes, spec, criteria)
     base = distinct_claim_rows(matched)
+    if store:
+        base = materialize(base, "matched_claims")
     qualified = qualify_patients(patient_counts(base), spec)
     eligible = eligible_patients(qualified, inputs.patients, spec, as_of_year)
+    # Distinct event rows before the join: a hot patient's rows shrink to
+    # (date, source, group) combinations before they are shuffled to it.
     rows = base.select(*EVENT_KEY, "service_date", "source", "code_group").distinct()
     return rows.join(eligible, EVENT_KEY).select(
         *[

@@ -28,7 +28,7 @@ from ..operators.criterion import (
 )
 from ..operators.scenario import load_scenario
 from ..operators.sinks import audit_counts, create_or_append, preview_frame, write_result
-from ..sources.fixtures import LATEST_SCENARIO, scenario_config, test_inputs
+from ..sources.fixtures import LATEST_SCENARIO, scenario_config, fixture_inputs
 from ..sources.schemas import COHORT_COLUMNS, CRITERION_COLUMNS, PAIR_COLUMNS
 from ..sources.tables import ClaimInputs
 from ..spec import SOURCE_TAGS
@@ -42,7 +42,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 def _setup(spark: SparkSession, sf_dir: str, scenario: str | None):
     apply_engine_conf(spark)
-    inputs = test_inputs(spark, sf_dir)
+    inputs = fixture_inputs(spark, sf_dir)
     spec, rows, codes = load_scenario(scenario_config(spark), scenario)
     return inputs, spec, codes
 
@@ -50,14 +50,14 @@ def _setup(spark: SparkSession, sf_dir: str, scenario: str | None):
 # -- scans ---------------------------------------------------------------------
 def _scan(channel: str) -> QueryFn:
     def run(spark, sf_dir):
-        inputs = test_inputs(spark, sf_dir)
+        inputs = fixture_inputs(spark, sf_dir)
         return getattr(inputs, channel)
 
     return run
 
 
 def q_channel_tags(spark, sf_dir):
-    return test_inputs(spark, sf_dir).tagged_events()
+    return fixture_inputs(spark, sf_dir).tagged_events()
 
 
 def _tagged(inputs: ClaimInputs, channel: str) -> DataFrame:
@@ -137,7 +137,7 @@ def _claim_ok(n):
 
 def _age(with_band: bool) -> QueryFn:
     def run(spark, sf_dir):
-        p = with_age(test_inputs(spark, sf_dir).patients, AS_OF_YEAR)
+        p = with_age(fixture_inputs(spark, sf_dir).patients, AS_OF_YEAR)
         cols = ["patient_id", "birth_year", "age"] + (["age_group"] if with_band else [])
         return p.select(*cols)
 
@@ -158,7 +158,7 @@ def _pair(scenario: str | None, count: bool = False, method: str = "reduced") ->
     def run(spark, sf_dir):
         apply_engine_conf(spark)
         res = run_scenario(
-            spark, test_inputs(spark, sf_dir), scenario_config(spark), scenario, AS_OF_YEAR, method=method
+            spark, fixture_inputs(spark, sf_dir), scenario_config(spark), scenario, AS_OF_YEAR, method=method
         )
         df = res.pairs["12"]
         return empty_count(df) if count else df
@@ -170,7 +170,7 @@ def _cohort(scenario: str | None, count: bool = False, method: str = "reduced")
     def run(spark, sf_dir):
         apply_engine_conf(spark)
         res = run_scenario(
-            spark, test_inputs(spark, sf_dir), scenario_config(spark), scenario, AS_OF_YEAR, method=method
+            spark, fixture_inputs(spark, sf_dir), scenario_config(spark), scenario, AS_OF_YEAR, method=method
         )
         return empty_count(res.cohort) if count else res.cohort
 
@@ -180,7 +180,7 @@ def _cohort(scenario: str | None, count: bool = False, method: str = "reduced")
 def q_scenario_filter(spark, sf_dir):
     """Criterion inputs holding two scenarios; combine one of them."""
     apply_engine_conf(spark)
-    inputs = test_inputs(spark, sf_dir)
+    inputs = fixture_inputs(spark, sf_dir)
     cfg = scenario_config(spark)
     a = run_scenario(spark, inputs, cfg, "S_GE", AS_OF_YEAR)
     b = run_scenario(spark, inputs, cfg, "S_SEQ", AS_OF_YEAR)
@@ -259,7 +259,7 @@ def q_audit_counts(spark, sf_dir):
     apply_engine_conf(spark)
     tables = _result_tables(spark)
     write_scenario(
-        spark, test_inputs(spark, sf_dir), scenario_config(spark), tables, "auto", None, AS_OF_YEAR,
+        spark, fixture_inputs(spark, sf_dir), scenario_config(spark), tables, "auto", None, AS_OF_YEAR,
         root=scratch_path(spark, "tables"),
     )
     return audit_counts(
@@ -274,7 +274,7 @@ def q_stored_cohort(spark, sf_dir):
     apply_engine_conf(spark)
     tables = _result_tables(spark)
     write_scenario(
-        spark, test_inputs(spark, sf_dir), scenario_config(spark), tables, "auto", None, AS_OF_YEAR,
+        spark, fixture_inputs(spark, sf_dir), scenario_config(spark), tables, "auto", None, AS_OF_YEAR,
         root=scratch_path(spark, "tables"),
     )
     return spark.table(tables.cohort).select(*COHORT_COLUMNS)

@@ -40,7 +40,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def test_inputs(spark: SparkSession, sf_dir: str) -> ClaimInputs:
+def fixture_inputs(spark: SparkSession, sf_dir: str) -> ClaimInputs:
     """Claim channels and patients derived from the test tables."""
     customer = _t(spark, sf_dir, "customer")
     nation = _t(spark, sf_dir, "nation")
@@ -288,5 +288,5 @@ __all__ = [
     "pair_keys",
     "scenario_config",
     "sql_config",
-    "test_inputs",
+    "fixture_inputs",
 ]

@@ -15,7 +15,7 @@ from cohortlab.operators.sinks import (
     write_result,
 )
 from cohortlab.plans.scenario_run import ResultTables, write_scenario
-from cohortlab.sources.fixtures import scenario_config, test_inputs
+from cohortlab.sources.fixtures import scenario_config, fixture_inputs
 from conftest import SF_SMALL
 
 
@@ -54,7 +54,7 @@ def test_existence_errors_propagate(spark):
 
 def test_write_scenario_auto_twice(spark, tmp_path):
     tables = ResultTables("t_crit", "t_pair", "t_cohort")
-    inputs, cfg = test_inputs(spark, SF_SMALL), scenario_config(spark)
+    inputs, cfg = fixture_inputs(spark, SF_SMALL), scenario_config(spark)
     first = {r.table_name: r.n_rows for r in
              write_scenario(spark, inputs, cfg, tables, as_of_year=2025, root=str(tmp_path)).collect()}
     assert first == {"t_crit": 783 + 497 + 396, "t_pair": 585, "t_cohort": 136}
