@@ -35,10 +35,8 @@ from ..plans.materialize import materialize
 from ..sources.schemas import CRITERION_COLUMNS
 from ..sources.tables import ClaimInputs
 from ..spec import ScenarioSpec
+from .scenario import SCAN_CODE_FILTER_MAX
 
-# Code lists up to this many distinct codes are also applied as an IN filter
-# on the scan (pushed into Parquet); larger lists rely on the join alone.
-SCAN_CODE_FILTER_MAX = 2000
 # Code lists up to this many rows are broadcast to the claim scan; the list
 # comes from the scenario config, so its size is known before planning.
 BROADCAST_CODES_MAX = 200_000
@@ -57,15 +55,19 @@ def live_numbers(spec: ScenarioSpec) -> list[int]:
 def code_list(codes: DataFrame, spec: ScenarioSpec, criteria: list[int] | None = None):
     """The code list restricted to live criteria, plus scan hints.
 
-    Returns ``(codes_df, scan_codes, broadcastable)``; ``scan_codes`` is the
-    distinct code values when there are few enough to push into the scan.
+    Returns ``(codes_df, scan_codes, broadcastable)``: ``scan_codes`` are the
+    distinct code values when few enough to push into the scan (read with
+    the scenario's scalars, no extra job); ``broadcastable`` says the list's
+    row count, known from the config, is under ``BROADCAST_CODES_MAX``.
     """
-    wanted = [n for n in live_numbers(spec) if criteria is None or n in criteria]
+    crits = [c for c in spec.criteria if c.live and (criteria is None or c.number in criteria)]
+    wanted = [c.number for c in crits]
     live = codes.where(F.col("criterion").isin(wanted)) if wanted else _empty_like(codes)
-    sample = [r["code"] for r in live.select("code").distinct().limit(SCAN_CODE_FILTER_MAX + 1).collect()]
-    scan_codes = sample if len(sample) <= SCAN_CODE_FILTER_MAX else None
-    n_rows = live.count() if scan_codes is None else None
-    broadcastable = scan_codes is not None or n_rows <= BROADCAST_CODES_MAX
+    scan_codes = None
+    if crits and all(c.codes is not None for c in crits):
+        merged = sorted({code for c in crits for code in c.codes})
+        scan_codes = merged if len(merged) <= SCAN_CODE_FILTER_MAX else None
+    broadcastable = sum(c.code_rows for c in crits) <= BROADCAST_CODES_MAX
     return live, scan_codes, broadcastable
 
 

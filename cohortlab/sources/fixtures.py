@@ -62,9 +62,11 @@ def fixture_inputs(spark: SparkSession, sf_dir: str) -> ClaimInputs:
             .alias("birth_year"),
         )
     )
+    # part first: a code filter on p_brand then shrinks lineitem before the
+    # larger join with orders (same rows either way)
     dx = (
-        lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
-        .join(part, lineitem.l_partkey == part.p_partkey)
+        lineitem.join(part, lineitem.l_partkey == part.p_partkey)
+        .join(orders, lineitem.l_orderkey == orders.o_orderkey)
         .select(
             F.col("o_custkey").alias("patient_id"),
             F.col("l_shipdate").cast("date").alias("service_date"),
@@ -240,11 +242,30 @@ def config_rows(fx: ScenarioFixture) -> list[tuple]:
     return rows
 
 
+def _spark_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, dt.datetime):
+        return f"TIMESTAMP_NTZ '{v.isoformat(sep=' ')}'"
+    if isinstance(v, dt.date):
+        return f"DATE '{v.isoformat()}'"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(int(v))
+
+
 def scenario_config(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
-    """Config table holding the given fixture scenarios (default: all)."""
+    """Config table holding the given fixture scenarios (default: all).
+
+    Built as a SQL ``VALUES`` relation, so it is a local relation on the JVM
+    side (no Python rows to ship for every small config query).
+    """
     names = list(SCENARIOS) if names is None else names
     rows = [r for n in names for r in config_rows(SCENARIOS[n])]
-    return spark.createDataFrame(rows, schema=config_schema(3))
+    schema = config_schema(3)
+    values = ",\n".join("(" + ", ".join(_spark_literal(v) for v in r) + ")" for r in rows)
+    raw = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(schema.fieldNames())})")
+    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def _sql_literal(v) -> str:

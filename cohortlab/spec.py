@@ -53,6 +53,10 @@ class CriterionSpec:
     logic: str | None
     min_claims: int | None
     group_total: int
+    # distinct codes of the list when few enough to filter the scan, else None
+    codes: tuple[str, ...] | None = None
+    # distinct (code, group) rows of the list
+    code_rows: int = 0
 
     @property
     def groups_needed(self) -> int:
