@@ -87,9 +87,20 @@ def _right_summary(right: DataFrame, by: list[str], prefix: str = "_r_") -> Data
 
 
 def combine(
-    left: DataFrame, right: DataFrame, pair: PairSpec, keep_date: bool = True, scenario: str | None = None
+    left: DataFrame,
+    right: DataFrame,
+    pair: PairSpec,
+    keep_date: bool = True,
+    scenario: str | None = None,
+    left_complete: bool | None = None,
+    left_dated: bool | None = None,
 ) -> DataFrame:
-    """Same rows as ``combine_naive`` without the per-patient cross product."""
+    """Same rows as ``combine_naive`` without the per-patient cross product.
+
+    ``left_complete=True`` promises no NULL attribute on the left and
+    ``left_dated=True`` no NULL date; the fill paths (each an extra pass
+    over the right side) are then left out. ``None`` (default) keeps them.
+    """
     left, right, dead = _prepare(left, right, pair, keep_date, scenario)
     out = list(output_columns(keep_date))
     if dead:
@@ -122,19 +133,20 @@ def combine(
     # 2. left rows with a NULL attribute (date present or not output): fill
     #    from each passing right (attribute combination).
     incomplete = grouped.where(~complete)
-    dated = incomplete.where(F.col("service_date").isNotNull()) if keep_date else incomplete
-    by_attr = _right_summary(right, attrs)
     fill = [F.coalesce(F.col(c), F.col("_r_" + c)).alias(c) for c in attrs]
-    parts.append(
-        dated.join(by_attr, KEYS, how)
-        .where(passes())
-        .select(*KEYS, *(["service_date"] if keep_date else []), *fill)
-        .select(*out)
-    )
+    if not left_complete:
+        dated = incomplete.where(F.col("service_date").isNotNull()) if keep_date else incomplete
+        by_attr = _right_summary(right, attrs)
+        parts.append(
+            dated.join(by_attr, KEYS, how)
+            .where(passes())
+            .select(*KEYS, *(["service_date"] if keep_date else []), *fill)
+            .select(*out)
+        )
 
     # 3. left rows without a date whose date is output: the date comes from
     #    each passing right row too.
-    if keep_date:
+    if keep_date and not left_dated:
         by_row = _right_summary(right, ["service_date"] + attrs)
         undated = incomplete.where(F.col("service_date").isNull())
         parts.append(
@@ -160,7 +172,12 @@ def combine(
             .select(*out)
         )
 
-    return reduce(lambda a, b: a.unionByName(b), parts).distinct()
+    result = reduce(lambda a, b: a.unionByName(b), parts)
+    # Parts 1 and 4 are distinct by construction (grouped by the output
+    # columns, one summary row per key) and disjoint (4 holds right-only
+    # patients); only the fill paths can repeat a row.
+    filled = len(parts) > (2 if pair.logic == LOGIC_OR else 1)
+    return result.distinct() if filled else result
 
 
 def empty_count(df: DataFrame, label: str = "n_rows") -> DataFrame:

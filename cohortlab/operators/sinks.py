@@ -19,11 +19,12 @@ class SchemaMismatch(ValueError):
     pass
 
 
-def ensure_database(spark: SparkSession, database: str, location: str | None = None) -> None:
-    """CREATE DATABASE IF NOT EXISTS, then make it current."""
+def ensure_database(spark: SparkSession, database: str, location: str | None = None, use: bool = True) -> None:
+    """CREATE DATABASE IF NOT EXISTS, then (by default) make it current."""
     loc = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`{loc}")
-    spark.catalog.setCurrentDatabase(database)
+    if use:
+        spark.catalog.setCurrentDatabase(database)
 
 
 def table_exists(spark: SparkSession, table: str) -> bool:

@@ -27,7 +27,7 @@ from ..operators.criterion import (
     with_age,
 )
 from ..operators.scenario import load_scenario
-from ..operators.sinks import audit_counts, create_or_append, preview_frame, write_result
+from ..operators.sinks import audit_counts, create_or_append, ensure_database, preview_frame, write_result
 from ..sources.fixtures import LATEST_SCENARIO, scenario_config, fixture_inputs
 from ..sources.schemas import COHORT_COLUMNS, CRITERION_COLUMNS, PAIR_COLUMNS
 from ..sources.tables import ClaimInputs
@@ -37,6 +37,7 @@ from .scenario_run import ResultTables, run_scenario, write_scenario
 from .session import apply_engine_conf, scratch_path
 
 AS_OF_YEAR = O.AS_OF_YEAR
+RESULT_DB = "cohortlab_results"
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
@@ -270,9 +271,12 @@ def q_audit_counts(spark, sf_dir):
 
 
 def q_stored_cohort(spark, sf_dir):
-    """The cohort as written by a full run (tables created, then read back)."""
+    """The cohort as written by a full run into its own namespace (created
+    if missing), tables created and read back."""
     apply_engine_conf(spark)
-    tables = _result_tables(spark)
+    ensure_database(spark, RESULT_DB, scratch_path(spark, RESULT_DB), use=False)
+    tag = _result_tables(spark)
+    tables = ResultTables(*(f"{RESULT_DB}.{t}" for t in (tag.criteria, tag.pairs, tag.cohort)))
     write_scenario(
         spark, fixture_inputs(spark, sf_dir), scenario_config(spark), tables, "auto", None, AS_OF_YEAR,
         root=scratch_path(spark, "tables"),

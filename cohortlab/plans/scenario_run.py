@@ -10,6 +10,7 @@ combine instead of being recomputed.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from ..operators.combine import combine, combine_naive
 from ..operators.criterion import criterion_events
 from ..operators.scenario import load_scenario
 from ..operators.sinks import audit_counts, table_exists, write_result
-from ..sources.schemas import PAIR_COLUMNS
+from ..sources.schemas import ATTRIBUTE_COLUMNS, PAIR_COLUMNS
 from ..sources.tables import ClaimInputs
 from ..spec import ScenarioSpec
 from .materialize import materialize
@@ -38,22 +39,43 @@ class ScenarioResult:
         return self.pairs[self.spec.pairs[-1].key]
 
 
+def criteria_with_null_attributes(criteria: DataFrame) -> set[int]:
+    """Criteria whose stored events have a NULL attribute (one tiny job over
+    the stored criterion events; the answer is at most N numbers)."""
+    any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in ATTRIBUTE_COLUMNS])
+    rows = criteria.where(any_null).select("criterion").distinct().collect()
+    return {r["criterion"] for r in rows}
+
+
 def combine_chain(
     criteria: DataFrame,
     spec: ScenarioSpec,
     method: str = "reduced",
+    null_attrs: set[int] | None = None,
 ) -> dict[str, DataFrame]:
     """Fold the criteria left to right: (1 x 2) x 3 ... The last combine
     drops the event date; the ones before keep it (its gap is measured from
-    the running result's date)."""
-    fn = combine if method == "reduced" else combine_naive
+    the running result's date).
+
+    Criterion events always have a date (the window test drops NULL dates),
+    so every running result has one too. ``null_attrs`` (criteria with a
+    NULL attribute, if known) lets a combine skip its fill paths while no
+    criterion folded so far has one.
+    """
     by_number = lambda n: criteria.where(F.col("criterion") == F.lit(n))
     running = by_number(1).select(*PAIR_COLUMNS)
     out: dict[str, DataFrame] = {}
     last = len(spec.pairs) - 1
     for i, pair in enumerate(spec.pairs):
         right = by_number(i + 2).select(*PAIR_COLUMNS)
-        running = fn(running, right, pair, keep_date=(i < last), scenario=spec.name)
+        if method == "reduced":
+            complete = None if null_attrs is None else not any(n in null_attrs for n in range(1, i + 3))
+            running = combine(
+                running, right, pair, keep_date=(i < last), scenario=spec.name,
+                left_complete=complete, left_dated=True,
+            )
+        else:
+            running = combine_naive(running, right, pair, keep_date=(i < last), scenario=spec.name)
         out[pair.key] = running
     return out
 
@@ -70,9 +92,11 @@ def run_scenario(
     """Lazy results of one scenario (the latest one unless ``name`` is given)."""
     spec, _rows, codes = load_scenario(config, name)
     crit = criterion_events(inputs, codes, spec, as_of_year)
+    null_attrs = None
     if store_criteria:
         crit = materialize(crit, "criteria", partition_by=["criterion"])
-    return ScenarioResult(spec=spec, criteria=crit, pairs=combine_chain(crit, spec, method))
+        null_attrs = criteria_with_null_attributes(crit)
+    return ScenarioResult(spec=spec, criteria=crit, pairs=combine_chain(crit, spec, method, null_attrs))
 
 
 @dataclass(frozen=True)
@@ -115,11 +139,16 @@ def write_scenario(
         return back
 
     crit = put(criterion_events(inputs, codes, spec, as_of_year), tables.criteria)
+    null_attrs = criteria_with_null_attributes(crit)
     last = len(spec.pairs) - 1
     running = crit.where(F.col("criterion") == 1).select(*PAIR_COLUMNS)
     for i, pair in enumerate(spec.pairs):
         right = crit.where(F.col("criterion") == F.lit(i + 2)).select(*PAIR_COLUMNS)
-        df = combine(running, right, pair, keep_date=(i < last), scenario=spec.name)
+        complete = not any(n in null_attrs for n in range(1, i + 3))
+        df = combine(
+            running, right, pair, keep_date=(i < last), scenario=spec.name,
+            left_complete=complete, left_dated=True,
+        )
         if i < last:
             running = put(df, tables.pairs, pair.key)
         else:

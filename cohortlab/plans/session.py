@@ -59,16 +59,18 @@ def _is_local(spark: SparkSession) -> bool:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables (``spark.checkpoint.dir``)."""
     sc = spark.sparkContext
-    root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    root = sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
         if not _is_local(spark):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; set it to a folder every executor can reach"
             )
+        # local runs only (tests, benchmarks): a fresh folder on this machine
         root = tempfile.mkdtemp(prefix="cohortlab-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(root)
+    sc.setCheckpointDir(root)
     return sc.getCheckpointDir() or root
 
 

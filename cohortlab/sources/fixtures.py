@@ -40,8 +40,23 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_HANDLES: dict[tuple[str, str], ClaimInputs] = {}
+
+
 def fixture_inputs(spark: SparkSession, sf_dir: str) -> ClaimInputs:
-    """Claim channels and patients derived from the test tables."""
+    """Claim channels and patients derived from the test tables.
+
+    The DataFrames are table handles (file listing and schema); they are
+    kept per Spark application and folder, as a catalog would keep them.
+    The data itself is read by each query.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _HANDLES:
+        _HANDLES[key] = _build_inputs(spark, sf_dir)
+    return _HANDLES[key]
+
+
+def _build_inputs(spark: SparkSession, sf_dir: str) -> ClaimInputs:
     customer = _t(spark, sf_dir, "customer")
     nation = _t(spark, sf_dir, "nation")
     orders = _t(spark, sf_dir, "orders")

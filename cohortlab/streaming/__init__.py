@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference runs one batch per request and has no streaming operator (no
+watermarks, windows over time, state or late data), so nothing is built
+here. A scenario run is a batch job over whole tables.
+"""

@@ -133,3 +133,16 @@ def test_empty_sides(spark):
     assert combine(l, e, PairSpec("12", "OR", "<", 0)).count() == 1
     assert combine(e, l, PairSpec("12", "OR", ">", 0)).count() == 1
     assert F is not None
+
+
+def test_fast_path_on_complete_input(spark):
+    rng = random.Random(11)
+    left, right = _random_events(rng, 80)
+    left = [row for row in left if None not in row]  # no NULL attribute or date
+    l, r = frame(spark, left).cache(), frame(spark, right).cache()
+    for logic in ("AND", "OR"):
+        for op, days in ((">", 5), ("<=", 0), ("", 0)):
+            pair = PairSpec("x", logic, op, days)
+            for keep in (True, False):
+                a = combine(l, r, pair, keep, left_complete=True, left_dated=True)
+                assert same(a, combine_naive(l, r, pair, keep)), (logic, op, keep)

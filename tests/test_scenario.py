@@ -75,3 +75,15 @@ def test_code_list_unpivot_distinct_and_group_total(spark):
     totals = config_group_total(cfg).first()
     assert totals["c1_group_total"] == 2 and totals["c2_group_total"] == 1
     assert config_codes(cfg).where(F.col("code").isNull()).count() == 0
+
+
+def test_read_config_from_parquet(spark, tmp_path):
+    from cohortlab.sources.fixtures import scenario_config
+    from cohortlab.sources.tables import read_config
+
+    path = str(tmp_path / "config")
+    scenario_config(spark).write.parquet(path)
+    a, _, codes_a = load_scenario(read_config(spark, path))
+    b, _, codes_b = load_scenario(scenario_config(spark))
+    assert a == b and a.name == "S_SEQ"
+    assert sorted(map(tuple, codes_a.collect())) == sorted(map(tuple, codes_b.collect()))
