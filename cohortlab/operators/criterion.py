@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import age, age_band, birth_year_test, case_by
@@ -63,6 +63,9 @@ def code_list(codes: DataFrame, spec: ScenarioSpec, criteria: list[int] | None =
     crits = [c for c in spec.criteria if c.live and (criteria is None or c.number in criteria)]
     wanted = [c.number for c in crits]
     live = codes.where(F.col("criterion").isin(wanted)) if wanted else _empty_like(codes)
+    # dense 0-based index of the group within its criterion (NULL group: NULL)
+    idx = F.dense_rank().over(Window.partitionBy("criterion").orderBy(F.col("code_group").asc_nulls_last())) - 1
+    live = live.withColumn("group_idx", F.when(F.col("code_group").isNotNull(), idx).cast("int"))
     scan_codes = None
     if crits and all(c.codes is not None for c in crits):
         merged = sorted({code for c in crits for code in c.codes})
@@ -99,6 +102,7 @@ def match_events(
             events.select(
                 F.lit(0).alias("criterion"), "patient_id", "service_date", "claim_id",
                 F.lit(None).cast("string").alias("code_group"), "source",
+                F.lit(None).cast("int").alias("group_idx"),
             )
         )
     lo = min(c.start for c in crits)
@@ -110,25 +114,40 @@ def match_events(
     return (
         scan.join(right, "code")
         .where(window_filter(spec))
-        .select("criterion", "patient_id", "service_date", "claim_id", "code_group", "source")
+        .select("criterion", "patient_id", "service_date", "claim_id", "code_group", "source", "group_idx")
     )
 
 
 def distinct_claim_rows(matched: DataFrame) -> DataFrame:
     """One row per (criterion, patient, date, source, group, claim)."""
     return matched.select(
-        "criterion", "patient_id", "service_date", "source", "code_group", "claim_id"
+        "criterion", "patient_id", "service_date", "source", "code_group", "group_idx", "claim_id"
     ).distinct()
 
 
-def patient_counts(base: DataFrame) -> DataFrame:
+# Up to this many groups per criterion, distinct groups are counted as the
+# bits of a 64-bit mask; above it with a set.
+GROUP_MASK_MAX = 62
+
+
+def patient_counts(base: DataFrame, spec: ScenarioSpec | None = None) -> DataFrame:
     """Per (criterion, patient): distinct non-NULL groups and claims.
 
-    ``size(collect_set)`` keeps this to one distinct aggregate (no Expand);
-    a patient has at most as many groups as the code list.
+    Distinct groups: ``bit_count(bit_or(1 << group_idx))`` when every
+    criterion has at most ``GROUP_MASK_MAX`` groups (known from the config).
+    That is a plain, code-generated aggregate next to the one distinct
+    aggregate for claims: no ``Expand`` (two ``count_distinct`` would double
+    every row), no object buffers (``collect_set`` falls back to sort-based
+    aggregation on many keys). Otherwise ``size(collect_set(group))``.
     """
+    small = spec is not None and all(c.group_total <= GROUP_MASK_MAX for c in spec.criteria)
+    if small:
+        mask = F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), group_idx)"))
+        n_groups = F.coalesce(F.bit_count(mask), F.lit(0)).cast("int")
+    else:
+        n_groups = F.size(F.collect_set("code_group"))
     return base.groupBy(*EVENT_KEY).agg(
-        F.size(F.collect_set("code_group")).alias("n_groups"),
+        n_groups.alias("n_groups"),
         F.count_distinct("claim_id").alias("n_claims"),
     )
 
@@ -216,7 +235,7 @@ def criterion_events(
     base = distinct_claim_rows(matched)
     if store:
         base = materialize(base, "matched_claims")
-    qualified = qualify_patients(patient_counts(base), spec)
+    qualified = qualify_patients(patient_counts(base, spec), spec)
     eligible = eligible_patients(qualified, inputs.patients, spec, as_of_year)
     # Distinct event rows before the join: a hot patient's rows shrink to
     # (date, source, group) combinations before they are shuffled to it.

@@ -86,7 +86,7 @@ def _matched_all(n: int, scenario: str | None = None) -> QueryFn:
 
 def q_date_window(spark, sf_dir):
     inputs, spec, codes = _setup(spark, sf_dir, None)
-    return match_events(inputs.tagged_events(), codes, spec, [1])
+    return match_events(inputs.tagged_events(), codes, spec, [1]).drop("group_idx")
 
 
 def _birth_passing(inputs, spec, n):
@@ -98,7 +98,7 @@ def _counts(n: int) -> Callable:
     def counts(spark, sf_dir):
         inputs, spec, codes = _setup(spark, sf_dir, None)
         base = distinct_claim_rows(match_events(inputs.tagged_events(), codes, spec, [n]))
-        c = patient_counts(base).join(_birth_passing(inputs, spec, n), ["criterion", "patient_id"], "left_semi")
+        c = patient_counts(base, spec).join(_birth_passing(inputs, spec, n), ["criterion", "patient_id"], "left_semi")
         return c, spec
 
     return counts
