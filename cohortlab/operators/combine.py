@@ -8,9 +8,9 @@ on the right, right-only rows against it on the left). Each output column is
 ``coalesce(left, right)``; the result is distinct. A blank operator means no
 test, an unknown operator or logic gives no rows.
 
-``combine_naive`` writes exactly that (joins every left event with every
-right event of the patient). ``combine`` gives the same rows without pairing
-events:
+The direct SQL form joins every left event with every right event of the
+patient (the test oracle in ``tests/naive_combine.py`` does exactly that).
+``combine`` gives the same rows without pairing events:
 
 * the right side only answers "is there a right date that passes?", and
   that needs only the patient's earliest and latest right date;
@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import all_not_null, gap_exists, gap_test, sentinel_date
+from ..functions.predicates import all_not_null, gap_exists, sentinel_date
 from ..sources.schemas import ATTRIBUTE_COLUMNS, COHORT_COLUMNS, PAIR_COLUMNS
 from ..spec import LOGIC_AND, LOGIC_OR, PairSpec
 
@@ -61,24 +61,6 @@ def _prepare(left, right, pair: PairSpec, keep_date: bool, scenario: str | None)
     return left, right, dead
 
 
-def combine_naive(
-    left: DataFrame, right: DataFrame, pair: PairSpec, keep_date: bool = True, scenario: str | None = None
-) -> DataFrame:
-    """Reference-shaped combine: pair every left event with every right event
-    of the patient, test, coalesce, distinct. Kept as the test oracle."""
-    left, right, dead = _prepare(left, right, pair, keep_date, scenario)
-    if dead:
-        return _empty(left, keep_date)
-    l, r = left.alias("l"), right.alias("r")
-    how = "inner" if pair.logic == LOGIC_AND else "full"
-    cond = (F.col("l.patient_id") == F.col("r.patient_id")) & (F.col("l.scenario") == F.col("r.scenario"))
-    test = gap_test(
-        sentinel_date(F.col("l.service_date")), sentinel_date(F.col("r.service_date")), pair.gap_op, pair.gap_days
-    )
-    cols = [F.coalesce(F.col(f"l.{c}"), F.col(f"r.{c}")).alias(c) for c in output_columns(keep_date)]
-    return l.join(r, cond, how).where(test).select(*cols).distinct()
-
-
 def _right_summary(right: DataFrame, by: list[str], prefix: str = "_r_") -> DataFrame:
     d = sentinel_date("service_date")
     return right.groupBy(*KEYS, *by).agg(
@@ -95,7 +77,7 @@ def combine(
     left_complete: bool | None = None,
     left_dated: bool | None = None,
 ) -> DataFrame:
-    """Same rows as ``combine_naive`` without the per-patient cross product.
+    """Same rows as the event-by-event form, without pairing events.
 
     ``left_complete=True`` promises no NULL attribute on the left and
     ``left_dated=True`` no NULL date; the fill paths (each an extra pass
@@ -185,4 +167,4 @@ def empty_count(df: DataFrame, label: str = "n_rows") -> DataFrame:
     return df.agg(F.count(F.lit(1)).cast("long").alias(label))
 
 
-__all__ = ["combine", "combine_naive", "output_columns", "empty_count", "LOGIC_AND", "LOGIC_OR"]
+__all__ = ["combine", "output_columns", "empty_count", "LOGIC_AND", "LOGIC_OR"]

@@ -28,21 +28,34 @@ def n_criteria_of(config: DataFrame) -> int:
 
 
 def rank_scenarios(config: DataFrame) -> DataFrame:
-    """Dense rank of scenarios by submission time, newest = 1.
+    """Dense rank of the submission times, newest = 1, per config row.
 
-    An undated scenario sorts last, so it is never the latest unless all
-    are undated. The config is small: one un-partitioned window is fine.
+    An undated scenario sorts last. The ranking window runs over the
+    *distinct* submission times only (one row per submission), and the rank
+    is joined back on the time; ``latest_scenario`` needs no ranking at all.
     """
-    w = Window.orderBy(F.col("submitted_at").desc_nulls_last())
-    return config.select("scenario", "submitted_at", F.dense_rank().over(w).alias("rnk"))
+    w = Window.orderBy(F.col("_t").desc_nulls_last())
+    ranks = (
+        config.select(F.col("submitted_at").alias("_t")).distinct()
+        .select("_t", F.dense_rank().over(w).alias("rnk"))
+    )
+    return (
+        config.select("scenario", "submitted_at")
+        .join(ranks, F.col("submitted_at").eqNullSafe(F.col("_t")))
+        .select("scenario", "submitted_at", "rnk")
+    )
 
 
 def latest_scenario(config: DataFrame) -> DataFrame:
-    """One row: the scenario at rank 1; ties broken by name (ascending)."""
+    """One row: the scenario at rank 1; ties broken by name (ascending).
+
+    A distributed top-1: group by submission time keeping the smallest name
+    (NULL names sort last), then the newest time (NULL time last).
+    """
     return (
-        rank_scenarios(config)
-        .where(F.col("rnk") == 1)
-        .orderBy(F.col("scenario").asc_nulls_last())
+        config.groupBy("submitted_at")
+        .agg(F.min("scenario").alias("scenario"))
+        .orderBy(F.col("submitted_at").desc_nulls_last())
         .limit(1)
         .select("scenario")
     )

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.combine import combine, combine_naive, empty_count
+from ..operators.combine import combine, empty_count
 from ..operators.criterion import (
     birth_filter,
     criterion_events,
@@ -155,24 +155,20 @@ def _criterion(n: int, scenario: str | None = None, count: bool = False) -> Quer
 
 
 # -- combines ----------------------------------------------------------------------
-def _pair(scenario: str | None, count: bool = False, method: str = "reduced") -> QueryFn:
+def _pair(scenario: str | None, count: bool = False) -> QueryFn:
     def run(spark, sf_dir):
         apply_engine_conf(spark)
-        res = run_scenario(
-            spark, fixture_inputs(spark, sf_dir), scenario_config(spark), scenario, AS_OF_YEAR, method=method
-        )
+        res = run_scenario(spark, fixture_inputs(spark, sf_dir), scenario_config(spark), scenario, AS_OF_YEAR)
         df = res.pairs["12"]
         return empty_count(df) if count else df
 
     return run
 
 
-def _cohort(scenario: str | None, count: bool = False, method: str = "reduced") -> QueryFn:
+def _cohort(scenario: str | None, count: bool = False) -> QueryFn:
     def run(spark, sf_dir):
         apply_engine_conf(spark)
-        res = run_scenario(
-            spark, fixture_inputs(spark, sf_dir), scenario_config(spark), scenario, AS_OF_YEAR, method=method
-        )
+        res = run_scenario(spark, fixture_inputs(spark, sf_dir), scenario_config(spark), scenario, AS_OF_YEAR)
         return empty_count(res.cohort) if count else res.cohort
 
     return run
@@ -333,7 +329,6 @@ REGISTRY: dict[str, tuple[QueryFn, str | None]] = {
     "combine_or_gap_le": (_pair("S_OR_LE"), O.pair_sql("S_OR_LE")),
     "combine_gate_none": (_pair("S_GATE_NONE", count=True), O.pair_count_sql("S_GATE_NONE")),
     "combine_null_group": (_pair("S_NULLGRP"), O.pair_sql("S_NULLGRP")),
-    "combine_naive_gt": (_pair(LATEST_SCENARIO, method="naive"), O.pair_sql(LATEST_SCENARIO)),
     "scenario_filter": (q_scenario_filter, O.scenario_filter_sql("S_GE", LATEST_SCENARIO)),
     # second combine (pair with criterion 3): the cohort
     "cohort_seq": (_cohort(None), O.cohort_sql(None)),
@@ -350,7 +345,6 @@ REGISTRY: dict[str, tuple[QueryFn, str | None]] = {
     "cohort_or_empty_pair": (_cohort("S_GATE_NONE"), O.cohort_sql("S_GATE_NONE")),
     "cohort_unknown_op": (_cohort("S_UNKNOWN_OP", count=True), O.cohort_count_sql("S_UNKNOWN_OP")),
     "cohort_null_group": (_cohort("S_NULLGRP"), O.cohort_sql("S_NULLGRP")),
-    "cohort_naive_seq": (_cohort(None, method="naive"), O.cohort_sql(None)),
     # sinks and audit
     "sink_create": (q_sink_create, O.criteria_sql(None)),
     "sink_append": (q_sink_append, O.criteria_sql(None, copies=2)),

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.combine import combine, combine_naive
+from ..operators.combine import combine
 from ..operators.criterion import criterion_events
 from ..operators.scenario import load_scenario
 from ..operators.sinks import audit_counts, table_exists, write_result
@@ -50,8 +50,8 @@ def criteria_with_null_attributes(criteria: DataFrame) -> set[int]:
 def combine_chain(
     criteria: DataFrame,
     spec: ScenarioSpec,
-    method: str = "reduced",
     null_attrs: set[int] | None = None,
+    combine_fn=None,
 ) -> dict[str, DataFrame]:
     """Fold the criteria left to right: (1 x 2) x 3 ... The last combine
     drops the event date; the ones before keep it (its gap is measured from
@@ -60,7 +60,8 @@ def combine_chain(
     Criterion events always have a date (the window test drops NULL dates),
     so every running result has one too. ``null_attrs`` (criteria with a
     NULL attribute, if known) lets a combine skip its fill paths while no
-    criterion folded so far has one.
+    criterion folded so far has one. ``combine_fn`` replaces the combine
+    (tests and measurements pass the event-by-event oracle).
     """
     by_number = lambda n: criteria.where(F.col("criterion") == F.lit(n))
     running = by_number(1).select(*PAIR_COLUMNS)
@@ -68,14 +69,14 @@ def combine_chain(
     last = len(spec.pairs) - 1
     for i, pair in enumerate(spec.pairs):
         right = by_number(i + 2).select(*PAIR_COLUMNS)
-        if method == "reduced":
+        if combine_fn is None:
             complete = None if null_attrs is None else not any(n in null_attrs for n in range(1, i + 3))
             running = combine(
                 running, right, pair, keep_date=(i < last), scenario=spec.name,
                 left_complete=complete, left_dated=True,
             )
         else:
-            running = combine_naive(running, right, pair, keep_date=(i < last), scenario=spec.name)
+            running = combine_fn(running, right, pair, keep_date=(i < last), scenario=spec.name)
         out[pair.key] = running
     return out
 
@@ -86,8 +87,8 @@ def run_scenario(
     config: DataFrame,
     name: str | None = None,
     as_of_year: int | None = None,
-    method: str = "reduced",
     store_criteria: bool = True,
+    combine_fn=None,
 ) -> ScenarioResult:
     """Lazy results of one scenario (the latest one unless ``name`` is given)."""
     spec, _rows, codes = load_scenario(config, name)
@@ -96,7 +97,7 @@ def run_scenario(
     if store_criteria:
         crit = materialize(crit, "criteria", partition_by=["criterion"])
         null_attrs = criteria_with_null_attributes(crit)
-    return ScenarioResult(spec=spec, criteria=crit, pairs=combine_chain(crit, spec, method, null_attrs))
+    return ScenarioResult(spec=spec, criteria=crit, pairs=combine_chain(crit, spec, null_attrs, combine_fn))
 
 
 @dataclass(frozen=True)

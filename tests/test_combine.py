@@ -8,7 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlab.operators.combine import combine, combine_naive
+from cohortlab.operators.combine import combine
+from naive_combine import combine_naive
 from cohortlab.sources.schemas import PAIR_COLUMNS, result_schema
 from cohortlab.spec import PairSpec
 

@@ -14,13 +14,17 @@ import statistics
 import sys
 import time
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
+sys.path.insert(0, os.path.join(ROOT, "tests"))  # the event-by-event oracle
 
 from pyspark.sql import functions as F  # noqa: E402
 
 from cohortlab.operators import criterion as C  # noqa: E402
 from cohortlab.operators.scenario import load_scenario  # noqa: E402
 from cohortlab.plans.registry import queries  # noqa: E402
+from cohortlab.plans.scenario_run import run_scenario  # noqa: E402
+from naive_combine import combine_naive  # noqa: E402
 from cohortlab.plans.session import local_session  # noqa: E402
 from cohortlab.sources.fixtures import fixture_inputs, scenario_config  # noqa: E402
 
@@ -44,7 +48,10 @@ def main() -> None:
     timed(lambda: qs["cohort_seq"](spark, sf_dir), 1)  # warm-up
 
     res = {}
-    res["cohort_seq_naive_combine"] = timed(lambda: qs["cohort_naive_seq"](spark, sf_dir), repeat)
+    cfg = scenario_config(spark)
+    res["cohort_seq_naive_combine"] = timed(
+        lambda: run_scenario(spark, inputs, cfg, None, 2025, combine_fn=combine_naive).cohort, repeat
+    )
     res["cohort_seq_reduced_combine"] = timed(lambda: qs["cohort_seq"](spark, sf_dir), repeat)
 
     def per_criterion():
