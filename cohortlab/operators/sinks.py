@@ -70,11 +70,15 @@ def write_result(
             return write_result(df, table, "create", partition_by, path)
         aligned = _check_schema(spark, df, table)
         # insertInto is positional: ``aligned`` is already in table order.
-        (
-            aligned.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .insertInto(table)
-        )
+        # Dynamic overwrite replaces only the partitions present in ``df``;
+        # insertInto takes it from the session, so set it for this write only.
+        key = "spark.sql.sources.partitionOverwriteMode"
+        before = spark.conf.get(key)
+        spark.conf.set(key, "dynamic")
+        try:
+            aligned.write.mode("overwrite").insertInto(table)
+        finally:
+            spark.conf.set(key, before)
     else:
         raise ValueError(f"unknown write mode {mode!r}")
 

@@ -22,8 +22,9 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
+# (``replace`` writes pass partitionOverwriteMode=dynamic per write, so the
+# session's own overwrite behaviour is left alone.)
 
 
 def apply_engine_conf(spark: SparkSession) -> None:
