@@ -61,13 +61,6 @@ def _prepare(left, right, pair: PairSpec, keep_date: bool, scenario: str | None)
     return left, right, dead
 
 
-def _right_summary(right: DataFrame, by: list[str], prefix: str = "_r_") -> DataFrame:
-    d = sentinel_date("service_date")
-    return right.groupBy(*KEYS, *by).agg(
-        F.min(d).alias("_rmin"), F.max(d).alias("_rmax")
-    ).select(*KEYS, *[F.col(c).alias(prefix + c) for c in by], "_rmin", "_rmax")
-
-
 def combine(
     left: DataFrame,
     right: DataFrame,
@@ -107,20 +100,36 @@ def combine(
     # Left side grouped by its output columns: earliest/latest (sentinel) date.
     grouped = left.groupBy(*KEYS, *group_cols).agg(F.min(d).alias("_lmin"), F.max(d).alias("_lmax"))
     complete = all_not_null(group_cols)
+    fill_attrs = not left_complete
+    fill_dates = keep_date and not left_dated
+
+    # Right side: one pass over the raw rows. When more than the per-patient
+    # summary is needed, group by the output columns first and derive the
+    # coarser summaries from that (much smaller) result.
+    if pair.logic == LOGIC_OR or fill_attrs or fill_dates:
+        right_rows = right.groupBy(*KEYS, *group_cols).agg(F.min(d).alias("_rmin"), F.max(d).alias("_rmax"))
+        per_patient = right_rows.groupBy(*KEYS).agg(F.min("_rmin").alias("_rmin"), F.max("_rmax").alias("_rmax"))
+    else:
+        right_rows = None
+        per_patient = right.groupBy(*KEYS).agg(F.min(d).alias("_rmin"), F.max(d).alias("_rmax"))
+
+    def prefixed(df: DataFrame, by: list[str]) -> DataFrame:
+        return df.select(*KEYS, *[F.col(c).alias("_r_" + c) for c in by], "_rmin", "_rmax")
 
     # 1. complete left rows: output is the left row itself.
-    per_patient = _right_summary(right, [])
     parts = [grouped.where(complete).join(per_patient, KEYS, how).where(passes()).select(*out)]
 
     # 2. left rows with a NULL attribute (date present or not output): fill
     #    from each passing right (attribute combination).
     incomplete = grouped.where(~complete)
     fill = [F.coalesce(F.col(c), F.col("_r_" + c)).alias(c) for c in attrs]
-    if not left_complete:
+    if fill_attrs:
         dated = incomplete.where(F.col("service_date").isNotNull()) if keep_date else incomplete
-        by_attr = _right_summary(right, attrs)
+        by_attr = right_rows if not keep_date else right_rows.groupBy(*KEYS, *attrs).agg(
+            F.min("_rmin").alias("_rmin"), F.max("_rmax").alias("_rmax")
+        )
         parts.append(
-            dated.join(by_attr, KEYS, how)
+            dated.join(prefixed(by_attr, attrs), KEYS, how)
             .where(passes())
             .select(*KEYS, *(["service_date"] if keep_date else []), *fill)
             .select(*out)
@@ -128,11 +137,10 @@ def combine(
 
     # 3. left rows without a date whose date is output: the date comes from
     #    each passing right row too.
-    if keep_date and not left_dated:
-        by_row = _right_summary(right, ["service_date"] + attrs)
+    if fill_dates:
         undated = incomplete.where(F.col("service_date").isNull())
         parts.append(
-            undated.join(by_row, KEYS, how)
+            undated.join(prefixed(right_rows, ["service_date"] + attrs), KEYS, how)
             .where(passes())
             .select(
                 *KEYS,
@@ -144,8 +152,7 @@ def combine(
 
     # 4. OR form: right-only patients, tested against 1900-01-01 on the left.
     if pair.logic == LOGIC_OR:
-        left_keys = left.select(*KEYS).distinct()
-        right_rows = right.groupBy(*KEYS, *group_cols).agg(F.min(d).alias("_rmin"), F.max(d).alias("_rmax"))
+        left_keys = grouped.select(*KEYS).distinct()
         parts.append(
             right_rows.join(left_keys, KEYS, "left_anti")
             .where(
