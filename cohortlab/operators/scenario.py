@@ -119,6 +119,7 @@ def scenario_params_frame(rows: DataFrame) -> DataFrame:
             ).alias(f"c{i}_code_rows"),
         ]
     aggs.append(F.count("*").alias("n_rows"))
+    aggs.append(F.max("scenario").alias("__name"))
     return rows.agg(*aggs)
 
 
@@ -133,10 +134,18 @@ def _strict(row, col: str):
     return values[0] if values else None
 
 
-def scenario_params(rows: DataFrame, name: str | None) -> ScenarioSpec:
-    """Read the scenario's scalars (one small action) into a ScenarioSpec."""
+_UNKNOWN = object()
+
+
+def scenario_params(rows: DataFrame, name=_UNKNOWN) -> ScenarioSpec:
+    """Read the scenario's scalars (one small action) into a ScenarioSpec.
+
+    Without ``name``, the name is read from the rows in the same action.
+    """
     n = n_criteria_of(rows)
     row = scenario_params_frame(rows).first()
+    if name is _UNKNOWN:
+        name = row["__name"]
     crits = []
     for i in range(1, n + 1):
         birth_op = _strict(row, f"c{i}_birth_op")
@@ -198,7 +207,12 @@ def load_scenario(config: DataFrame, name: str | None = None, pick_latest: bool
     mode); a name selects that scenario directly.
     """
     if name is None and pick_latest:
-        name = latest_scenario_name(config)
-    rows = scenario_rows(config, name)
-    spec = scenario_params(rows, name)
+        # rows of the latest name: a semi join with the one-row top-1 (its
+        # size is bounded by the limit), read in the same action as the
+        # settings
+        rows = config.join(F.broadcast(latest_scenario(config)), "scenario", "left_semi")
+        spec = scenario_params(rows)
+    else:
+        rows = scenario_rows(config, name)
+        spec = scenario_params(rows, name)
     return spec, rows, config_codes(rows)

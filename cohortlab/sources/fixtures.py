@@ -273,8 +273,19 @@ def scenario_config(spark: SparkSession, names: list[str] | None = None) -> Data
     """Config table holding the given fixture scenarios (default: all).
 
     Built as a SQL ``VALUES`` relation, so it is a local relation on the JVM
-    side (no Python rows to ship for every small config query).
+    side (no Python rows to ship for every small config query); the
+    relation is a constant, kept per Spark application.
     """
+    key = (spark.sparkContext.applicationId, tuple(names) if names is not None else None)
+    if key not in _CONFIGS:
+        _CONFIGS[key] = _build_config(spark, names)
+    return _CONFIGS[key]
+
+
+_CONFIGS: dict[tuple, DataFrame] = {}
+
+
+def _build_config(spark: SparkSession, names: list[str] | None) -> DataFrame:
     names = list(SCENARIOS) if names is None else names
     rows = [r for n in names for r in config_rows(SCENARIOS[n])]
     schema = config_schema(3)
