@@ -48,10 +48,6 @@ def _empty_like(df: DataFrame) -> DataFrame:
     return df.where(F.lit(False))
 
 
-def live_numbers(spec: ScenarioSpec) -> list[int]:
-    return [c.number for c in spec.criteria if c.live]
-
-
 def code_list(codes: DataFrame, spec: ScenarioSpec, criteria: list[int] | None = None):
     """The code list restricted to live criteria, plus scan hints.
 

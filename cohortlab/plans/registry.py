@@ -188,7 +188,7 @@ def q_scenario_filter(spark, sf_dir):
 
 
 # -- sinks -------------------------------------------------------------------------
-def _fresh_table(spark: SparkSession, label: str) -> str:
+def _fresh_table(label: str) -> str:
     """A new external table name whose data lives in the shared scratch folder."""
     return f"{label}_{uuid.uuid4().hex[:12]}"
 
@@ -208,13 +208,13 @@ def _read(spark, table):
 
 
 def q_sink_create(spark, sf_dir):
-    t = _fresh_table(spark, "crit_create")
+    t = _fresh_table("crit_create")
     _write(_crit_long(spark, sf_dir), t, "create")
     return _read(spark, t)
 
 
 def q_sink_append(spark, sf_dir):
-    t = _fresh_table(spark, "crit_append")
+    t = _fresh_table("crit_append")
     df = _crit_long(spark, sf_dir)
     _write(df, t, "create")
     _write(df, t, "append")
@@ -222,7 +222,7 @@ def q_sink_append(spark, sf_dir):
 
 
 def q_sink_create_or_append(spark, sf_dir):
-    t = _fresh_table(spark, "crit_auto")
+    t = _fresh_table("crit_auto")
     df = _crit_long(spark, sf_dir)
     path = scratch_path(spark, t)
     assert create_or_append(df, t, path) == "create"
@@ -231,7 +231,7 @@ def q_sink_create_or_append(spark, sf_dir):
 
 
 def q_sink_replace(spark, sf_dir):
-    t = _fresh_table(spark, "crit_replace")
+    t = _fresh_table("crit_replace")
     df = _crit_long(spark, sf_dir)
     _write(df, t, "create")
     _write(df, t, "append")
@@ -241,7 +241,7 @@ def q_sink_replace(spark, sf_dir):
 
 def q_scan_results(spark, sf_dir):
     """Stored results of two scenarios, read back pruned to one."""
-    t = _fresh_table(spark, "crit_two")
+    t = _fresh_table("crit_two")
     _write(_crit_long(spark, sf_dir, "S_ALL"), t, "create")
     _write(_crit_long(spark, sf_dir, LATEST_SCENARIO), t, "append")
     return _read(spark, t).where(F.col("scenario") == "S_ALL")

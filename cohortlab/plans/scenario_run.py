@@ -100,6 +100,15 @@ def run_scenario(
     return ScenarioResult(spec=spec, criteria=crit, pairs=combine_chain(crit, spec, null_attrs, combine_fn))
 
 
+class ScenarioWriteError(RuntimeError):
+    """A result table failed to write; ``written`` lists those already done."""
+
+    def __init__(self, table: str, written: list[str]):
+        super().__init__(f"writing {table!r} failed; already written: {written or 'none'}")
+        self.table = table
+        self.written = written
+
+
 @dataclass(frozen=True)
 class ResultTables:
     criteria: str = "criterion_events"
@@ -126,6 +135,7 @@ def write_scenario(
     Returns the audit counts.
     """
     spec, _rows, codes = load_scenario(config, name)
+    written: list[str] = []
 
     def put(df: DataFrame, table: str, pair_key: str | None = None) -> DataFrame:
         m = mode
@@ -133,7 +143,12 @@ def write_scenario(
             m = "append" if table_exists(spark, table) else "create"
         if pair_key is not None:
             df = df.withColumn("pair", F.lit(pair_key))
-        write_result(df, table, m, path=None if root is None else f"{root.rstrip('/')}/{table}")
+        try:
+            write_result(df, table, m, path=None if root is None else f"{root.rstrip('/')}/{table}")
+        except Exception as e:
+            # tables are written one by one (no transaction across them)
+            raise ScenarioWriteError(table, list(written)) from e
+        written.append(table)
         back = spark.table(table).where(F.col("scenario") == F.lit(spec.name))
         if pair_key is not None:
             back = back.where(F.col("pair") == F.lit(pair_key)).drop("pair")

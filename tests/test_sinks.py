@@ -66,3 +66,15 @@ def test_write_scenario_auto_twice(spark, tmp_path):
     assert third == first
     rec = preview(spark.table("t_cohort"), 1)
     assert len(rec) == 1 and set(rec[0]) >= {"patient_id", "scenario", "age_group"}
+
+
+def test_failed_write_reports_written_tables(spark, tmp_path):
+    from cohortlab.plans.scenario_run import ScenarioWriteError
+
+    inputs, cfg = fixture_inputs(spark, SF_SMALL), scenario_config(spark)
+    # the pair table exists with an incompatible schema, so its append fails
+    spark.createDataFrame([(1,)], "x int").write.saveAsTable("w_pair")
+    tables = ResultTables("w_crit", "w_pair", "w_cohort")
+    with pytest.raises(ScenarioWriteError) as err:
+        write_scenario(spark, inputs, cfg, tables, as_of_year=2025, root=str(tmp_path))
+    assert err.value.table == "w_pair" and err.value.written == ["w_crit"]
