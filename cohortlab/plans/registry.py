@@ -337,6 +337,7 @@ REGISTRY: dict[str, tuple[QueryFn, str | None]] = {
     "cohort_and_gt": (_cohort("S_LT"), O.cohort_sql("S_LT")),
     "cohort_and_ge": (_cohort("S_GE"), O.cohort_sql("S_GE")),
     "cohort_and_lt": (_cohort("S_OR_GT"), O.cohort_sql("S_OR_GT")),
+    "cohort_or_nogap": (_cohort("S_OR_OR"), O.cohort_sql("S_OR_OR")),
     "cohort_or_gap": (_cohort("S_ANY"), O.cohort_sql("S_ANY")),
     "cohort_or_le": (_cohort("S_LE"), O.cohort_sql("S_LE")),
     "cohort_or_ge": (_cohort("S_OR_NOGAP"), O.cohort_sql("S_OR_NOGAP")),

@@ -230,6 +230,7 @@ _SCENARIOS = {
         ("AND", None, None),
         ("AND", None, None),
     ),
+    "S_OR_OR": ((C1, C2, C3), ("OR", "<=", 30), ("OR", None, None)),
     "S_SEQ": ((C1, C2, C3), ("AND", ">", 30), ("OR", None, None)),
 }
 LATEST_SCENARIO = "S_SEQ"
