@@ -8,17 +8,34 @@ Partitioned on request, so a reader that wants one partition prunes the rest.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 
 from .session import scratch_path
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(
+    df: DataFrame,
+    name: str,
+    partition_by: list[str] | None = None,
+    observe: dict[str, Column] | None = None,
+) -> DataFrame | tuple[DataFrame, dict]:
+    """Write ``df`` once under the scratch folder and return it read back.
+
+    ``observe``: named aggregate expressions computed by the same write job
+    (``DataFrame.observe``); when given, returns ``(df, metrics)``.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    obs = None
+    if observe:
+        obs = Observation(f"{name}_metrics_{uuid.uuid4().hex[:8]}")
+        df = df.observe(obs, *[e.alias(k) for k, e in observe.items()])
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     # keep the producer's column order and types
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    back = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    return back if obs is None else (back, obs.get)

@@ -95,8 +95,14 @@ def run_scenario(
     crit = criterion_events(inputs, codes, spec, as_of_year)
     null_attrs = None
     if store_criteria:
-        crit = materialize(crit, "criteria", partition_by=["criterion"])
-        null_attrs = criteria_with_null_attributes(crit)
+        # which criteria have a NULL attribute: observed by the write itself
+        any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in ATTRIBUTE_COLUMNS])
+        flags = {
+            f"null_{c.number}": F.max(F.when((F.col("criterion") == c.number) & any_null, 1).otherwise(0))
+            for c in spec.criteria
+        }
+        crit, metrics = materialize(crit, "criteria", partition_by=["criterion"], observe=flags)
+        null_attrs = {c.number for c in spec.criteria if metrics.get(f"null_{c.number}")}
     return ScenarioResult(spec=spec, criteria=crit, pairs=combine_chain(crit, spec, null_attrs, combine_fn))
 
 
