@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .schemas import config_schema, pair_keys
 from .tables import ClaimInputs, read_channel, read_patients
@@ -40,6 +41,17 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _wall_date(df: DataFrame, col: str) -> F.Column:
+    """Calendar date of a stored wall-clock timestamp, whatever the session
+    time zone. The test files hold timestamps without a zone: Spark reads
+    them as TIMESTAMP_NTZ (a plain cast is zone-free); a session that reads
+    them as zoned timestamps gets the stored microseconds' UTC day instead
+    of a cast through its own zone."""
+    if isinstance(df.schema[col].dataType, T.TimestampType):
+        return F.date_from_unix_date(F.floor(F.unix_micros(F.col(col)) / F.lit(86_400_000_000)).cast("int"))
+    return F.col(col).cast("date")
+
+
 _HANDLES: dict[tuple[str, str], ClaimInputs] = {}
 
 
@@ -84,20 +96,20 @@ def _build_inputs(spark: SparkSession, sf_dir: str) -> ClaimInputs:
         .join(orders, lineitem.l_orderkey == orders.o_orderkey)
         .select(
             F.col("o_custkey").alias("patient_id"),
-            F.col("l_shipdate").cast("date").alias("service_date"),
+            _wall_date(lineitem, "l_shipdate").alias("service_date"),
             F.col("l_orderkey").alias("claim_id"),
             F.col("p_brand").alias("code"),
         )
     )
     px = orders.select(
         F.col("o_custkey").alias("patient_id"),
-        F.col("o_orderdate").cast("date").alias("service_date"),
+        _wall_date(orders, "o_orderdate").alias("service_date"),
         F.col("o_orderkey").alias("claim_id"),
         F.col("o_orderpriority").alias("code"),
     )
     rx = events.select(
         F.col("user_id").alias("patient_id"),
-        F.date_sub(F.col("ts").cast("date"), RX_SHIFT_DAYS).alias("service_date"),
+        F.date_sub(_wall_date(events, "ts"), RX_SHIFT_DAYS).alias("service_date"),
         F.col("event_id").alias("claim_id"),
         F.col("event_type").alias("code"),
     )
