@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import OP3_SQL, op3_source_mix
+from .secrets import OP5_SQL, op5_secret_scan
+from .warc import OP10_SQL, op10_warc_roundtrip
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_source_mix": op3_source_mix,
+    "op5_secret_scan": op5_secret_scan,
+    "op10_warc_roundtrip": op10_warc_roundtrip,
 }
 
 ORACLE_SQL = {
     "op2_line_dedup": OP2_SQL,
     "op3_source_mix": OP3_SQL,
+    "op5_secret_scan": OP5_SQL,
+    "op10_warc_roundtrip": OP10_SQL,
 }
