@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op9_byte_bpe
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import OP3_SQL, op3_source_mix
 from .secrets import OP5_SQL, op5_secret_scan
+from .token_files import op6_token_files
 from .warc import OP10_SQL, op10_warc_roundtrip
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_source_mix": op3_source_mix,
     "op5_secret_scan": op5_secret_scan,
+    "op6_token_files": op6_token_files,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_warc_roundtrip": op10_warc_roundtrip,
 }
 
