@@ -5,6 +5,7 @@ from __future__ import annotations
 from .byte_bpe import op9_byte_bpe
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import OP3_SQL, op3_source_mix
+from .near_dedup import op7_near_dedup
 from .secrets import OP5_SQL, op5_secret_scan
 from .token_files import op6_token_files
 from .warc import OP10_SQL, op10_warc_roundtrip
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_source_mix": op3_source_mix,
     "op5_secret_scan": op5_secret_scan,
     "op6_token_files": op6_token_files,
+    "op7_near_dedup": op7_near_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc_roundtrip": op10_warc_roundtrip,
 }
