@@ -7,12 +7,14 @@ from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import OP3_SQL, op3_source_mix
 from .near_dedup import op7_near_dedup
 from .secrets import OP5_SQL, op5_secret_scan
+from .simhash import op4_simhash
 from .token_files import op6_token_files
 from .warc import OP10_SQL, op10_warc_roundtrip
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_source_mix": op3_source_mix,
+    "op4_simhash": op4_simhash,
     "op5_secret_scan": op5_secret_scan,
     "op6_token_files": op6_token_files,
     "op7_near_dedup": op7_near_dedup,
