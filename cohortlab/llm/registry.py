@@ -9,6 +9,7 @@ from .near_dedup import op7_near_dedup
 from .secrets import OP5_SQL, op5_secret_scan
 from .simhash import op4_simhash
 from .token_files import op6_token_files
+from .toxicity import op8_toxicity
 from .warc import OP10_SQL, op10_warc_roundtrip
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_token_files": op6_token_files,
     "op7_near_dedup": op7_near_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc_roundtrip": op10_warc_roundtrip,
 }

@@ -16,6 +16,8 @@ PIECE = 1 << 20  # bytes hashed at a time
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_NO_LETTER = np.ones(256, bool)
+_NO_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _powers: list[np.ndarray] = []
@@ -40,12 +42,14 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def _words(buffer: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def _words(buffer: bytes, lower: bool, letters: bool, first: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of each word of a buffer that ends with white space."""
     a = np.frombuffer(buffer, np.uint8)
-    space = _IS_SPACE[a]
+    space = (_NO_LETTER if letters else _IS_SPACE)[a]
     edge = np.flatnonzero(np.diff(space, prepend=True))
     starts, ends = edge[::2], edge[1::2]
+    if first:
+        ends = np.minimum(ends, starts + first)
     if lower:
         a = _LOWER[a]
     up, down = _power(len(a))
@@ -53,8 +57,10 @@ def _words(buffer: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     return mixed((upto[ends] - upto[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)), starts
 
 
-def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words, where each text's begin: one more entry than texts)."""
+def word_hashes(texts: list[bytes], lower: bool = True, letters: bool = False, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, where each text's begin: one more entry than texts).
+    ``letters``: words are runs of ASCII letters and non-ASCII characters instead.
+    ``first``: only that many bytes of each word are hashed."""
     parts: list[bytes] = []  # texts cut at white space
     of: list[int] = []
     for i, t in enumerate(texts):
@@ -69,17 +75,17 @@ def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
         parts.append(t[at:] if at else t)
         of.append(i)
     hashes, counts = [], np.zeros(len(texts) + 1, np.int64)
-    first = 0
-    while first < len(parts):
-        last, size = first, 0
-        while last < len(parts) and (last == first or size + len(parts[last]) < PIECE):
+    begin = 0
+    while begin < len(parts):
+        last, size = begin, 0
+        while last < len(parts) and (last == begin or size + len(parts[last]) < PIECE):
             size += len(parts[last]) + 1
             last += 1
-        h, starts = _words(b"\n".join(parts[first:last]) + b"\n", lower)
+        h, starts = _words(b"\n".join(parts[begin:last]) + b"\n", lower, letters, first)
         hashes.append(h)
-        ends = np.cumsum([len(p) + 1 for p in parts[first:last]])
-        np.add.at(counts, np.array(of[first:last]) + 1, np.diff(np.searchsorted(starts, ends), prepend=0))
-        first = last
+        ends = np.cumsum([len(p) + 1 for p in parts[begin:last]])
+        np.add.at(counts, np.array(of[begin:last]) + 1, np.diff(np.searchsorted(starts, ends), prepend=0))
+        begin = last
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.cumsum(counts)
 
 

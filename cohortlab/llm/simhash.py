@@ -123,7 +123,7 @@ def with_next(docs: DataFrame, handle: Callable[[list, list[str], list[str]], pa
     bounded_batches(spark)
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(shuffle_parts(spark), *order).sortWithinPartitions(*order)
+    rows = rows.repartitionByRange(shuffle_parts(spark), order[0]).sortWithinPartitions(*order)
     done = written(rows.mapInArrow(walk, f"{schema}, part long, end string, end_id long, end_text string"), "with_next")
     edges = done.where("end is not null").select(*ends)
     parts = sorted(r["part"] for r in edges.where("end = 'first'").select("part").collect())  # one number a part
