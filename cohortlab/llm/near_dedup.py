@@ -336,6 +336,18 @@ def near_groups(
     )
 
 
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` without the documents whose group has a smaller doc_id; of rows with
+    the same doc_id one stays. Rows with a null doc_id stay."""
+    groups = near_groups(docs.select("doc_id", "text"), k, num, den)
+    gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    kept = docs.join(small_side(gone, FEW_IDS), "doc_id", "left_anti")
+    repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = small_side(written(repeated, "repeated"), FEW_IDS)
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+
+
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
     groups = near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 85, 100)
     return groups.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))

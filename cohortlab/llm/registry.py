@@ -6,6 +6,7 @@ from .byte_bpe import op9_byte_bpe
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import OP3_SQL, op3_source_mix
 from .near_dedup import op7_near_dedup
+from .nearest import op1_nearest
 from .secrets import OP5_SQL, op5_secret_scan
 from .simhash import op4_simhash
 from .token_files import op6_token_files
@@ -13,6 +14,7 @@ from .toxicity import op8_toxicity
 from .warc import OP10_SQL, op10_warc_roundtrip
 
 QUERIES = {
+    "op1_nearest": op1_nearest,
     "op2_line_dedup": op2_line_dedup,
     "op3_source_mix": op3_source_mix,
     "op4_simhash": op4_simhash,
