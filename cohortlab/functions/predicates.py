@@ -82,18 +82,6 @@ def day_gap(start: Column | str, end: Column | str) -> Column:
     return F.datediff(_col(end), _col(start))
 
 
-def gap_test(start: Column, end: Column, op: str, days: int) -> Column:
-    """Pairwise test ``day_gap(start, end) <op> days``.
-
-    A blank operator means no test (true); an unknown one keeps nothing.
-    """
-    if op == "":
-        return F.lit(True)
-    if op not in GAP_OPS:
-        return F.lit(False)
-    return _COMPARE[op](day_gap(start, end), F.lit(int(days)))
-
-
 def gap_exists(
     lmin: Column, lmax: Column, rmin: Column, rmax: Column, op: str, days: int
 ) -> Column:

@@ -69,12 +69,15 @@ def combine(
     scenario: str | None = None,
     left_complete: bool | None = None,
     left_dated: bool | None = None,
+    left_distinct: bool = False,
 ) -> DataFrame:
     """Same rows as the event-by-event form, without pairing events.
 
     ``left_complete=True`` promises no NULL attribute on the left and
     ``left_dated=True`` no NULL date; the fill paths (each an extra pass
     over the right side) are then left out. ``None`` (default) keeps them.
+    ``left_distinct`` promises that no left row repeats another in the columns
+    of a pair: with the date kept, grouping them would change nothing.
     """
     left, right, dead = _prepare(left, right, pair, keep_date, scenario)
     out = list(output_columns(keep_date))
@@ -98,7 +101,10 @@ def combine(
         )
 
     # Left side grouped by its output columns: earliest/latest (sentinel) date.
-    grouped = left.groupBy(*KEYS, *group_cols).agg(F.min(d).alias("_lmin"), F.max(d).alias("_lmax"))
+    if keep_date and left_distinct:
+        grouped = left.select(*KEYS, *group_cols, d.alias("_lmin"), d.alias("_lmax"))
+    else:
+        grouped = left.groupBy(*KEYS, *group_cols).agg(F.min(d).alias("_lmin"), F.max(d).alias("_lmax"))
     complete = all_not_null(group_cols)
     fill_attrs = not left_complete
     fill_dates = keep_date and not left_dated
@@ -169,9 +175,4 @@ def combine(
     return result.distinct() if filled else result
 
 
-def empty_count(df: DataFrame, label: str = "n_rows") -> DataFrame:
-    """One-row count, for results that are empty by definition."""
-    return df.agg(F.count(F.lit(1)).cast("long").alias(label))
-
-
-__all__ = ["combine", "output_columns", "empty_count", "LOGIC_AND", "LOGIC_OR"]
+__all__ = ["combine", "output_columns", "LOGIC_AND", "LOGIC_OR"]

@@ -31,15 +31,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import age, age_band, birth_year_test, case_by
-from ..plans.materialize import materialize
+from ..plans.materialize import RunScratch, materialize
 from ..sources.schemas import CRITERION_COLUMNS
 from ..sources.tables import ClaimInputs
 from ..spec import ScenarioSpec
 from .scenario import SCAN_CODE_FILTER_MAX
 
-# Code lists up to this many rows are broadcast to the claim scan; the list
-# comes from the scenario config, so its size is known before planning.
-BROADCAST_CODES_MAX = 200_000
+# Code lists up to this many bytes are broadcast to the claim scan; the list's
+# size is counted with the scenario's settings, before planning. A million
+# codes take about 30 MB. Beyond it the join is left to Spark (shuffled, hot
+# codes split by AQE, claims filtered by a runtime Bloom filter where it pays).
+BROADCAST_CODES_BYTES = 64 << 20
 
 EVENT_KEY = ["criterion", "patient_id"]
 
@@ -52,21 +54,27 @@ def code_list(codes: DataFrame, spec: ScenarioSpec, criteria: list[int] | None =
     """The code list restricted to live criteria, plus scan hints.
 
     Returns ``(codes_df, scan_codes, broadcastable)``: ``scan_codes`` are the
-    distinct code values when few enough to push into the scan (read with
-    the scenario's scalars, no extra job); ``broadcastable`` says the list's
-    row count, known from the config, is under ``BROADCAST_CODES_MAX``.
+    distinct code values when few enough to push into the scan;
+    ``broadcastable`` says the list's size, counted with the scenario's
+    settings, is under ``BROADCAST_CODES_BYTES``. ``group_idx`` numbers a
+    criterion's groups where the bit mask applies (``mask_applies``): at most
+    ``GROUP_MASK_MAX`` distinct groups a criterion are ranked, never the list.
     """
     crits = [c for c in spec.criteria if c.live and (criteria is None or c.number in criteria)]
     wanted = [c.number for c in crits]
     live = codes.where(F.col("criterion").isin(wanted)) if wanted else _empty_like(codes)
-    # dense 0-based index of the group within its criterion (NULL group: NULL)
-    idx = F.dense_rank().over(Window.partitionBy("criterion").orderBy(F.col("code_group").asc_nulls_last())) - 1
-    live = live.withColumn("group_idx", F.when(F.col("code_group").isNotNull(), idx).cast("int"))
+    if wanted and mask_applies(spec):
+        groups = live.where(F.col("code_group").isNotNull()).select("criterion", "code_group").distinct()
+        order = Window.partitionBy("criterion").orderBy("code_group")
+        groups = groups.withColumn("group_idx", (F.row_number().over(order) - 1).cast("int"))
+        live = live.join(F.broadcast(groups), ["criterion", "code_group"], "left")
+    else:
+        live = live.withColumn("group_idx", F.lit(None).cast("int"))
     scan_codes = None
     if crits and all(c.codes is not None for c in crits):
         merged = sorted({code for c in crits for code in c.codes})
         scan_codes = merged if len(merged) <= SCAN_CODE_FILTER_MAX else None
-    broadcastable = sum(c.code_rows for c in crits) <= BROADCAST_CODES_MAX
+    broadcastable = sum(c.code_bytes for c in crits) <= BROADCAST_CODES_BYTES
     return live, scan_codes, broadcastable
 
 
@@ -126,6 +134,10 @@ def distinct_claim_rows(matched: DataFrame) -> DataFrame:
 GROUP_MASK_MAX = 62
 
 
+def mask_applies(spec: ScenarioSpec) -> bool:
+    return all(c.group_total <= GROUP_MASK_MAX for c in spec.criteria)
+
+
 def patient_counts(base: DataFrame, spec: ScenarioSpec | None = None) -> DataFrame:
     """Per (criterion, patient): distinct non-NULL groups and claims.
 
@@ -136,8 +148,7 @@ def patient_counts(base: DataFrame, spec: ScenarioSpec | None = None) -> DataFra
     every row), no object buffers (``collect_set`` falls back to sort-based
     aggregation on many keys). Otherwise ``size(collect_set(group))``.
     """
-    small = spec is not None and all(c.group_total <= GROUP_MASK_MAX for c in spec.criteria)
-    if small:
+    if spec is not None and mask_applies(spec):
         mask = F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), group_idx)"))
         n_groups = F.coalesce(F.bit_count(mask), F.lit(0)).cast("int")
     else:
@@ -195,7 +206,9 @@ def eligible_patients(
     qualified: DataFrame, patients: DataFrame, spec: ScenarioSpec, as_of_year: int | None
 ) -> DataFrame:
     """Qualified (criterion, patient) rows that pass the birth-year test,
-    with the patient's attributes, age and age band.
+    with the patient's attributes, age and age band. A patient row that is
+    in the reference several times counts once; different rows of a patient
+    (they should not exist) each stay.
 
     A patient missing from the reference, or with no birth year, fails the
     test, so the reference's LEFT JOIN is an inner join here.
@@ -205,7 +218,7 @@ def eligible_patients(
     return with_age(
         qualified.select(*EVENT_KEY).join(pts, "patient_id").where(per),
         as_of_year,
-    ).select(*EVENT_KEY, "gender", "state", "birth_year", "age", "age_group")
+    ).select(*EVENT_KEY, "gender", "state", "birth_year", "age", "age_group").distinct()
 
 
 def criterion_events(
@@ -215,6 +228,7 @@ def criterion_events(
     as_of_year: int | None = None,
     criteria: list[int] | None = None,
     store: bool = True,
+    scratch: RunScratch | None = None,
 ) -> DataFrame:
     """Events of every qualified patient, all criteria in one long table.
 
@@ -230,7 +244,7 @@ def criterion_events(
     matched = match_events(inputs.tagged_events(), codes, spec, criteria)
     base = distinct_claim_rows(matched)
     if store:
-        base = materialize(base, "matched_claims")
+        base = materialize(base, "matched_claims", scratch=scratch)
     qualified = qualify_patients(patient_counts(base, spec), spec)
     eligible = eligible_patients(qualified, inputs.patients, spec, as_of_year)
     # Distinct event rows before the join: a hot patient's rows shrink to

@@ -1,51 +1,26 @@
 """Scenario config: pick the scenario, read its scalars, unpivot its codes.
 
-The config is a small user-submitted table (one row per code tuple). Two
-tiny actions reach the driver: the latest scenario's name, and one row of
-scalar settings computed by a single aggregate (with the distinct code
-values only when there are few). Code lists stay a DataFrame.
+The config is a user-submitted table (one row per code tuple). What reaches
+the driver: one row of scalar settings, one row of counts a criterion, and the
+distinct code values when there are few. Code lists stay a DataFrame.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.schemas import pair_keys
+from ..sources.tables import criteria_in
 from ..spec import CriterionSpec, PairSpec, ScenarioConfigError, ScenarioSpec
 
 # Code lists up to this many distinct codes per criterion are read to the
-# driver (as part of the one scalar row) and applied as an IN filter on the
-# claim scan, which Parquet can use to skip row groups.
+# driver and applied as an IN filter on the claim scan. Up to
+# spark.sql.parquet.pushdown.inFilterThreshold values Parquet gets the list
+# itself, beyond that their range; either way other rows are dropped unjoined.
 SCAN_CODE_FILTER_MAX = 2000
 
 
-def n_criteria_of(config: DataFrame) -> int:
-    nums = [int(m.group(1)) for c in config.columns if (m := re.fullmatch(r"c(\d)_code", c))]
-    return max(nums) if nums else 0
-
-
-def rank_scenarios(config: DataFrame) -> DataFrame:
-    """Dense rank of the submission times, newest = 1, per config row.
-
-    An undated scenario sorts last. The ranking window runs over the
-    *distinct* submission times only (one row per submission), and the rank
-    is joined back on the time; ``latest_scenario`` needs no ranking at all.
-    """
-    w = Window.orderBy(F.col("_t").desc_nulls_last())
-    ranks = (
-        config.select(F.col("submitted_at").alias("_t")).distinct()
-        .select("_t", F.dense_rank().over(w).alias("rnk"))
-    )
-    return (
-        config.select("scenario", "submitted_at")
-        .join(ranks, F.col("submitted_at").eqNullSafe(F.col("_t")))
-        .select("scenario", "submitted_at", "rnk")
-    )
-
-
 def latest_scenario(config: DataFrame) -> DataFrame:
     """One row: the scenario at rank 1; ties broken by name (ascending).
 
@@ -91,76 +66,99 @@ def _lenient_columns(n: int) -> list[str]:
     return cols
 
 
+def _code_rows(rows: DataFrame) -> DataFrame:
+    """The config unpivoted: (criterion, code, code_group), one row a cell."""
+    n = criteria_in(rows.columns)
+    parts = ", ".join(f"{i}, c{i}_code, c{i}_group" for i in range(1, n + 1))
+    return rows.selectExpr(f"stack({n}, {parts}) AS (criterion, code, code_group)").select(
+        F.col("criterion").cast("int").alias("criterion"), "code", "code_group"
+    )
+
+
 def scenario_params_frame(rows: DataFrame) -> DataFrame:
     """One-row aggregate over the scenario rows holding every scalar read.
 
-    Strict read (a scalar subquery over ``SELECT DISTINCT col``): the set of
-    distinct values plus a NULL flag. ``collect_set`` over the scenario's few
-    rows keeps this one pass with no ``Expand`` (forty ``count_distinct``
-    would plan one projection each). Lenient read: ``MAX``.
+    Strict read (the only value of the column, NULL counting as one): the
+    least and the greatest value and the number of values, plain aggregates
+    whatever the column holds. Lenient read: ``MAX``.
     """
-    n = n_criteria_of(rows)
+    n = criteria_in(rows.columns)
     aggs = []
     for c in _strict_columns(n):
-        aggs += [
-            F.collect_set(c).alias(f"{c}__set"),
-            F.max(F.col(c).isNull().cast("int")).alias(f"{c}__null"),
-        ]
+        aggs += [F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max"), F.count(c).alias(f"{c}__n")]
     aggs += [F.max(c).alias(c) for c in _lenient_columns(n)]
-    for i in range(1, n + 1):
-        code = F.col(f"c{i}_code")
-        codes = F.collect_set(code)
-        aggs += [
-            F.size(F.collect_set(f"c{i}_group")).alias(f"c{i}_group_total"),
-            # the code values come back only when few enough for a scan filter
-            F.when(F.size(codes) <= F.lit(SCAN_CODE_FILTER_MAX), codes).alias(f"c{i}_codes"),
-            F.size(
-                F.collect_set(F.when(code.isNotNull(), F.struct(code, F.col(f"c{i}_group"))))
-            ).alias(f"c{i}_code_rows"),
-        ]
     aggs.append(F.count("*").alias("n_rows"))
     aggs.append(F.max("scenario").alias("__name"))
     return rows.agg(*aggs)
 
 
+def code_stats_frame(rows: DataFrame) -> DataFrame:
+    """Per criterion: distinct groups (all rows), distinct codes, and the rows
+    and bytes of the code list. Distinct counts over the unpivoted list, so no
+    task holds a list whole."""
+    cells = _code_rows(rows)
+    size = F.coalesce(F.octet_length("code"), F.lit(0)) + F.coalesce(F.octet_length("code_group"), F.lit(0)) + 16
+    listed = cells.groupBy("criterion", "code", "code_group").agg(F.count("*"))
+    has_code = F.col("code").isNotNull()
+    return listed.groupBy("criterion").agg(
+        F.count_distinct("code_group").alias("groups"),
+        F.count_distinct("code").alias("codes"),
+        F.count(F.when(has_code, 1)).alias("code_rows"),
+        F.coalesce(F.sum(F.when(has_code, size)), F.lit(0)).alias("code_bytes"),
+    )
+
+
 def _strict(row, col: str):
-    values = row[f"{col}__set"] or []
-    n = len(values) + (1 if row[f"{col}__null"] else 0)
-    if n > 1:
+    n, total = row[f"{col}__n"], row["n_rows"]
+    low, high = row[f"{col}__min"], row[f"{col}__max"]
+    if low != high or 0 < n < total:
         raise ScenarioConfigError(
-            f"config column {col!r} holds {n} different values (NULL counts) "
+            f"config column {col!r} holds more than one value (NULL counts) "
             "for one scenario; a scalar setting must be the same on every row"
         )
-    return values[0] if values else None
+    return low
 
 
 _UNKNOWN = object()
 
 
 def scenario_params(rows: DataFrame, name=_UNKNOWN) -> ScenarioSpec:
-    """Read the scenario's scalars (one small action) into a ScenarioSpec.
+    """Read the scenario's scalars into a ScenarioSpec: one row of scalars, one
+    row of counts a criterion, and the code values when they are few.
 
-    Without ``name``, the name is read from the rows in the same action.
+    Without ``name``, the name is read from the rows.
     """
-    n = n_criteria_of(rows)
+    n = criteria_in(rows.columns)
     row = scenario_params_frame(rows).first()
     if name is _UNKNOWN:
         name = row["__name"]
+    return _spec(rows, row, name, n)
+
+
+def _spec(rows: DataFrame, row, name, n: int) -> ScenarioSpec:
+    stats = {r["criterion"]: r for r in code_stats_frame(rows).collect()}
+    few = [i for i, r in stats.items() if r["codes"] <= SCAN_CODE_FILTER_MAX]
+    values: dict[int, list[str]] = {i: [] for i in few}
+    if few:  # at most SCAN_CODE_FILTER_MAX values a criterion
+        listed = _code_rows(rows).where(F.col("code").isNotNull() & F.col("criterion").isin(few))
+        for r in listed.select("criterion", "code").distinct().collect():
+            values[r["criterion"]].append(r["code"])
     crits = []
     for i in range(1, n + 1):
-        birth_op = _strict(row, f"c{i}_birth_op")
+        s = stats.get(i)
         crits.append(
             CriterionSpec(
                 number=i,
                 start=_strict(row, f"c{i}_start"),
                 end=_strict(row, f"c{i}_end"),
-                birth_op=birth_op,
+                birth_op=_strict(row, f"c{i}_birth_op"),
                 birth_year=_strict(row, f"c{i}_birth_year"),
                 logic=_strict(row, f"c{i}_logic"),
                 min_claims=_strict(row, f"c{i}_min_claims"),
-                group_total=int(row[f"c{i}_group_total"] or 0),
-                codes=None if row[f"c{i}_codes"] is None else tuple(sorted(row[f"c{i}_codes"])),
-                code_rows=int(row[f"c{i}_code_rows"] or 0),
+                group_total=int(s["groups"]) if s else 0,
+                codes=tuple(sorted(values.get(i, []))) if s is None or i in values else None,
+                code_rows=int(s["code_rows"]) if s else 0,
+                code_bytes=int(s["code_bytes"]) if s else 0,
             )
         )
     pairs = []
@@ -184,20 +182,7 @@ def config_codes(rows: DataFrame) -> DataFrame:
     The wide config can repeat a (code, group) pair; ``distinct`` keeps one.
     A code listed under two groups stays twice, as it should.
     """
-    n = n_criteria_of(rows)
-    parts = ", ".join(f"{i}, c{i}_code, c{i}_group" for i in range(1, n + 1))
-    return (
-        rows.selectExpr(f"stack({n}, {parts}) AS (criterion, code, code_group)")
-        .where(F.col("code").isNotNull())
-        .select(F.col("criterion").cast("int").alias("criterion"), "code", "code_group")
-        .distinct()
-    )
-
-
-def config_group_total(rows: DataFrame) -> DataFrame:
-    """Distinct non-NULL groups per criterion (all groups, AND logic)."""
-    n = n_criteria_of(rows)
-    return rows.agg(*[F.count_distinct(f"c{i}_group").alias(f"c{i}_group_total") for i in range(1, n + 1)])
+    return _code_rows(rows).where(F.col("code").isNotNull()).distinct()
 
 
 def load_scenario(config: DataFrame, name: str | None = None, pick_latest: bool = True):
@@ -207,11 +192,13 @@ def load_scenario(config: DataFrame, name: str | None = None, pick_latest: bool
     mode); a name selects that scenario directly.
     """
     if name is None and pick_latest:
-        # rows of the latest name: a semi join with the one-row top-1 (its
-        # size is bounded by the limit), read in the same action as the
-        # settings
-        rows = config.join(F.broadcast(latest_scenario(config)), "scenario", "left_semi")
-        spec = scenario_params(rows)
+        # the scalars of the latest name: a semi join with the one-row top-1
+        # (its size is bounded by the limit), read in one action; from here on
+        # the name is fixed, so a scenario submitted meanwhile can't mix in
+        latest = config.join(F.broadcast(latest_scenario(config)), "scenario", "left_semi")
+        row = scenario_params_frame(latest).first()
+        rows = scenario_rows(config, row["__name"])
+        spec = _spec(rows, row, row["__name"], criteria_in(config.columns))
     else:
         rows = scenario_rows(config, name)
         spec = scenario_params(rows, name)

@@ -1,18 +1,18 @@
 """Result tables: create, append, replace one scenario, audit, preview.
 
-Tables are partitioned by ``scenario``: reading one scenario prunes the rest,
-and ``replace`` overwrites only that scenario's partition (dynamic partition
-overwrite). Appends go by column *name* with the schema checked first, where
+Tables are partitioned by ``scenario`` (pairs also by ``pair``): reading one
+scenario prunes the rest, and ``replace`` overwrites exactly the named
+partition. Appends go by column *name* with names and types checked first, where
 the reference inserted by position.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 class SchemaMismatch(ValueError):
@@ -33,14 +33,23 @@ def table_exists(spark: SparkSession, table: str) -> bool:
 
 
 def _check_schema(spark: SparkSession, df: DataFrame, table: str) -> DataFrame:
+    """``df`` in the table's column order; names and types must be the table's."""
     target = spark.table(table).schema
     names = [f.name for f in target.fields]
     missing = [n for n in names if n not in df.columns]
     extra = [c for c in df.columns if c not in names]
-    if missing or extra:
-        raise SchemaMismatch(f"{table}: missing {missing}, unexpected {extra}")
-    types = {f.name: f.dataType for f in target.fields}
-    return df.select(*[F.col(n).cast(types[n]).alias(n) for n in names])
+    other = [
+        f"{f.name}: {df.schema[f.name].dataType.simpleString()} for {f.dataType.simpleString()}"
+        for f in target.fields
+        if f.name in df.columns and df.schema[f.name].dataType != f.dataType
+    ]
+    if missing or extra or other:
+        raise SchemaMismatch(f"{table}: missing {missing}, unexpected {extra}, other types {other}")
+    return df.select(*names)
+
+
+def _literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def write_result(
@@ -49,9 +58,12 @@ def write_result(
     mode: str = "create",
     partition_by: tuple[str, ...] = ("scenario",),
     path: str | None = None,
+    partition: dict[str, str] | None = None,
 ) -> None:
     """``create``: create or replace the table; ``append``: add rows by name;
-    ``replace``: overwrite only the scenarios present in ``df``.
+    ``replace``: overwrite one ``partition`` of the table, named by values of
+    its first partition columns (e.g. ``{"scenario": "S"}``), with the rows of
+    ``df``, all of which must belong to it. An empty ``df`` empties it.
 
     ``path`` makes a created table external, with its data at that location
     (a shared folder); otherwise it lives in the catalog's warehouse.
@@ -66,19 +78,20 @@ def write_result(
         # aligned by name first, so the positional insert is safe
         _check_schema(spark, df, table).write.insertInto(table, overwrite=False)
     elif mode == "replace":
+        if not partition:
+            raise ValueError("replace needs the partition to overwrite")
         if not table_exists(spark, table):
             return write_result(df, table, "create", partition_by, path)
         aligned = _check_schema(spark, df, table)
-        # insertInto is positional: ``aligned`` is already in table order.
-        # Dynamic overwrite replaces only the partitions present in ``df``;
-        # insertInto takes it from the session, so set it for this write only.
-        key = "spark.sql.sources.partitionOverwriteMode"
-        before = spark.conf.get(key)
-        spark.conf.set(key, "dynamic")
+        values = ", ".join(f"`{k}` = {_literal(v)}" for k, v in partition.items())
+        name = "_" + uuid.uuid4().hex
+        aligned.drop(*partition).createOrReplaceTempView(name)
         try:
-            aligned.write.mode("overwrite").insertInto(table)
+            quoted = ".".join(f"`{x}`" for x in table.split("."))
+            # static for the named columns: the partition is emptied also when no row comes in
+            spark.sql(f"INSERT OVERWRITE TABLE {quoted} PARTITION ({values}) SELECT * FROM {name}")
         finally:
-            spark.conf.set(key, before)
+            spark.catalog.dropTempView(name)
     else:
         raise ValueError(f"unknown write mode {mode!r}")
 
@@ -110,7 +123,3 @@ def preview_frame(df: DataFrame, n: int = 1) -> DataFrame:
 def preview(df: DataFrame, n: int = 1) -> list[dict]:
     """The preview as records (column name to value)."""
     return [r.asDict() for r in preview_frame(df, n).collect()]
-
-
-def empty_result(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)

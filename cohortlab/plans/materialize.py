@@ -10,28 +10,67 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from .session import scratch_path
 
 
+class RunScratch:
+    """The folder of one run under the scratch root; ``close`` deletes it.
+
+    Close it when the run's results have been read or written elsewhere: the
+    results are lazy and read the folder.
+    """
+
+    def __init__(self, spark: SparkSession, name: str = "run") -> None:
+        self.spark, self.path, self.closed = spark, scratch_path(spark, name), False
+
+    def folder(self, name: str) -> str:
+        return f"{self.path}/{name}-{uuid.uuid4().hex[:12]}"
+
+    def close(self) -> None:
+        if not self.closed:
+            delete_folder(self.spark, self.path)
+            self.closed = True
+
+    def __enter__(self) -> RunScratch:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library in any store that Spark writes to."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def observed(df: DataFrame, name: str, metrics: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """``df`` with named aggregates that the next write of it computes on the way."""
+    obs = Observation(f"{name}_metrics_{uuid.uuid4().hex[:8]}")
+    return df.observe(obs, *[e.alias(k) for k, e in metrics.items()]), obs
+
+
 def materialize(
     df: DataFrame,
     name: str,
     partition_by: list[str] | None = None,
     observe: dict[str, Column] | None = None,
+    scratch: RunScratch | None = None,
 ) -> DataFrame | tuple[DataFrame, dict]:
-    """Write ``df`` once under the scratch folder and return it read back.
+    """Write ``df`` once under the scratch folder (``scratch``: the run's own)
+    and return it read back.
 
-    ``observe``: named aggregate expressions computed by the same write job
-    (``DataFrame.observe``); when given, returns ``(df, metrics)``.
+    ``observe``: named aggregate expressions computed by the same write job;
+    when given, returns ``(df, metrics)``.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch.folder(name) if scratch else scratch_path(spark, name)
     obs = None
     if observe:
-        obs = Observation(f"{name}_metrics_{uuid.uuid4().hex[:8]}")
-        df = df.observe(obs, *[e.alias(k) for k, e in observe.items()])
+        df, obs = observed(df, name, observe)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -1,337 +1,180 @@
-"""DuckDB oracle SQL for the registered queries.
-
-The oracle follows the straightforward SQL shape of the operators: scalar
-subqueries over the scenario's config rows, one statement per criterion and
-channel, naive event-by-event joins for the combines, DISTINCT at the end. It
-shares none of the rewrites of the Spark plans (long form, counts before the
-patient join, min/max combine), so a match checks those rewrites.
-
-Types are pinned to the Spark side: ``age``, ``birth_year`` and
-``criterion`` are INTEGER, dates are DATE.
+"""DuckDB SQL that must return the rows of the registered queries.
+
+Written from the rules, not from the engine: a scenario's settings stand in
+the text as literals, claims of all channels are one relation, a criterion is
+one HAVING over its hits, and a combine pairs events and tests each pair. None
+of the engine's shortcuts (many criteria in one pass, counts before the
+patient join, earliest and latest dates instead of pairs) is used, and no
+constant is imported from it.
 """
 
 from __future__ import annotations
 
-from ..sources.fixtures import SQL_INPUT_VIEWS, sql_config
-from ..sources.schemas import COHORT_COLUMNS, CRITERION_COLUMNS, PAIR_COLUMNS
-from ..spec import AGE_BAND_UNKNOWN, AGE_BANDS, SENTINEL_DATE, SOURCE_TAGS
-
-AS_OF_YEAR = 2025
-CHANNEL_VIEWS = {"dx": "dx_events", "px": "px_events", "rx": "rx_events"}
-
-
-def _q(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def age_sql(by: str) -> str:
-    return f"CAST({AS_OF_YEAR} - {by} AS INTEGER)"
-
+import datetime as dt
 
-def band_sql(by: str) -> str:
-    a = age_sql(by)
-    parts = [f"WHEN {by} IS NULL THEN {_q(AGE_BAND_UNKNOWN)}"]
-    for label, lo, hi in AGE_BANDS:
-        if lo is None:
-            parts.append(f"WHEN {a} <= {hi} THEN {_q(label)}")
-        elif hi is None:
-            parts.append(f"WHEN {a} >= {lo} THEN {_q(label)}")
-        else:
-            parts.append(f"WHEN {a} BETWEEN {lo} AND {hi} THEN {_q(label)}")
-    return "CASE " + " ".join(parts) + f" ELSE {_q(AGE_BAND_UNKNOWN)} END"
-
-
-class Sql:
-    """Collects CTEs in order and renders ``WITH ... SELECT``."""
-
-    def __init__(self) -> None:
-        self.ctes: dict[str, str] = {}
-
-    def add(self, name: str, body: str) -> str:
-        if name not in self.ctes:
-            self.ctes[name] = body
-        return name
-
-    def render(self, final: str) -> str:
-        with_ = ",\n".join(f"{n} AS ({b})" for n, b in self.ctes.items())
-        return f"WITH {with_}\n{final}"
-
-    # -- inputs and config -------------------------------------------------
-    def inputs(self) -> None:
-        for name, body in SQL_INPUT_VIEWS.items():
-            self.add(name, body)
-
-    def config(self, scenario: str | None, cfg: str = "cfg") -> str:
-        """``cfg``: the scenario's rows. ``scenario=None``: the latest one."""
-        self.add("config", sql_config())
-        if scenario is None:
-            self.add(
-                "ranked",
-                "SELECT scenario, DENSE_RANK() OVER (ORDER BY submitted_at DESC NULLS LAST) AS rnk FROM config",
-            )
-            body = (
-                "SELECT * FROM config WHERE scenario = "
-                "(SELECT scenario FROM ranked WHERE rnk = 1 ORDER BY scenario LIMIT 1)"
-            )
-        else:
-            body = f"SELECT * FROM config WHERE scenario = {_q(scenario)}"
-        return self.add(cfg, body)
-
-    # -- criterion ---------------------------------------------------------
-    def channel(self, n: int, ch: str, cfg: str = "cfg", birth: bool = True) -> str:
-        s = lambda expr: f"(SELECT DISTINCT {expr} FROM {cfg})"
-        where = f"e.service_date BETWEEN {s(f'c{n}_start')} AND {s(f'c{n}_end')}"
-        if birth:
-            where += (
-                f" AND (({s(f'c{n}_birth_op')} = '<=' AND p.birth_year <= {s(f'c{n}_birth_year')})"
-                f" OR ((SELECT MAX(c{n}_birth_op) FROM {cfg}) = '>=' AND p.birth_year >= {s(f'c{n}_birth_year')}))"
-            )
-        body = f"""
-        SELECT DISTINCT e.patient_id, e.service_date, e.claim_id, k.c{n}_group AS code_group,
-               p.gender, p.state, p.birth_year, {age_sql('p.birth_year')} AS age,
-               {_q(SOURCE_TAGS[ch])} AS source, CAST({n} AS INTEGER) AS criterion,
-               {band_sql('p.birth_year')} AS age_group, k.scenario
-        FROM {CHANNEL_VIEWS[ch]} e
-        JOIN {cfg} k ON e.code = k.c{n}_code
-        LEFT JOIN patients p ON e.patient_id = p.patient_id
-        WHERE {where}"""
-        return self.add(f"{cfg}_m{n}_{ch}{'' if birth else '_nobirth'}", body)
-
-    def matched(self, n: int, cfg: str = "cfg") -> str:
-        names = [self.channel(n, ch, cfg) for ch in CHANNEL_VIEWS]
-        return self.add(f"{cfg}_m{n}", " UNION ALL ".join(f"SELECT * FROM {x}" for x in names))
-
-    def group_counts(self, n: int, cfg: str = "cfg") -> str:
-        m = self.matched(n, cfg)
-        return self.add(
-            f"{cfg}_g{n}", f"SELECT patient_id, COUNT(DISTINCT code_group) AS n_groups FROM {m} GROUP BY patient_id"
-        )
-
-    def group_ok(self, n: int, cfg: str = "cfg") -> str:
-        g = self.group_counts(n, cfg)
-        return self.add(
-            f"{cfg}_gok{n}",
-            f"""SELECT patient_id FROM {g} WHERE n_groups >= CASE
-                WHEN (SELECT DISTINCT c{n}_logic FROM {cfg}) = 'AND'
-                THEN (SELECT COUNT(DISTINCT c{n}_group) FROM {cfg}) ELSE 1 END""",
-        )
+from ..sources.fixtures import SCENARIOS, SQL_INPUT_VIEWS, CriterionFixture
 
-    def claim_counts(self, n: int, cfg: str = "cfg") -> str:
-        m = self.matched(n, cfg)
-        return self.add(
-            f"{cfg}_c{n}", f"SELECT patient_id, COUNT(DISTINCT claim_id) AS n_claims FROM {m} GROUP BY patient_id"
+AS_OF_YEAR = 2025
+TAGS = {"dx_events": "Dx", "px_events": "Px", "rx_events": "Rx"}
+PERSON = "birth_year, gender, state, age"
+AGE = f"CAST({AS_OF_YEAR} - birth_year AS INTEGER)"
+BAND = f"""CASE WHEN birth_year IS NULL THEN 'NA' WHEN {AGE} < 19 THEN '0-18' WHEN {AGE} < 31 THEN '19-30'
+    WHEN {AGE} < 51 THEN '31-50' WHEN {AGE} < 61 THEN '51-60' ELSE '60+' END"""
+EVENT = ("patient_id", "service_date", "birth_year", "gender", "state", "age", "code_group", "source", "age_group")
+PATIENT = tuple(c for c in EVENT if c != "service_date")
+
+
+def lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, dt.date):
+        return f"DATE '{v}'"
+    return str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+
+
+def latest() -> str:
+    newest = max(s.submitted_at for s in SCENARIOS.values())
+    return min(s.name for s in SCENARIOS.values() if s.submitted_at == newest)
+
+
+class Answer:
+    """SQL for one scenario (the latest if none is named)."""
+
+    def __init__(self, scenario: str | None = None, inputs: dict[str, str] = SQL_INPUT_VIEWS) -> None:
+        self.fixture = SCENARIOS[scenario or latest()]
+        self.name = self.fixture.name
+        self.parts = [f"{view} AS ({body})" for view, body in inputs.items()]
+        self.parts.append(
+            "claims AS (" + " UNION ALL ".join(
+                f"SELECT patient_id, service_date, claim_id, code, '{tag}' AS source FROM {view}" for view, tag in TAGS.items()) + ")"
         )
+        self.parts.append(f"people AS (SELECT *, {AGE} AS age, {BAND} AS age_group FROM patients)")
 
-    def claim_ok(self, n: int, cfg: str = "cfg") -> str:
-        m = self.matched(n, cfg)
-        return self.add(
-            f"{cfg}_cok{n}",
-            f"""SELECT patient_id FROM {m} GROUP BY patient_id
-                HAVING COUNT(DISTINCT claim_id) >= (SELECT DISTINCT c{n}_min_claims FROM {cfg})""",
-        )
+    def sql(self, last: str) -> str:
+        return "WITH " + ",\n".join(self.parts) + "\n" + last
 
-    def criterion(self, n: int, cfg: str = "cfg") -> str:
-        m, g, c = self.matched(n, cfg), self.group_ok(n, cfg), self.claim_ok(n, cfg)
-        cols = ", ".join(f"a.{x}" for x in CRITERION_COLUMNS)
-        return self.add(
-            f"{cfg}_crit{n}",
-            f"""SELECT DISTINCT {cols} FROM {m} a
-                JOIN {g} g ON a.patient_id = g.patient_id
-                JOIN {c} q ON a.patient_id = q.patient_id""",
-        )
+    def define(self, name: str, body: str) -> str:
+        if not any(p.startswith(f"{name} AS ") for p in self.parts):
+            self.parts.append(f"{name} AS ({body})")
+        return name
 
-    # -- combine -------------------------------------------------------------
-    def combine(self, name: str, left: str, right: str, p: str, keep_date: bool, cfg: str = "cfg") -> str:
-        op = f"COALESCE((SELECT MAX(c{p}_gap_op) FROM {cfg}), '')"
-        days = f"COALESCE((SELECT MAX(c{p}_gap_days) FROM {cfg}), 0)"
-        sentinel = f"DATE '{SENTINEL_DATE.isoformat()}'"
-        diff = f"date_diff('day', COALESCE(l.service_date, {sentinel}), COALESCE(r.service_date, {sentinel}))"
-        tests = " OR ".join(f"({op} = '{o}' AND {diff} {o} {days})" for o in (">", "<", ">=", "<="))
-        gap = f"CASE WHEN {op} <> '' THEN ({tests}) ELSE TRUE END"
-        cols = PAIR_COLUMNS if keep_date else COHORT_COLUMNS
-
-        def select(first_key: str) -> str:
-            rest = [f"COALESCE(l.{c}, r.{c}) AS {c}" for c in cols if c != "patient_id"]
-            return ", ".join([f"{first_key} AS patient_id"] + rest)
-
-        on = "l.patient_id = r.patient_id AND l.scenario = r.scenario"
-        scen = f"COALESCE(l.scenario, r.scenario) IN (SELECT scenario FROM {cfg})"
-        logic = f"(SELECT DISTINCT c{p}_logic FROM {cfg})"
-        body = f"""
-        SELECT {select('l.patient_id')} FROM {left} l JOIN {right} r ON {on}
-        WHERE {scen} AND {logic} = 'AND' AND ({gap})
-        UNION
-        SELECT {select('COALESCE(l.patient_id, r.patient_id)')} FROM {left} l FULL OUTER JOIN {right} r ON {on}
-        WHERE {scen} AND {logic} = 'OR' AND ({gap})"""
-        return self.add(name, body)
-
-    def chain(self, cfg: str = "cfg") -> tuple[str, str]:
-        """(pair 12, cohort 123) of a three-criterion scenario."""
-        c1, c2, c3 = (self.criterion(n, cfg) for n in (1, 2, 3))
-        pair = self.combine(f"{cfg}_p12", c1, c2, "12", keep_date=True, cfg=cfg)
-        cohort = self.combine(f"{cfg}_p123", pair, c3, "123", keep_date=False, cfg=cfg)
-        return pair, cohort
-
-
-def _start(scenario: str | None, cfg: str = "cfg") -> Sql:
-    q = Sql()
-    q.inputs()
-    q.config(scenario, cfg)
-    return q
-
-
-def select_all(name: str, cols) -> str:
-    return f"SELECT {', '.join(cols)} FROM {name}"
+    def criterion_fixture(self, n: int) -> CriterionFixture:
+        return self.fixture.criteria[n - 1]
+
+    def listed(self, n: int) -> list[tuple[str, str | None]]:
+        """Codes and groups of all submissions under the name."""
+        own = list(self.criterion_fixture(n).codes)
+        return own + (list(self.fixture.earlier[1]) if self.fixture.earlier and n == 1 else [])
+
+    def born(self, n: int, column: str = "birth_year") -> str:
+        c = self.criterion_fixture(n)
+        return f"{column} {c.birth_op} {lit(c.birth_year)}" if c.birth_op in ("<=", ">=") else "FALSE"
+
+    def hits(self, n: int) -> str:
+        c = self.criterion_fixture(n)
+        rows = ", ".join(f"({lit(k)}, {lit(g)})" for k, g in sorted(set(self.listed(n)), key=str))
+        return self.define(f"hits_{n}", f"""
+            SELECT patient_id, service_date, claim_id, source, CAST(code_group AS VARCHAR) AS code_group
+            FROM claims JOIN (VALUES {rows}) AS listed(code, code_group) USING (code)
+            WHERE service_date BETWEEN {lit(c.start)} AND {lit(c.end)}""")
+
+    def having(self, n: int, groups: bool = True, claims: bool = True) -> str:
+        c = self.criterion_fixture(n)
+        least = len({g for _, g in self.listed(n) if g is not None}) if c.logic == "AND" else 1
+        tests = [f"count(DISTINCT code_group) >= {least}"] * groups + [f"count(DISTINCT claim_id) >= {c.min_claims}"] * claims
+        return " AND ".join(tests)
+
+    def criterion(self, n: int) -> str:
+        hits = self.hits(n)
+        return self.define(f"criterion_{n}", f"""
+            SELECT DISTINCT patient_id, service_date, {PERSON}, code_group, source, age_group, CAST({n} AS INTEGER) AS criterion
+            FROM {hits} JOIN people USING (patient_id)
+            WHERE {self.born(n)} AND patient_id IN (SELECT patient_id FROM {hits} GROUP BY patient_id HAVING {self.having(n)})""")
+
+    def joined(self, name: str, left: str, right: str, pair: int, columns: tuple[str, ...]) -> str:
+        """``left`` and ``right`` combined by the scenario's pair number ``pair``."""
+        logic, op, days = self.fixture.pairs[pair]
+        kind = {"AND": "INNER", "OR": "FULL"}.get(logic)
+        day = lambda side: f"coalesce({side}.service_date, DATE '1900-01-01')"
+        test = "TRUE" if not op else f"{day('r')} - {day('l')} {op} {days or 0}" if op in (">", "<", ">=", "<=") else "FALSE"
+        values = ", ".join(f"coalesce(l.{c}, r.{c}) AS {c}" for c in columns)
+        return self.define(name, f"""SELECT DISTINCT {values} FROM {left} l {kind or 'INNER'} JOIN {right} r ON l.patient_id = r.patient_id
+            WHERE {test if kind else 'FALSE'}""")
+
+    def pair(self) -> str:
+        return self.joined("pair_12", self.criterion(1), self.criterion(2), 0, EVENT)
+
+    def cohort(self) -> str:
+        return self.joined("cohort", self.pair(), self.criterion(3), 1, PATIENT)
+
+    def rows(self, of: str) -> str:
+        return f"SELECT *, {lit(self.name)} AS scenario FROM {of}"
 
 
 def criterion_sql(n: int, scenario: str | None = None) -> str:
-    q = _start(scenario)
-    return q.render(select_all(q.criterion(n), CRITERION_COLUMNS))
+    a = Answer(scenario)
+    return a.sql(a.rows(a.criterion(n)))
 
 
 def criteria_sql(scenario: str | None = None, copies: int = 1) -> str:
-    q = _start(scenario)
-    names = [q.criterion(n) for n in (1, 2, 3)]
-    one = " UNION ALL ".join(select_all(x, CRITERION_COLUMNS) for x in names)
-    return q.render(" UNION ALL ".join([f"({one})"] * copies))
-
-
-def pair_sql(scenario: str | None) -> str:
-    q = _start(scenario)
-    pair, _ = q.chain()
-    return q.render(select_all(pair, PAIR_COLUMNS))
-
-
-def cohort_sql(scenario: str | None) -> str:
-    q = _start(scenario)
-    _, cohort = q.chain()
-    return q.render(select_all(cohort, COHORT_COLUMNS))
-
+    a = Answer(scenario)
+    return a.sql(" UNION ALL ".join(a.rows(a.criterion(n)) for _ in range(copies) for n in (1, 2, 3)))
 
-def count_sql(inner_final: str, q: Sql) -> str:
-    return q.render(f"SELECT CAST(COUNT(*) AS BIGINT) AS n_rows FROM ({inner_final}) t")
 
+def pair_sql(scenario: str | None = None) -> str:
+    a = Answer(scenario)
+    return a.sql(a.rows(a.pair()))
 
-def pair_count_sql(scenario: str) -> str:
-    q = _start(scenario)
-    pair, _ = q.chain()
-    return count_sql(select_all(pair, PAIR_COLUMNS), q)
 
+def cohort_sql(scenario: str | None = None) -> str:
+    a = Answer(scenario)
+    return a.sql(a.rows(a.cohort()))
 
-def cohort_count_sql(scenario: str) -> str:
-    q = _start(scenario)
-    _, cohort = q.chain()
-    return count_sql(select_all(cohort, COHORT_COLUMNS), q)
 
+def counts_sql(scenario: str | None = None) -> str:
+    """Rows of every result; those of an empty one are 0."""
+    a = Answer(scenario)
+    a.cohort()
+    names = {"criterion_1": "criterion_1", "criterion_2": "criterion_2", "criterion_3": "criterion_3", "pair_12": "pair_12", "cohort": "cohort"}
+    return a.sql(" UNION ALL ".join(f"SELECT '{k}' AS table_name, count(*) AS n_rows FROM {v}" for k, v in names.items()))
 
-def criterion_count_sql(n: int, scenario: str) -> str:
-    q = _start(scenario)
-    return count_sql(select_all(q.criterion(n), CRITERION_COLUMNS), q)
 
+def preview_sql(scenario: str | None = None) -> str:
+    a = Answer(scenario)
+    order = ", ".join(f"{c} NULLS FIRST" for c in PATIENT)
+    return a.sql(f"{a.rows(a.cohort())} ORDER BY {order} LIMIT 1")
 
-ENRICHED_COLUMNS = (
-    "patient_id", "service_date", "claim_id", "code_group", "gender", "state", "birth_year",
-    "age", "source", "criterion", "age_group", "scenario",
-)
 
+def hits_sql(n: int) -> str:
+    a = Answer()
+    return a.sql(f"SELECT *, CAST({n} AS INTEGER) AS criterion FROM {a.hits(n)}")
 
-def channel_sql(n: int, ch: str, scenario: str | None = None, birth: bool = True) -> str:
-    q = _start(scenario)
-    return q.render(select_all(q.channel(n, ch, birth=birth), ENRICHED_COLUMNS))
 
+def matched_sql(n: int, scenario: str | None = None, tag: str | None = None, born: bool = True) -> str:
+    """Hits with what is known of the patient, claim ids kept; without the
+    birth-year test also those of patients that aren't known."""
+    a = Answer(scenario)
+    tests = [f"source = '{tag}'"] * bool(tag) + [a.born(n)] * born
+    return a.sql(f"""SELECT DISTINCT patient_id, service_date, claim_id, code_group, source, {PERSON},
+        coalesce(age_group, 'NA') AS age_group, CAST({n} AS INTEGER) AS criterion, {lit(a.name)} AS scenario
+        FROM {a.hits(n)} LEFT JOIN people USING (patient_id) WHERE {' AND '.join(tests) or 'TRUE'}""")
 
-def matched_sql(n: int, scenario: str | None = None) -> str:
-    q = _start(scenario)
-    return q.render(select_all(q.matched(n), ENRICHED_COLUMNS))
 
+def per_patient_sql(n: int, value: str) -> str:
+    """``value``: an aggregate over a patient's hits; patients that pass the birth-year test."""
+    a = Answer()
+    return a.sql(f"SELECT patient_id, {value} FROM {a.hits(n)} JOIN people USING (patient_id) WHERE {a.born(n)} GROUP BY patient_id")
 
-def window_sql(n: int, scenario: str | None = None) -> str:
-    """Code list and date window only (no patient data)."""
-    q = _start(scenario)
-    parts = []
-    for ch, view in CHANNEL_VIEWS.items():
-        parts.append(
-            f"""SELECT CAST({n} AS INTEGER) AS criterion, e.patient_id, e.service_date, e.claim_id,
-                   k.c{n}_group AS code_group, {_q(SOURCE_TAGS[ch])} AS source
-            FROM {view} e JOIN (SELECT DISTINCT c{n}_code, c{n}_group FROM cfg) k ON e.code = k.c{n}_code
-            WHERE e.service_date BETWEEN (SELECT DISTINCT c{n}_start FROM cfg) AND (SELECT DISTINCT c{n}_end FROM cfg)"""
-        )
-    return q.render(" UNION ALL ".join(parts))
-
-
-def group_count_sql(n: int, scenario: str | None = None) -> str:
-    q = _start(scenario)
-    return q.render(f"SELECT patient_id, CAST(n_groups AS BIGINT) AS n_groups FROM {q.group_counts(n)}")
-
-
-def group_ok_sql(n: int, scenario: str | None = None) -> str:
-    q = _start(scenario)
-    return q.render(f"SELECT patient_id FROM {q.group_ok(n)}")
 
+def qualified_sql(n: int, groups: bool = False, claims: bool = False) -> str:
+    a = Answer()
+    return a.sql(f"""SELECT patient_id FROM {a.hits(n)} JOIN people USING (patient_id) WHERE {a.born(n)}
+        GROUP BY patient_id HAVING {a.having(n, groups, claims)}""")
 
-def claim_count_sql(n: int, scenario: str | None = None) -> str:
-    q = _start(scenario)
-    return q.render(f"SELECT patient_id, CAST(n_claims AS BIGINT) AS n_claims FROM {q.claim_counts(n)}")
 
-
-def claim_ok_sql(n: int, scenario: str | None = None) -> str:
-    q = _start(scenario)
-    return q.render(f"SELECT patient_id FROM {q.claim_ok(n)}")
+def scan_sql(view: str) -> str:
+    return Answer().sql(f"SELECT * FROM {view}")
 
 
-def scan_sql(view: str) -> str:
-    q = Sql()
-    q.inputs()
-    return q.render(f"SELECT * FROM {view}")
-
-
-def tagged_sql() -> str:
-    q = Sql()
-    q.inputs()
-    return q.render(
-        " UNION ALL ".join(
-            f"SELECT patient_id, service_date, claim_id, code, {_q(SOURCE_TAGS[ch])} AS source FROM {v}"
-            for ch, v in CHANNEL_VIEWS.items()
-        )
-    )
-
-
-def age_sql_query(with_band: bool) -> str:
-    q = Sql()
-    q.inputs()
-    band = f", {band_sql('birth_year')} AS age_group" if with_band else ""
-    return q.render(f"SELECT patient_id, birth_year, {age_sql('birth_year')} AS age{band} FROM patients")
-
-
-def scenario_filter_sql(scenario: str, other: str) -> str:
-    """Pair of ``scenario`` when both criterion inputs also hold ``other``."""
-    q = Sql()
-    q.inputs()
-    q.config(scenario, "cfg")
-    q.config(other, "cfg_o")
-    a1, a2 = q.criterion(1, "cfg"), q.criterion(2, "cfg")
-    b1, b2 = q.criterion(1, "cfg_o"), q.criterion(2, "cfg_o")
-    cols = ", ".join(CRITERION_COLUMNS)
-    left = q.add("both1", f"SELECT {cols} FROM {a1} UNION ALL SELECT {cols} FROM {b1}")
-    right = q.add("both2", f"SELECT {cols} FROM {a2} UNION ALL SELECT {cols} FROM {b2}")
-    pair = q.combine("pair_f", left, right, "12", keep_date=True, cfg="cfg")
-    return q.render(select_all(pair, PAIR_COLUMNS))
-
-
-def audit_sql(scenario: str | None = None) -> str:
-    q = _start(scenario)
-    names = [q.criterion(n) for n in (1, 2, 3)]
-    pair, cohort = q.chain()
-    crit = " UNION ALL ".join(f"SELECT patient_id FROM {x}" for x in names)
-    return q.render(
-        f"""SELECT 'criterion_events' AS table_name, CAST(COUNT(*) AS BIGINT) AS n_rows FROM ({crit}) a
-        UNION ALL SELECT 'pair_events', CAST(COUNT(*) AS BIGINT) FROM {pair}
-        UNION ALL SELECT 'cohort', CAST(COUNT(*) AS BIGINT) FROM {cohort}"""
-    )
-
-
-def preview_sql(scenario: str | None = None, n: int = 1) -> str:
-    q = _start(scenario)
-    _, cohort = q.chain()
-    order = ", ".join(f"{c} ASC NULLS FIRST" for c in COHORT_COLUMNS)
-    return q.render(f"SELECT {', '.join(COHORT_COLUMNS)} FROM {cohort} ORDER BY {order} LIMIT {n}")
+def age_sql(band: bool) -> str:
+    return Answer().sql(f"SELECT patient_id, birth_year, age{', age_group' if band else ''} FROM people")

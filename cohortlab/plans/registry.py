@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.combine import combine, empty_count
+from ..operators.combine import combine
 from ..operators.criterion import (
     birth_filter,
     criterion_events,
@@ -30,9 +30,10 @@ from ..operators.scenario import load_scenario
 from ..operators.sinks import audit_counts, create_or_append, ensure_database, preview_frame, write_result
 from ..sources.fixtures import LATEST_SCENARIO, scenario_config, fixture_inputs
 from ..sources.schemas import COHORT_COLUMNS, CRITERION_COLUMNS, PAIR_COLUMNS
-from ..sources.tables import ClaimInputs
+from ..sources.tables import ClaimInputs, read_result
 from ..spec import SOURCE_TAGS
 from . import oracle as O
+from .materialize import RunScratch
 from .scenario_run import ResultTables, run_scenario, write_scenario
 from .session import apply_engine_conf, scratch_path
 
@@ -48,6 +49,19 @@ def _setup(spark: SparkSession, sf_dir: str, scenario: str | None):
     return inputs, spec, codes
 
 
+# What a key's last call stored; the next call of the key drops it. (Its result
+# is lazy, so it can't be dropped before.)
+_LEFT: dict[tuple[str, str], list[Callable[[], None]]] = {}
+
+
+def _fresh(spark: SparkSession, key: str) -> list[Callable[[], None]]:
+    mine = (spark.sparkContext.applicationId, key)
+    for drop in _LEFT.pop(mine, []):
+        drop()
+    _LEFT[mine] = []
+    return _LEFT[mine]
+
+
 # -- scans ---------------------------------------------------------------------
 def _scan(channel: str) -> QueryFn:
     def run(spark, sf_dir):
@@ -145,42 +159,46 @@ def _age(with_band: bool) -> QueryFn:
     return run
 
 
-def _criterion(n: int, scenario: str | None = None, count: bool = False) -> QueryFn:
+def _criterion(n: int, scenario: str | None = None) -> QueryFn:
     def run(spark, sf_dir):
         inputs, spec, codes = _setup(spark, sf_dir, scenario)
-        df = criterion_events(inputs, codes, spec, AS_OF_YEAR, criteria=[n])
-        return empty_count(df) if count else df
+        scratch = RunScratch(spark)
+        _fresh(spark, f"criterion {n} {scenario}").append(scratch.close)
+        return criterion_events(inputs, codes, spec, AS_OF_YEAR, criteria=[n], scratch=scratch)
 
     return run
 
 
 # -- combines ----------------------------------------------------------------------
-def _pair(scenario: str | None, count: bool = False) -> QueryFn:
-    def run(spark, sf_dir):
-        apply_engine_conf(spark)
-        res = run_scenario(spark, fixture_inputs(spark, sf_dir), scenario_config(spark), scenario, AS_OF_YEAR)
-        df = res.pairs["12"]
-        return empty_count(df) if count else df
+def _run(spark, sf_dir, scenario: str | None, key: str, pairs: int | None = None):
+    res = run_scenario(spark, fixture_inputs(spark, sf_dir), scenario_config(spark), scenario, AS_OF_YEAR, pairs=pairs)
+    _fresh(spark, key).append(res.close)
+    return res
 
-    return run
+
+def _pair(scenario: str | None) -> QueryFn:
+    return lambda spark, sf_dir: _run(spark, sf_dir, scenario, f"pair {scenario}", pairs=1).pairs["12"]
 
 
-def _cohort(scenario: str | None, count: bool = False) -> QueryFn:
+def _cohort(scenario: str | None) -> QueryFn:
+    return lambda spark, sf_dir: _run(spark, sf_dir, scenario, f"cohort {scenario}").cohort
+
+
+def _counts_of(scenario: str) -> QueryFn:
+    """Rows of every result of a scenario: an empty one stands beside live ones."""
+
     def run(spark, sf_dir):
-        apply_engine_conf(spark)
-        res = run_scenario(spark, fixture_inputs(spark, sf_dir), scenario_config(spark), scenario, AS_OF_YEAR)
-        return empty_count(res.cohort) if count else res.cohort
+        res = _run(spark, sf_dir, scenario, f"counts {scenario}")
+        frames = {f"criterion_{n}": res.criterion(n) for n in (1, 2, 3)}
+        return audit_counts(spark, frames | {"pair_12": res.pairs["12"], "cohort": res.cohort})
 
     return run
 
 
 def q_scenario_filter(spark, sf_dir):
     """Criterion inputs holding two scenarios; combine one of them."""
-    apply_engine_conf(spark)
-    inputs = fixture_inputs(spark, sf_dir)
-    cfg = scenario_config(spark)
-    a = run_scenario(spark, inputs, cfg, "S_GE", AS_OF_YEAR)
-    b = run_scenario(spark, inputs, cfg, "S_SEQ", AS_OF_YEAR)
+    a = _run(spark, sf_dir, "S_GE", "filter a", pairs=1)
+    b = _run(spark, sf_dir, "S_SEQ", "filter b", pairs=1)
     both = a.criteria.unionByName(b.criteria)
     left = both.where(F.col("criterion") == 1).select(*PAIR_COLUMNS)
     right = both.where(F.col("criterion") == 2).select(*PAIR_COLUMNS)
@@ -188,82 +206,102 @@ def q_scenario_filter(spark, sf_dir):
 
 
 # -- sinks -------------------------------------------------------------------------
-def _fresh_table(label: str) -> str:
-    """A new external table name whose data lives in the shared scratch folder."""
-    return f"{label}_{uuid.uuid4().hex[:12]}"
+class _Tables:
+    """New external tables of a key, with their data in a folder of the shared scratch."""
+
+    def __init__(self, spark, key: str) -> None:
+        self.spark, self.scratch, self.left = spark, RunScratch(spark, "tables"), _fresh(spark, key)
+        self.left.append(self.scratch.close)
 
+    def name(self, label: str) -> str:
+        table = f"{label}_{uuid.uuid4().hex[:12]}"
+        self.left.insert(0, lambda: self.spark.sql(f"DROP TABLE IF EXISTS {table}"))
+        return table
 
-def _write(df: DataFrame, table: str, mode: str) -> None:
-    # new tables are external, with their data under the shared scratch folder
-    write_result(df, table, mode, path=scratch_path(df.sparkSession, table))
+    def results(self, database: str = "") -> ResultTables:
+        return ResultTables(*(self.name(f"{database}{t}") for t in ("criterion_events", "pair_events", "cohort")))
 
+    def write(self, df: DataFrame, table: str, mode: str, scenario: str | None = None) -> None:
+        write_result(df, table, mode, path=f"{self.scratch.path}/{table}", partition=scenario and {"scenario": scenario})
 
-def _crit_long(spark, sf_dir, scenario=None):
+
+def _crit_long(spark, sf_dir, tables: _Tables, scenario=None):
     inputs, spec, codes = _setup(spark, sf_dir, scenario)
-    return criterion_events(inputs, codes, spec, AS_OF_YEAR)
+    return criterion_events(inputs, codes, spec, AS_OF_YEAR, scratch=tables.scratch)
 
 
-def _read(spark, table):
-    return spark.table(table).select(*CRITERION_COLUMNS)
+def _read(spark, table, scenario: str | None = None):
+    return read_result(spark, table, scenario).select(*CRITERION_COLUMNS)
 
 
 def q_sink_create(spark, sf_dir):
-    t = _fresh_table("crit_create")
-    _write(_crit_long(spark, sf_dir), t, "create")
+    s = _Tables(spark, "sink_create")
+    t = s.name("crit_create")
+    s.write(_crit_long(spark, sf_dir, s), t, "create")
     return _read(spark, t)
 
 
 def q_sink_append(spark, sf_dir):
-    t = _fresh_table("crit_append")
-    df = _crit_long(spark, sf_dir)
-    _write(df, t, "create")
-    _write(df, t, "append")
+    s = _Tables(spark, "sink_append")
+    t = s.name("crit_append")
+    df = _crit_long(spark, sf_dir, s)
+    s.write(df, t, "create")
+    s.write(df, t, "append")
     return _read(spark, t)
 
 
 def q_sink_create_or_append(spark, sf_dir):
-    t = _fresh_table("crit_auto")
-    df = _crit_long(spark, sf_dir)
-    path = scratch_path(spark, t)
+    s = _Tables(spark, "sink_create_or_append")
+    t = s.name("crit_auto")
+    df = _crit_long(spark, sf_dir, s)
+    path = f"{s.scratch.path}/{t}"
     assert create_or_append(df, t, path) == "create"
     assert create_or_append(df, t, path) == "append"
     return _read(spark, t)
 
 
 def q_sink_replace(spark, sf_dir):
-    t = _fresh_table("crit_replace")
-    df = _crit_long(spark, sf_dir)
-    _write(df, t, "create")
-    _write(df, t, "append")
-    _write(df, t, "replace")  # overwrites this scenario's partition only
+    s = _Tables(spark, "sink_replace")
+    t = s.name("crit_replace")
+    df = _crit_long(spark, sf_dir, s)
+    s.write(df, t, "create")
+    s.write(df, t, "append")
+    s.write(df, t, "replace", LATEST_SCENARIO)
+    return _read(spark, t)
+
+
+def q_sink_replace_empty(spark, sf_dir):
+    """Two scenarios stored, one rerun to nothing: the other's rows remain."""
+    s = _Tables(spark, "sink_replace_empty")
+    t = s.name("crit_replace_empty")
+    df = _crit_long(spark, sf_dir, s)
+    s.write(df, t, "create")
+    s.write(_crit_long(spark, sf_dir, s, "S_ALL"), t, "append")
+    s.write(df.where(F.col("service_date") < F.lit("1900-01-01").cast("date")), t, "replace", LATEST_SCENARIO)
     return _read(spark, t)
 
 
 def q_scan_results(spark, sf_dir):
     """Stored results of two scenarios, read back pruned to one."""
-    t = _fresh_table("crit_two")
-    _write(_crit_long(spark, sf_dir, "S_ALL"), t, "create")
-    _write(_crit_long(spark, sf_dir, LATEST_SCENARIO), t, "append")
-    return _read(spark, t).where(F.col("scenario") == "S_ALL")
+    s = _Tables(spark, "scan_results")
+    t = s.name("crit_two")
+    s.write(_crit_long(spark, sf_dir, s, "S_ALL"), t, "create")
+    s.write(_crit_long(spark, sf_dir, s, LATEST_SCENARIO), t, "append")
+    return _read(spark, t, "S_ALL")
 
 
-def _result_tables(spark) -> ResultTables:
-    tag = uuid.uuid4().hex[:12]
-    return ResultTables(f"criterion_events_{tag}", f"pair_events_{tag}", f"cohort_{tag}")
+def _stored(spark, sf_dir, key: str, database: str = ""):
+    s = _Tables(spark, key)
+    tables = s.results(database)
+    done = write_scenario(
+        spark, fixture_inputs(spark, sf_dir), scenario_config(spark), tables, "auto", None, AS_OF_YEAR,
+        root=s.scratch.path,
+    )
+    return tables, done
 
 
 def q_audit_counts(spark, sf_dir):
-    apply_engine_conf(spark)
-    tables = _result_tables(spark)
-    write_scenario(
-        spark, fixture_inputs(spark, sf_dir), scenario_config(spark), tables, "auto", None, AS_OF_YEAR,
-        root=scratch_path(spark, "tables"),
-    )
-    return audit_counts(
-        spark,
-        {"criterion_events": spark.table(tables.criteria), "pair_events": spark.table(tables.pairs),
-         "cohort": spark.table(tables.cohort)},
-    )
+    return _stored(spark, sf_dir, "audit_counts")[1].counts
 
 
 def q_stored_cohort(spark, sf_dir):
@@ -271,12 +309,7 @@ def q_stored_cohort(spark, sf_dir):
     if missing), tables created and read back."""
     apply_engine_conf(spark)
     ensure_database(spark, RESULT_DB, scratch_path(spark, RESULT_DB), use=False)
-    tag = _result_tables(spark)
-    tables = ResultTables(*(f"{RESULT_DB}.{t}" for t in (tag.criteria, tag.pairs, tag.cohort)))
-    write_scenario(
-        spark, fixture_inputs(spark, sf_dir), scenario_config(spark), tables, "auto", None, AS_OF_YEAR,
-        root=scratch_path(spark, "tables"),
-    )
+    tables, _ = _stored(spark, sf_dir, "stored_cohort", f"{RESULT_DB}.")
     return spark.table(tables.cohort).select(*COHORT_COLUMNS)
 
 
@@ -292,27 +325,28 @@ REGISTRY: dict[str, tuple[QueryFn, str | None]] = {
     "scan_rx": (_scan("rx"), O.scan_sql("rx_events")),
     "scan_patients": (_scan("patients"), O.scan_sql("patients")),
     "scan_results": (q_scan_results, O.criteria_sql("S_ALL")),
-    "channel_tags": (q_channel_tags, O.tagged_sql()),
+    "channel_tags": (q_channel_tags, O.scan_sql("claims")),
     # criterion steps (latest scenario = S_SEQ)
-    "match_dx": (_match_channel("dx", 1), O.channel_sql(1, "dx")),
-    "match_px": (_match_channel("px", 2), O.channel_sql(2, "px")),
-    "match_rx": (_match_channel("rx", 3), O.channel_sql(3, "rx")),
-    "patient_enrich": (_match_channel("px", 2, birth=False), O.channel_sql(2, "px", birth=False)),
-    "date_window": (q_date_window, O.window_sql(1)),
+    "match_dx": (_match_channel("dx", 1), O.matched_sql(1, tag="Dx")),
+    "match_px": (_match_channel("px", 2), O.matched_sql(2, tag="Px")),
+    "match_rx": (_match_channel("rx", 3), O.matched_sql(3, tag="Rx")),
+    "patient_enrich": (_match_channel("rx", 3, birth=False), O.matched_sql(3, tag="Rx", born=False)),
+    "date_window": (q_date_window, O.hits_sql(1)),
     "birth_year_le": (_matched_all(1), O.matched_sql(1)),
     "birth_year_ge": (_matched_all(2), O.matched_sql(2)),
-    "birth_year_none": (_criterion(1, "S_BIRTH_EQ", count=True), O.criterion_count_sql(1, "S_BIRTH_EQ")),
-    "age": (_age(False), O.age_sql_query(False)),
-    "age_band": (_age(True), O.age_sql_query(True)),
-    "channel_union": (_matched_all(2), O.matched_sql(2)),
-    "group_count": (_group_count(1), O.group_count_sql(1)),
-    "group_qualify_and": (_group_ok(1), O.group_ok_sql(1)),
-    "group_qualify_or": (_group_ok(2), O.group_ok_sql(2)),
-    "claim_count": (_claim_count(2), O.claim_count_sql(2)),
-    "claim_qualify": (_claim_ok(2), O.claim_ok_sql(2)),
+    "birth_year_none": (_counts_of("S_BIRTH_EQ"), O.counts_sql("S_BIRTH_EQ")),
+    "age": (_age(False), O.age_sql(False)),
+    "age_band": (_age(True), O.age_sql(True)),
+    "channel_union": (_criterion(1, "S_MIXED"), O.criterion_sql(1, "S_MIXED")),
+    "group_count": (_group_count(1), O.per_patient_sql(1, "count(DISTINCT code_group) AS n_groups")),
+    "group_qualify_and": (_group_ok(1), O.qualified_sql(1, groups=True)),
+    "group_qualify_or": (_group_ok(2), O.qualified_sql(2, groups=True)),
+    "claim_count": (_claim_count(2), O.per_patient_sql(2, "count(DISTINCT claim_id) AS n_claims")),
+    "claim_qualify": (_claim_ok(2), O.qualified_sql(2, claims=True)),
     "criterion_1": (_criterion(1), O.criterion_sql(1)),
     "criterion_2": (_criterion(2), O.criterion_sql(2)),
     "criterion_3": (_criterion(3), O.criterion_sql(3)),
+    "submitted_twice": (_criterion(1, "S_TWICE"), O.criterion_sql(1, "S_TWICE")),
     "criterion_null_group": (_criterion(1, "S_NULLGRP"), O.criterion_sql(1, "S_NULLGRP")),
     # first combine (criterion 1 with 2)
     "combine_and_nogap": (_pair("S_ALL"), O.pair_sql("S_ALL")),
@@ -321,15 +355,15 @@ REGISTRY: dict[str, tuple[QueryFn, str | None]] = {
     "gap_ge": (_pair("S_GE"), O.pair_sql("S_GE")),
     "gap_le": (_pair("S_LE"), O.pair_sql("S_LE")),
     "gap_blank": (_pair("S_BLANK"), O.pair_sql("S_BLANK")),
-    "gap_unknown": (_pair("S_UNKNOWN_OP", count=True), O.pair_count_sql("S_UNKNOWN_OP")),
+    "gap_unknown": (_cohort("S_UNKNOWN_OP"), O.cohort_sql("S_UNKNOWN_OP")),
     "combine_or_nogap": (_pair("S_OR_NOGAP"), O.pair_sql("S_OR_NOGAP")),
     "combine_or_gap_gt": (_pair("S_OR_GT"), O.pair_sql("S_OR_GT")),
     "combine_or_gap_lt": (_pair("S_LT"), O.pair_sql("S_LT")),
     "combine_or_gap_ge": (_pair("S_ANY"), O.pair_sql("S_ANY")),
     "combine_or_gap_le": (_pair("S_OR_LE"), O.pair_sql("S_OR_LE")),
-    "combine_gate_none": (_pair("S_GATE_NONE", count=True), O.pair_count_sql("S_GATE_NONE")),
+    "combine_gate_none": (_counts_of("S_GATE_NONE"), O.counts_sql("S_GATE_NONE")),
     "combine_null_group": (_pair("S_NULLGRP"), O.pair_sql("S_NULLGRP")),
-    "scenario_filter": (q_scenario_filter, O.scenario_filter_sql("S_GE", LATEST_SCENARIO)),
+    "scenario_filter": (q_scenario_filter, O.pair_sql("S_GE")),
     # second combine (pair with criterion 3): the cohort
     "cohort_seq": (_cohort(None), O.cohort_sql(None)),
     "cohort_and_nogap": (_cohort("S_AND_LT"), O.cohort_sql("S_AND_LT")),
@@ -344,15 +378,16 @@ REGISTRY: dict[str, tuple[QueryFn, str | None]] = {
     "cohort_or_gt": (_cohort("S_BLANK"), O.cohort_sql("S_BLANK")),
     "cohort_or_le_neg": (_cohort("S_OR_LE"), O.cohort_sql("S_OR_LE")),
     "cohort_or_empty_pair": (_cohort("S_GATE_NONE"), O.cohort_sql("S_GATE_NONE")),
-    "cohort_unknown_op": (_cohort("S_UNKNOWN_OP", count=True), O.cohort_count_sql("S_UNKNOWN_OP")),
+    "cohort_unknown_op": (_counts_of("S_UNKNOWN_LAST"), O.counts_sql("S_UNKNOWN_LAST")),
     "cohort_null_group": (_cohort("S_NULLGRP"), O.cohort_sql("S_NULLGRP")),
     # sinks and audit
     "sink_create": (q_sink_create, O.criteria_sql(None)),
     "sink_append": (q_sink_append, O.criteria_sql(None, copies=2)),
     "sink_create_or_append": (q_sink_create_or_append, O.criteria_sql(None, copies=2)),
     "sink_replace": (q_sink_replace, O.criteria_sql(None)),
+    "sink_replace_empty": (q_sink_replace_empty, O.criteria_sql("S_ALL")),
     "stored_cohort": (q_stored_cohort, O.cohort_sql(None)),
-    "audit_counts": (q_audit_counts, O.audit_sql(None)),
+    "audit_counts": (q_audit_counts, O.counts_sql(None)),
     "preview_cohort": (q_preview_cohort, O.preview_sql(None)),
 }
 

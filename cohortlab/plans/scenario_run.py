@@ -1,10 +1,10 @@
 """End to end: scenario config -> criterion events -> pairs -> cohort -> tables.
 
 The criterion events of all criteria are computed in one pass and written
-once (scratch folder, or the result table), so the claim tables are scanned
-once per run however many criteria and combines follow. Combines are lazy
-DataFrames over that stored table; a written pair is read back for the next
-combine instead of being recomputed.
+once (the run's scratch folder, or the result table), so the claim tables are
+scanned once per run however many criteria and combines follow. Combines are
+lazy DataFrames over that stored table; a written pair is read back for the
+next combine instead of being recomputed.
 """
 
 from __future__ import annotations
@@ -12,24 +12,31 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.combine import combine
 from ..operators.criterion import criterion_events
 from ..operators.scenario import load_scenario
-from ..operators.sinks import audit_counts, table_exists, write_result
-from ..sources.schemas import ATTRIBUTE_COLUMNS, PAIR_COLUMNS
-from ..sources.tables import ClaimInputs
+from ..operators.sinks import audit_counts, preview, table_exists, write_result
+from ..sources.schemas import ATTRIBUTE_COLUMNS, PAIR_COLUMNS, pair_keys
+from ..sources.tables import ClaimInputs, read_result
 from ..spec import ScenarioSpec
-from .materialize import materialize
+from .materialize import RunScratch, materialize, observed
+from .session import apply_engine_conf
 
 
 @dataclass
 class ScenarioResult:
     spec: ScenarioSpec
     criteria: DataFrame  # long form, column ``criterion``
-    pairs: dict[str, DataFrame]  # "12", "123", ...; the last one is the cohort
+    pairs: dict[str, DataFrame]  # by pair key; the last one is the cohort
+    scratch: RunScratch | None = None
+
+    def close(self) -> None:
+        """Delete what the run stored; its results can't be read after that."""
+        if self.scratch:
+            self.scratch.close()
 
     def criterion(self, number: int) -> DataFrame:
         return self.criteria.where(F.col("criterion") == F.lit(number))
@@ -39,12 +46,36 @@ class ScenarioResult:
         return self.pairs[self.spec.pairs[-1].key]
 
 
-def criteria_with_null_attributes(criteria: DataFrame) -> set[int]:
-    """Criteria whose stored events have a NULL attribute (one tiny job over
-    the stored criterion events; the answer is at most N numbers)."""
+def null_flags(spec: ScenarioSpec) -> dict[str, Column]:
+    """Per criterion: does an event have a NULL attribute? Observed by the write
+    of the events, so it costs no pass of its own."""
     any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in ATTRIBUTE_COLUMNS])
-    rows = criteria.where(any_null).select("criterion").distinct().collect()
-    return {r["criterion"] for r in rows}
+    return {
+        f"null_{c.number}": F.max(F.when((F.col("criterion") == c.number) & any_null, 1).otherwise(0))
+        for c in spec.criteria
+    }
+
+
+def null_criteria(spec: ScenarioSpec, metrics: dict) -> set[int]:
+    return {c.number for c in spec.criteria if metrics.get(f"null_{c.number}")}
+
+
+def fold(
+    running: DataFrame, right: DataFrame, spec: ScenarioSpec, i: int, null_attrs: set[int] | None, distinct: bool = True
+) -> DataFrame:
+    """The running result combined with criterion ``i + 2`` by pair ``i``.
+
+    Criterion events always have a date (the window test drops NULL dates) and
+    are distinct, so every running result that keeps its date is both;
+    ``distinct=False`` for tables that also hold rows of an earlier run.
+    ``null_attrs`` (criteria with a NULL attribute, if known) lets the combine
+    skip its fill paths while no criterion folded so far has one.
+    """
+    complete = None if null_attrs is None else not any(n in null_attrs for n in range(1, i + 2))
+    return combine(
+        running, right, spec.pairs[i], keep_date=(i < len(spec.pairs) - 1), scenario=spec.name,
+        left_complete=complete, left_dated=True, left_distinct=distinct,
+    )
 
 
 def combine_chain(
@@ -52,31 +83,24 @@ def combine_chain(
     spec: ScenarioSpec,
     null_attrs: set[int] | None = None,
     combine_fn=None,
+    pairs: int | None = None,
 ) -> dict[str, DataFrame]:
     """Fold the criteria left to right: (1 x 2) x 3 ... The last combine
     drops the event date; the ones before keep it (its gap is measured from
-    the running result's date).
+    the running result's date). ``pairs``: only the first so many.
 
-    Criterion events always have a date (the window test drops NULL dates),
-    so every running result has one too. ``null_attrs`` (criteria with a
-    NULL attribute, if known) lets a combine skip its fill paths while no
-    criterion folded so far has one. ``combine_fn`` replaces the combine
-    (tests and measurements pass the event-by-event oracle).
+    ``combine_fn`` replaces the combine (tests and measurements pass the
+    event-by-event oracle).
     """
-    by_number = lambda n: criteria.where(F.col("criterion") == F.lit(n))
-    running = by_number(1).select(*PAIR_COLUMNS)
+    by_number = lambda n: criteria.where(F.col("criterion") == F.lit(n)).select(*PAIR_COLUMNS)
+    running = by_number(1)
     out: dict[str, DataFrame] = {}
     last = len(spec.pairs) - 1
-    for i, pair in enumerate(spec.pairs):
-        right = by_number(i + 2).select(*PAIR_COLUMNS)
+    for i, pair in enumerate(spec.pairs[:pairs]):
         if combine_fn is None:
-            complete = None if null_attrs is None else not any(n in null_attrs for n in range(1, i + 3))
-            running = combine(
-                running, right, pair, keep_date=(i < last), scenario=spec.name,
-                left_complete=complete, left_dated=True,
-            )
+            running = fold(running, by_number(i + 2), spec, i, null_attrs)
         else:
-            running = combine_fn(running, right, pair, keep_date=(i < last), scenario=spec.name)
+            running = combine_fn(running, by_number(i + 2), pair, keep_date=(i < last), scenario=spec.name)
         out[pair.key] = running
     return out
 
@@ -89,21 +113,26 @@ def run_scenario(
     as_of_year: int | None = None,
     store_criteria: bool = True,
     combine_fn=None,
+    pairs: int | None = None,
 ) -> ScenarioResult:
-    """Lazy results of one scenario (the latest one unless ``name`` is given)."""
+    """Results of one scenario (the latest one unless ``name`` is given).
+
+    The config is read and, with ``store_criteria``, the criterion events are
+    computed and written when this is called; the combines are lazy.
+    ``pairs``: fold only the first so many pairs and compute only the criteria
+    they need. ``close()`` the result when it has been read.
+    """
+    apply_engine_conf(spark)
     spec, _rows, codes = load_scenario(config, name)
-    crit = criterion_events(inputs, codes, spec, as_of_year)
+    scratch = RunScratch(spark)
+    wanted = None if pairs is None else list(range(1, pairs + 2))
+    crit = criterion_events(inputs, codes, spec, as_of_year, criteria=wanted, scratch=scratch)
     null_attrs = None
     if store_criteria:
-        # which criteria have a NULL attribute: observed by the write itself
-        any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in ATTRIBUTE_COLUMNS])
-        flags = {
-            f"null_{c.number}": F.max(F.when((F.col("criterion") == c.number) & any_null, 1).otherwise(0))
-            for c in spec.criteria
-        }
-        crit, metrics = materialize(crit, "criteria", partition_by=["criterion"], observe=flags)
-        null_attrs = {c.number for c in spec.criteria if metrics.get(f"null_{c.number}")}
-    return ScenarioResult(spec=spec, criteria=crit, pairs=combine_chain(crit, spec, null_attrs, combine_fn))
+        crit, metrics = materialize(crit, "criteria", ["criterion"], null_flags(spec), scratch)
+        null_attrs = null_criteria(spec, metrics)
+    folded = combine_chain(crit, spec, null_attrs, combine_fn, pairs)
+    return ScenarioResult(spec=spec, criteria=crit, pairs=folded, scratch=scratch)
 
 
 class ScenarioWriteError(RuntimeError):
@@ -122,6 +151,15 @@ class ResultTables:
     cohort: str = "cohort"
 
 
+@dataclass(frozen=True)
+class ScenarioWrite:
+    """What a run reports: rows of each result, and the first cohort rows."""
+
+    spec: ScenarioSpec
+    counts: DataFrame  # (table_name, n_rows)
+    preview: list[dict]
+
+
 def write_scenario(
     spark: SparkSession,
     inputs: ClaimInputs,
@@ -131,48 +169,73 @@ def write_scenario(
     name: str | None = None,
     as_of_year: int | None = None,
     root: str | None = None,
-) -> DataFrame:
+    preview_rows: int = 1,
+) -> ScenarioWrite:
     """Run a scenario and write its tables in dependency order.
 
     ``mode``: ``auto`` (append if the table exists, else create; the
-    reference's behaviour), ``append``, ``replace`` (overwrite only this
-    scenario's partition) or ``create``. ``root``: folder for newly
-    created tables (external tables); default: the catalog's warehouse.
-    Returns the audit counts.
+    reference's behaviour), ``append``, ``replace`` (overwrite exactly this
+    scenario's partitions) or ``create`` (tables made anew, once a run).
+    ``root``: folder for newly created tables (external tables); default: the
+    catalog's warehouse. Returns the audit counts and the preview.
     """
+    apply_engine_conf(spark)
     spec, _rows, codes = load_scenario(config, name)
     written: list[str] = []
+    fresh = True  # do the tables hold rows of this run only?
 
     def put(df: DataFrame, table: str, pair_key: str | None = None) -> DataFrame:
+        nonlocal fresh
         m = mode
         if m == "auto":
             m = "append" if table_exists(spark, table) else "create"
+        if m == "create" and table in written:
+            m = "append"  # made by this run
+        elif m == "append":
+            fresh = False
+        partition, by = {"scenario": spec.name}, ("scenario",)
         if pair_key is not None:
             df = df.withColumn("pair", F.lit(pair_key))
+            partition, by = partition | {"pair": pair_key}, ("scenario", "pair")
+        if m == "replace" and spec.name is None:
+            m = "append"  # a scenario without a name has no rows, so nothing to replace
         try:
-            write_result(df, table, m, path=None if root is None else f"{root.rstrip('/')}/{table}")
+            path = None if root is None else f"{root.rstrip('/')}/{table}"
+            write_result(df, table, m, by, path, partition)
         except Exception as e:
             # tables are written one by one (no transaction across them)
             raise ScenarioWriteError(table, list(written)) from e
         written.append(table)
-        back = spark.table(table).where(F.col("scenario") == F.lit(spec.name))
+        back = read_result(spark, table, spec.name)
         if pair_key is not None:
             back = back.where(F.col("pair") == F.lit(pair_key)).drop("pair")
         return back
 
-    crit = put(criterion_events(inputs, codes, spec, as_of_year), tables.criteria)
-    null_attrs = criteria_with_null_attributes(crit)
-    last = len(spec.pairs) - 1
-    running = crit.where(F.col("criterion") == 1).select(*PAIR_COLUMNS)
-    for i, pair in enumerate(spec.pairs):
-        right = crit.where(F.col("criterion") == F.lit(i + 2)).select(*PAIR_COLUMNS)
-        complete = not any(n in null_attrs for n in range(1, i + 3))
-        df = combine(
-            running, right, pair, keep_date=(i < last), scenario=spec.name,
-            left_complete=complete, left_dated=True,
-        )
-        if i < last:
-            running = put(df, tables.pairs, pair.key)
-        else:
-            running = put(df, tables.cohort)
-    return audit_counts(spark, [tables.criteria, tables.pairs, tables.cohort])
+    with RunScratch(spark) as scratch:
+        events = criterion_events(inputs, codes, spec, as_of_year, scratch=scratch)
+        events, flags = observed(events, "criteria", null_flags(spec))
+        crit = put(events, tables.criteria)
+        null_attrs = null_criteria(spec, flags.get) if fresh else None
+        last = len(spec.pairs) - 1
+        running = crit.where(F.col("criterion") == 1).select(*PAIR_COLUMNS)
+        for i, pair in enumerate(spec.pairs):
+            right = crit.where(F.col("criterion") == F.lit(i + 2)).select(*PAIR_COLUMNS)
+            df = fold(running, right, spec, i, null_attrs, fresh)
+            if i < last:
+                if i:  # a table isn't written from its own rows
+                    df = materialize(df, "pair", scratch=scratch)
+                running = put(df, tables.pairs, pair.key)
+            else:
+                put(df, tables.cohort)
+    counts = scenario_counts(spark, tables, len(spec.criteria))
+    return ScenarioWrite(spec, counts, preview(read_result(spark, tables.cohort, spec.name), preview_rows))
+
+
+def scenario_counts(spark: SparkSession, tables: ResultTables, n_criteria: int) -> DataFrame:
+    """Rows of each result: a row a criterion, a row a pair before the last, and the cohort."""
+    crit = spark.table(tables.criteria)
+    frames = {f"criterion_{n}": crit.where(F.col("criterion") == n) for n in range(1, n_criteria + 1)}
+    for key in pair_keys(n_criteria)[:-1]:
+        frames[f"pair_{key}"] = spark.table(tables.pairs).where(F.col("pair") == key)
+    frames["cohort"] = spark.table(tables.cohort)
+    return audit_counts(spark, frames)

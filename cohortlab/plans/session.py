@@ -23,8 +23,6 @@ ENGINE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
-# (``replace`` writes pass partitionOverwriteMode=dynamic per write, so the
-# session's own overwrite behaviour is left alone.)
 
 
 def apply_engine_conf(spark: SparkSession) -> None:
@@ -42,7 +40,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", os.environ.get("COHORTLAB_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("COHORTLAB_DRIVER_MEMORY", "8g"))
         .config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse"))
         .config("spark.checkpoint.dir", os.path.join(scratch, "checkpoint"))
     )
@@ -69,7 +67,8 @@ def scratch_root(spark: SparkSession) -> str:
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; set it to a folder every executor can reach"
             )
-        # local runs only (tests, benchmarks): a fresh folder on this machine
+        # a local session made elsewhere without one: driver and executors are
+        # one process here, so a fresh folder on this machine is shared by all
         root = tempfile.mkdtemp(prefix="cohortlab-checkpoint-")
     sc.setCheckpointDir(root)
     return sc.getCheckpointDir() or root

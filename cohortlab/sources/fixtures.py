@@ -12,7 +12,7 @@ Scenario fixtures are the user-submitted scenario config: small by nature
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +24,10 @@ from .tables import ClaimInputs, read_channel, read_patients
 # ---------------------------------------------------------------------------
 # Fixed values of the test-data mapping (FIXTURES.md section 2).
 # ---------------------------------------------------------------------------
-# The patient reference leaves out every customer whose key is a multiple of
-# 23, so some claims have no patient (left-join misses, ledger S9). This is a
-# property of the fixture's data model, not a row cap: all claims are read.
-PATIENT_GAP_MODULUS = 23
+# Every RX_STRAY-th event belongs to a patient id that no customer has, so some
+# claims have no patient (left-join misses, ledger S9). All rows are kept.
+RX_STRAY_MODULUS = 23
+RX_STRAY_SHIFT = 1_000_000_000
 # Birth year is missing for keys that are multiples of 17, else 1935 + key % 75.
 BIRTH_YEAR_NULL_MODULUS = 17
 BIRTH_YEAR_BASE = 1935
@@ -52,23 +52,8 @@ def _wall_date(df: DataFrame, col: str) -> F.Column:
     return F.col(col).cast("date")
 
 
-_HANDLES: dict[tuple[str, str], ClaimInputs] = {}
-
-
 def fixture_inputs(spark: SparkSession, sf_dir: str) -> ClaimInputs:
-    """Claim channels and patients derived from the test tables.
-
-    The DataFrames are table handles (file listing and schema); they are
-    kept per Spark application and folder, as a catalog would keep them.
-    The data itself is read by each query.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _HANDLES:
-        _HANDLES[key] = _build_inputs(spark, sf_dir)
-    return _HANDLES[key]
-
-
-def _build_inputs(spark: SparkSession, sf_dir: str) -> ClaimInputs:
+    """Claim channels and patients derived from the test tables."""
     customer = _t(spark, sf_dir, "customer")
     nation = _t(spark, sf_dir, "nation")
     orders = _t(spark, sf_dir, "orders")
@@ -78,8 +63,7 @@ def _build_inputs(spark: SparkSession, sf_dir: str) -> ClaimInputs:
 
     key = F.col("c_custkey")
     patients = (
-        customer.where(key % PATIENT_GAP_MODULUS != 0)
-        .join(nation, customer.c_nationkey == nation.n_nationkey)
+        customer.join(nation, customer.c_nationkey == nation.n_nationkey)
         .select(
             key.alias("patient_id"),
             F.when(key % 2 == 0, F.lit("F")).otherwise(F.lit("M")).alias("gender"),
@@ -108,7 +92,8 @@ def _build_inputs(spark: SparkSession, sf_dir: str) -> ClaimInputs:
         F.col("o_orderpriority").alias("code"),
     )
     rx = events.select(
-        F.col("user_id").alias("patient_id"),
+        F.when(F.col("event_id") % RX_STRAY_MODULUS == 0, F.col("user_id") + RX_STRAY_SHIFT)
+        .otherwise(F.col("user_id")).alias("patient_id"),
         F.date_sub(_wall_date(events, "ts"), RX_SHIFT_DAYS).alias("service_date"),
         F.col("event_id").alias("claim_id"),
         F.col("event_type").alias("code"),
@@ -129,8 +114,7 @@ SQL_INPUT_VIEWS = {
                n.n_name AS state,
                CASE WHEN c.c_custkey % {BIRTH_YEAR_NULL_MODULUS} = 0 THEN NULL
                     ELSE CAST({BIRTH_YEAR_BASE} + c.c_custkey % {BIRTH_YEAR_SPAN} AS INTEGER) END AS birth_year
-        FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
-        WHERE c.c_custkey % {PATIENT_GAP_MODULUS} <> 0""",
+        FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey""",
     "dx_events": """
         SELECT o.o_custkey AS patient_id, CAST(l.l_shipdate AS DATE) AS service_date,
                l.l_orderkey AS claim_id, p.p_brand AS code
@@ -141,7 +125,8 @@ SQL_INPUT_VIEWS = {
                o_orderkey AS claim_id, o_orderpriority AS code
         FROM orders""",
     "rx_events": f"""
-        SELECT user_id AS patient_id, CAST(CAST(ts AS DATE) - {RX_SHIFT_DAYS} AS DATE) AS service_date,
+        SELECT CASE WHEN event_id % {RX_STRAY_MODULUS} = 0 THEN user_id + {RX_STRAY_SHIFT} ELSE user_id END AS patient_id,
+               CAST(CAST(ts AS DATE) - {RX_SHIFT_DAYS} AS DATE) AS service_date,
                event_id AS claim_id, event_type AS code
         FROM events""",
 }
@@ -168,7 +153,8 @@ class ScenarioFixture:
     criteria: tuple[CriterionFixture, ...]
     # (logic, gap operator, gap days) per pair key "12", "123"
     pairs: tuple[tuple[str | None, str | None, int | None], ...]
-    extra: dict = field(default_factory=dict)
+    # (submission time, codes of the first criterion) of an older submission
+    earlier: tuple | None = None
 
 
 def _brands(lo: int, hi: int, group: str | None) -> tuple[tuple[str, str | None], ...]:
@@ -202,6 +188,16 @@ C2 = CriterionFixture(
     birth_year=1940,
     min_claims=3,
 )
+# codes on all three channels; groups and claims are pooled over them
+C_MIXED = CriterionFixture(
+    codes=(("Brand#2", "M1"), ("Brand#3", "M1"), ("1-URGENT", "M2"), ("5-LOW", "M2"), ("purchase", "M3"), ("view", "M3")),
+    logic="AND",
+    start=dt.date(1996, 1, 1),
+    end=dt.date(1999, 12, 31),
+    birth_op="<=",
+    birth_year=2005,
+    min_claims=4,
+)
 C3 = CriterionFixture(
     codes=(("purchase", "R1"), ("signup", "R1"), ("error", "R2")),
     logic="OR",
@@ -228,7 +224,11 @@ _SCENARIOS = {
     # Extra operator coverage beyond FIXTURES.md's table.
     "S_AND_LT": ((C1, C2, C3), ("AND", "<", 10), ("AND", None, None)),
     "S_BLANK": ((C1, C2, C3), ("AND", "", 5), ("OR", ">", 30)),
-    "S_UNKNOWN_OP": ((C1, C2, C3), ("AND", "=", 0), ("AND", "=", 0)),
+    # an unknown gap operator empties pair 12; under OR the cohort is then criterion 3's
+    "S_UNKNOWN_OP": ((C1, C2, C3), ("AND", "=", 0), ("OR", None, None)),
+    # here it empties the cohort, with a live pair before it
+    "S_UNKNOWN_LAST": ((C1, C2, C3), ("AND", None, None), ("OR", "=", 0)),
+    "S_MIXED": ((C_MIXED, C2, C3), ("AND", None, None), ("AND", None, None)),
     "S_OR_NOGAP": ((C1, C2, C3), ("OR", None, None), ("OR", ">=", 30)),
     "S_OR_GT": ((C1, C2, C3), ("OR", ">", 30), ("AND", "<", 100)),
     "S_OR_LE": ((C1, C2, C3), ("OR", "<=", 90), ("OR", "<=", -10)),
@@ -239,9 +239,11 @@ _SCENARIOS = {
             C2,
             C3,
         ),
-        ("AND", None, None),
-        ("AND", None, None),
+        ("OR", None, None),
+        ("OR", None, None),
     ),
+    # submitted twice: the older submission's codes count too
+    "S_TWICE": ((C1, C2, C3), ("AND", None, None), ("AND", None, None)),
     "S_OR_OR": ((C1, C2, C3), ("OR", "<=", 30), ("OR", None, None)),
     "S_SEQ": ((C1, C2, C3), ("AND", ">", 30), ("OR", None, None)),
 }
@@ -253,6 +255,10 @@ SCENARIOS: dict[str, ScenarioFixture] = {
     for i, (name, (crit, p12, p123)) in enumerate(_SCENARIOS.items())
 }
 
+SCENARIOS["S_TWICE"] = replace(
+    SCENARIOS["S_TWICE"], earlier=(dt.datetime(2025, 6, 1), (("Brand#11", "G1"), ("Brand#12", "G2"), ("Brand#1", "G1")))
+)
+
 
 def config_rows(fx: ScenarioFixture) -> list[tuple]:
     """Wide config rows of one scenario: code lists zipped side by side,
@@ -267,6 +273,11 @@ def config_rows(fx: ScenarioFixture) -> list[tuple]:
         for logic, op, days in fx.pairs:
             row += [logic, op, days]
         rows.append(tuple(row))
+    if fx.earlier:
+        at, codes = fx.earlier
+        first = replace(fx.criteria[0], codes=codes)
+        older = replace(fx, submitted_at=at, criteria=(first, *fx.criteria[1:]), earlier=None)
+        rows += config_rows(older)
     return rows
 
 
@@ -286,19 +297,8 @@ def scenario_config(spark: SparkSession, names: list[str] | None = None) -> Data
     """Config table holding the given fixture scenarios (default: all).
 
     Built as a SQL ``VALUES`` relation, so it is a local relation on the JVM
-    side (no Python rows to ship for every small config query); the
-    relation is a constant, kept per Spark application.
+    side (no Python rows to ship for every small config query).
     """
-    key = (spark.sparkContext.applicationId, tuple(names) if names is not None else None)
-    if key not in _CONFIGS:
-        _CONFIGS[key] = _build_config(spark, names)
-    return _CONFIGS[key]
-
-
-_CONFIGS: dict[tuple, DataFrame] = {}
-
-
-def _build_config(spark: SparkSession, names: list[str] | None) -> DataFrame:
     names = list(SCENARIOS) if names is None else names
     rows = [r for n in names for r in config_rows(SCENARIOS[n])]
     schema = config_schema(3)
@@ -307,39 +307,6 @@ def _build_config(spark: SparkSession, names: list[str] | None) -> DataFrame:
     return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def _sql_literal(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, dt.datetime):
-        return f"TIMESTAMP '{v.isoformat(sep=' ')}'"
-    if isinstance(v, dt.date):
-        return f"DATE '{v.isoformat()}'"
-    if isinstance(v, str):
-        return "'" + v.replace("'", "''") + "'"
-    return str(int(v))
-
-
-def sql_config(names: list[str] | None = None) -> str:
-    """The same config table as a DuckDB query (typed columns)."""
-    names = list(SCENARIOS) if names is None else names
-    schema = config_schema(3)
-    sql_types = {
-        "StringType()": "VARCHAR",
-        "TimestampNTZType()": "TIMESTAMP",
-        "DateType()": "DATE",
-        "IntegerType()": "INTEGER",
-    }
-    selects = []
-    for n in names:
-        for row in config_rows(SCENARIOS[n]):
-            cols = [
-                f"CAST({_sql_literal(v)} AS {sql_types[repr(f.dataType)]}) AS {f.name}"
-                for v, f in zip(row, schema.fields)
-            ]
-            selects.append("SELECT " + ", ".join(cols))
-    return "\n        UNION ALL ".join(selects)
-
-
 __all__ = [
     "SCENARIOS",
     "LATEST_SCENARIO",
@@ -347,6 +314,5 @@ __all__ = [
     "config_rows",
     "pair_keys",
     "scenario_config",
-    "sql_config",
     "fixture_inputs",
 ]

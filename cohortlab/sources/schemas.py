@@ -1,13 +1,17 @@
 """Logical schemas of inputs and results.
 
 Inputs are normalised to these names and types at the scan (``tables.py``);
-results are written with exactly these columns (``operators.sinks``).
+results are written with exactly these columns (``operators.sinks``). Patient
+and claim ids are only compared and counted, so they keep the type they have
+in the source (``OPAQUE``); the types given here are those of the test data.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
+OPAQUE = ("patient_id", "claim_id")
+
 CHANNEL_SCHEMA = T.StructType(
     [
         T.StructField("patient_id", T.LongType(), False),
@@ -37,7 +41,7 @@ CRITERION_CONFIG_COLUMNS = (
     ("c{n}_logic", T.StringType()),
     ("c{n}_min_claims", T.IntegerType()),
 )
-# Per-pair config columns; ``{p}`` is the pair key ("12", "123", ...).
+# Per-pair config columns; ``{p}`` is the pair key (``pair_keys``).
 PAIR_CONFIG_COLUMNS = (
     ("c{p}_logic", T.StringType()),
     ("c{p}_gap_op", T.StringType()),
@@ -46,8 +50,14 @@ PAIR_CONFIG_COLUMNS = (
 
 
 def pair_keys(n_criteria: int) -> list[str]:
-    """``["12", "123", ...]``: the running result is combined left to right."""
-    return ["".join(str(i) for i in range(1, k + 1)) for k in range(2, n_criteria + 1)]
+    """Keys of the running results, combined left to right: ``12``, ``123``, ...
+
+    From ten criteria on that would be ambiguous (``c12_logic`` would belong to
+    pair 12 and to criterion 12), so the keys are then ``1to2``, ``1to3``, ...
+    """
+    if n_criteria < 10:
+        return ["".join(str(i) for i in range(1, k + 1)) for k in range(2, n_criteria + 1)]
+    return [f"1to{k}" for k in range(2, n_criteria + 1)]
 
 
 def config_schema(n_criteria: int = 3) -> T.StructType:

@@ -57,6 +57,8 @@ class CriterionSpec:
     codes: tuple[str, ...] | None = None
     # distinct (code, group) rows of the list
     code_rows: int = 0
+    # bytes of these rows
+    code_bytes: int = 0
 
     @property
     def groups_needed(self) -> int:

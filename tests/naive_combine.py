@@ -8,12 +8,24 @@ patient, so it lives here, for tests and measurements only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.functions.predicates import gap_test, sentinel_date
+from cohortlab.functions.predicates import _COMPARE, day_gap, sentinel_date
 from cohortlab.operators.combine import _empty, _prepare, output_columns
-from cohortlab.spec import LOGIC_AND, PairSpec
+from cohortlab.spec import GAP_OPS, LOGIC_AND, PairSpec
+
+
+def gap_test(start: Column, end: Column, op: str, days: int) -> Column:
+    """Pairwise test ``day_gap(start, end) <op> days``.
+
+    A blank operator means no test (true); an unknown one keeps nothing.
+    """
+    if op == "":
+        return F.lit(True)
+    if op not in GAP_OPS:
+        return F.lit(False)
+    return _COMPARE[op](day_gap(start, end), F.lit(int(days)))
 
 
 def combine_naive(

@@ -129,3 +129,50 @@ def test_age_bands(spark):
     assert [r.b for r in out] == [
         "0-18", "0-18", "19-30", "19-30", "31-50", "31-50", "51-60", "51-60", "60+", "60+", "NA",
     ]
+
+
+def test_repeated_patient_rows_count_once(spark):
+    inputs = make_inputs(spark, dx=[(1, "2020-01-01", 1, "A")], patients=[(1, "F", "CA", 1980), (1, "F", "CA", 1980)])
+    assert run(spark, inputs, criterion_cfg([("A", "G")])).count() == 1
+
+
+def test_opaque_ids_and_rename(spark):
+    """Ids keep their type: strings here; stored columns have names of their own."""
+    from cohortlab.plans.scenario_run import run_scenario
+    from cohortlab.sources.tables import ClaimInputs, read_channel, read_patients
+
+    rename = {"patient_id": "member", "service_date": "day", "claim_id": "number", "code": "diagnosis_code"}
+    stored = spark.createDataFrame(
+        [("P-1", "2020-01-01", "CLM-9A", "A"), ("P-1", "2020-02-01", "CLM-9B", "A"), ("P-2", "2020-01-01", "CLM-9A", "A")],
+        "member string, day string, number string, diagnosis_code string")
+    dx = read_channel(spark, stored, rename)
+    none = spark.createDataFrame([], "patient_id string, service_date date, claim_id long, code string")
+    patients = spark.createDataFrame([("P-1", "F", "CA", 1980), ("P-2", "M", "NY", 1990)],
+                                     "patient_id string, gender string, state string, birth_year int")
+    inputs = ClaimInputs(dx, read_channel(spark, none), read_channel(spark, none), read_patients(spark, patients))
+    cfg = make_config(spark, "T", "2026-01-01 00:00:00", [criterion_cfg([("A", "G")], min_claims=2), criterion_cfg([("A", "G")])])
+    res = run_scenario(spark, inputs, cfg, as_of_year=2025)
+    assert {r.patient_id for r in res.criterion(1).collect()} == {"P-1"}
+    assert {r.patient_id for r in res.criterion(2).collect()} == {"P-1", "P-2"}
+    assert {r.patient_id for r in res.pairs["12"].collect()} == {"P-1"}
+
+
+def test_either_side_of_every_size_switch_gives_the_same_rows(spark, monkeypatch):
+    from cohortlab.operators import criterion, scenario
+
+    codes = [(f"K{i}", f"G{i % 3}") for i in range(12)] + [("K1", None)]
+    inputs = make_inputs(
+        spark, dx=[(p, f"2020-01-{1 + i:02d}", 100 * p + i, f"K{(p + i) % 14}") for p in (1, 2, 5) for i in range(9)], patients=PATIENTS)
+    crits = [criterion_cfg(codes, logic="AND", birth_year=2020), criterion_cfg(codes[:5], birth_op=">=", birth_year=1900)]
+
+    def result():
+        out = run(spark, inputs, *crits)
+        return sorted(map(str, out.select(sorted(out.columns)).collect()))
+
+    want = result()
+    assert len(want) > 5
+    for module, name in ((scenario, "SCAN_CODE_FILTER_MAX"), (criterion, "SCAN_CODE_FILTER_MAX"),
+                         (criterion, "BROADCAST_CODES_BYTES"), (criterion, "GROUP_MASK_MAX")):
+        with monkeypatch.context() as m:
+            m.setattr(module, name, 0)
+            assert result() == want, name

@@ -1,13 +1,16 @@
-"""Any number of criteria: a four-criterion scenario folds 1x2, x3, x4."""
+"""Any number of criteria: a four-criterion scenario folds 1x2, x3, x4; twelve fold as well."""
 
 from __future__ import annotations
 
 import datetime as dt
 
+import pytest
+
 from naive_combine import combine_naive
 from cohortlab.operators.scenario import load_scenario
-from cohortlab.plans.scenario_run import run_scenario
+from cohortlab.plans.scenario_run import ResultTables, run_scenario, write_scenario
 from cohortlab.sources.schemas import config_schema, pair_keys
+from cohortlab.sources.tables import read_config
 from conftest import make_inputs
 
 
@@ -48,3 +51,35 @@ def test_four_criteria(spark):
     assert {r.patient_id for r in fast.pairs["123"].collect()} == {1, 3}
     assert {r.patient_id for r in fast.cohort.collect()} == {1, 3}
     assert "service_date" not in fast.cohort.columns
+
+
+@pytest.mark.parametrize("n", [4, 12])
+def test_stored_config_and_tables_equal_the_direct_run(spark, tmp_path, n):
+    """A stored config of ``n`` criteria, written in every mode."""
+    d = dt.date.fromisoformat
+    row = ["Q", dt.datetime(2026, 1, 1)]
+    for i in range(n):
+        row += [f"K{i}", "G", d("2020-01-01"), d("2020-12-31"), "<=", 2000, "OR", 1]
+    for i in range(n - 1):
+        row += [("OR", "AND")[i % 2], (">", None, "<=")[i % 3], (0, None, 400)[i % 3]]
+    path = str(tmp_path / "config")
+    spark.createDataFrame([tuple(row)], config_schema(n)).write.parquet(path)
+    cfg = read_config(spark, path)
+    claims = [(p, f"2020-{1 + (p * 5 + i * 7) % 12:02d}-{1 + (p + i) % 28:02d}", 100 * p + i, f"K{i}")
+              for p in range(1, 9) for i in range(n) if (p * 3 + i) % 4]
+    inputs = make_inputs(spark, dx=claims, patients=[(p, "F", "CA", 1950 + p) for p in range(1, 8)])
+    slow = run_scenario(spark, inputs, cfg, as_of_year=2025, combine_fn=combine_naive)
+    keys = pair_keys(n)
+    want = {k: sorted(map(str, slow.pairs[k].select(sorted(slow.pairs[k].columns)).collect())) for k in keys}
+    assert len(want[keys[-1]]) > 0 and list(slow.pairs) == keys
+    tables = ResultTables(f"n{n}_crit", f"n{n}_pair", f"n{n}_cohort")
+    for mode in ("create", "replace", "create", "auto"):
+        done = write_scenario(spark, inputs, cfg, tables, mode=mode, as_of_year=2025, root=str(tmp_path / "t"))
+        copies = 2 if mode == "auto" else 1
+        pairs = spark.table(tables.pairs)
+        for k in keys[:-1]:
+            got = pairs.where(pairs.pair == k).drop("pair")
+            assert sorted(map(str, got.select(sorted(got.columns)).collect())) == sorted(want[k] * copies), (mode, k)
+        got = spark.table(tables.cohort)
+        assert sorted(map(str, got.select(sorted(got.columns)).collect())) == sorted(want[keys[-1]] * copies), mode
+        assert done.counts.count() == 2 * n - 1

@@ -5,12 +5,13 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from naive_rank import rank_scenarios
+
 from cohortlab.operators.scenario import (
+    code_stats_frame,
     config_codes,
-    config_group_total,
     latest_scenario_name,
     load_scenario,
-    rank_scenarios,
     scenario_rows,
 )
 from cohortlab.spec import ScenarioConfigError
@@ -72,8 +73,9 @@ def test_code_list_unpivot_distinct_and_group_total(spark):
     codes = {tuple(r) for r in config_codes(cfg).collect()}
     # S5: repeated (code, group) kept once; a code in two groups stays twice
     assert codes == {(1, "x", "g1"), (1, "x", "g2"), (1, "y", None), (2, "x", "h")}
-    totals = config_group_total(cfg).first()
-    assert totals["c1_group_total"] == 2 and totals["c2_group_total"] == 1
+    stats = {r.criterion: r for r in code_stats_frame(cfg).collect()}
+    assert (stats[1].groups, stats[1].codes, stats[1].code_rows) == (2, 2, 3)
+    assert (stats[2].groups, stats[2].codes, stats[2].code_rows) == (1, 1, 1)
     assert config_codes(cfg).where(F.col("code").isNull()).count() == 0
 
 
@@ -87,3 +89,54 @@ def test_read_config_from_parquet(spark, tmp_path):
     b, _, codes_b = load_scenario(scenario_config(spark))
     assert a == b and a.name == "S_SEQ"
     assert sorted(map(tuple, codes_a.collect())) == sorted(map(tuple, codes_b.collect()))
+
+
+def test_read_config_takes_every_criterion_or_raises(spark):
+    from cohortlab.sources.schemas import config_schema, pair_keys
+    from cohortlab.sources.tables import criteria_in, read_config
+
+    for n in (1, 2, 4, 12):
+        stored = spark.createDataFrame([], config_schema(n))
+        got = read_config(spark, stored)
+        assert criteria_in(got.columns) == n and got.columns == stored.columns
+        assert len(set(got.columns)) == len(got.columns)  # pair and criterion columns never share a name
+    assert pair_keys(12)[0] == "1to2" and pair_keys(9)[-1] == "123456789"
+    four = spark.createDataFrame([], config_schema(4))
+    with pytest.raises(ScenarioConfigError):
+        read_config(spark, four.drop("c4_code"))  # the other columns of criterion 4 would be ignored
+    with pytest.raises(ScenarioConfigError):
+        read_config(spark, four.drop("c2_code"))
+    with pytest.raises(ScenarioConfigError):
+        read_config(spark, four.drop("c4_logic"))
+
+
+def test_settings_and_codes_come_from_one_scenario(spark, tmp_path):
+    from cohortlab.sources.tables import read_config
+
+    path = str(tmp_path / "cfg")
+    make_config(spark, "T", "2026-01-01 00:00:00", [criterion_cfg([("x", "g")])]).write.partitionBy("scenario").parquet(path)
+    spec, rows, codes = load_scenario(read_config(spark, path))
+    later = make_config(spark, "U", "2026-02-01 00:00:00", [criterion_cfg([("y", "g")])])
+    later.write.mode("append").partitionBy("scenario").parquet(path)
+    spark.catalog.refreshByPath(path)
+    _, rows, codes = spec, rows, codes
+    assert spec.name == "T" and spec.criteria[0].codes == ("x",)
+    assert [r.code for r in codes.collect()] == ["x"] and {r.scenario for r in rows.select("scenario").collect()} == {"T"}
+
+
+def test_large_code_list_has_no_buffer_of_all_codes(spark):
+    from pyspark.sql import functions as F
+
+    from cohortlab.operators.scenario import SCAN_CODE_FILTER_MAX, _code_rows
+
+    one = make_config(spark, "T", "2026-01-01 00:00:00", [criterion_cfg([("x", "g")])])
+    big = spark.range(300_000).crossJoin(one.limit(1)).select(
+        *[F.concat(F.lit("code"), F.col("id")).alias(c) if c == "c1_code" else
+          F.concat(F.lit("g"), F.col("id") % 70).alias(c) if c == "c1_group" else F.col(c) for c in one.columns])
+    plan = code_stats_frame(big)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan and "Window" not in plan
+    spec, _, codes = load_scenario(big)
+    c = spec.criteria[0]
+    assert (c.group_total, c.code_rows) == (70, 300_000) and c.codes is None and c.code_rows > SCAN_CODE_FILTER_MAX
+    assert c.code_bytes == _code_rows(big).where("code is not null").selectExpr(
+        "sum(octet_length(code) + octet_length(code_group) + 16) AS n").first().n

@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 
 from cohortlab.operators.sinks import (
     SchemaMismatch,
-    audit_counts,
     create_or_append,
     ensure_database,
     preview,
     table_exists,
     write_result,
 )
-from cohortlab.plans.scenario_run import ResultTables, write_scenario
+from cohortlab.plans.scenario_run import ResultTables, run_scenario, write_scenario
 from cohortlab.sources.fixtures import scenario_config, fixture_inputs
-from conftest import SF_SMALL
+from conftest import SF_SMALL, criterion_cfg, make_config, make_inputs
 
 
 def rows(spark, scenario, n):
@@ -30,7 +29,7 @@ def test_create_append_replace(spark):
     assert create_or_append(rows(spark, "A", 3), t) == "append"  # S25: duplicates
     write_result(rows(spark, "B", 2), t, "append")
     assert spark.table(t).count() == 8
-    write_result(rows(spark, "A", 1), t, "replace")  # only partition A
+    write_result(rows(spark, "A", 1), t, "replace", partition={"scenario": "A"})  # only partition A
     got = {r.scenario: r.n for r in spark.table(t).groupBy("scenario").agg(F.count("*").alias("n")).collect()}
     assert got == {"A": 1, "B": 2}
     spark.catalog.setCurrentDatabase("default")
@@ -44,6 +43,8 @@ def test_append_by_name_with_schema_check(spark):
     assert spark.table(t).where("scenario = 'B'").count() == 2
     with pytest.raises(SchemaMismatch):
         write_result(swapped.withColumn("x", F.lit(1)), t, "append")
+    with pytest.raises(SchemaMismatch):  # no silent cast
+        write_result(swapped.withColumn("patient_id", F.col("patient_id").cast("string")), t, "append")
 
 
 def test_existence_errors_propagate(spark):
@@ -56,14 +57,17 @@ def test_write_scenario_auto_twice(spark, tmp_path):
     tables = ResultTables("t_crit", "t_pair", "t_cohort")
     inputs, cfg = fixture_inputs(spark, SF_SMALL), scenario_config(spark)
     first = {r.table_name: r.n_rows for r in
-             write_scenario(spark, inputs, cfg, tables, as_of_year=2025, root=str(tmp_path)).collect()}
-    assert first == {"t_crit": 783 + 497 + 396, "t_pair": 585, "t_cohort": 136}
+             write_scenario(spark, inputs, cfg, tables, as_of_year=2025, root=str(tmp_path)).counts.collect()}
+    direct = run_scenario(spark, inputs, cfg, as_of_year=2025)
+    assert first == {f"criterion_{n}": direct.criterion(n).count() for n in (1, 2, 3)} | {
+        "pair_12": direct.pairs["12"].count(), "cohort": direct.cohort.count()}
+    assert all(first.values())
     second = {r.table_name: r.n_rows for r in
-              write_scenario(spark, inputs, cfg, tables, as_of_year=2025).collect()}
+              write_scenario(spark, inputs, cfg, tables, as_of_year=2025).counts.collect()}
     assert second == {k: 2 * v for k, v in first.items()}  # append mode repeats rows
-    write_scenario(spark, inputs, cfg, tables, mode="replace", as_of_year=2025)
-    third = {r.table_name: r.n_rows for r in audit_counts(spark, list(vars(tables).values())).collect()}
-    assert third == first
+    done = write_scenario(spark, inputs, cfg, tables, mode="replace", as_of_year=2025, preview_rows=2)
+    assert {r.table_name: r.n_rows for r in done.counts.collect()} == first
+    assert len(done.preview) == 2 and done.preview == preview(spark.table("t_cohort"), 2)
     rec = preview(spark.table("t_cohort"), 1)
     assert len(rec) == 1 and set(rec[0]) >= {"patient_id", "scenario", "age_group"}
 
@@ -78,3 +82,35 @@ def test_failed_write_reports_written_tables(spark, tmp_path):
     with pytest.raises(ScenarioWriteError) as err:
         write_scenario(spark, inputs, cfg, tables, as_of_year=2025, root=str(tmp_path))
     assert err.value.table == "w_pair" and err.value.written == ["w_crit"]
+
+
+def test_replace_empties_a_scenario_and_leaves_the_others(spark):
+    def inputs(code):
+        return make_inputs(spark, dx=[(1, "2020-01-01", 1, code), (1, "2020-02-01", 2, "B"), (1, "2020-03-01", 3, "C")],
+                           patients=[(1, "F", "CA", 1980)])
+
+    crits = [criterion_cfg([(c, "G")]) for c in "ABC"]
+    pairs = (("AND", None, None), ("AND", None, None))
+    tables = ResultTables("e_crit", "e_pair", "e_cohort")
+    for name in ("T", "U"):
+        cfg = make_config(spark, name, "2026-01-01 00:00:00", crits, pairs)
+        write_scenario(spark, inputs("A"), cfg, tables, mode="replace", as_of_year=2025)
+    assert spark.table("e_cohort").count() == 2
+    cfg = make_config(spark, "T", "2026-01-01 00:00:00", crits, pairs)
+    write_scenario(spark, inputs("none"), cfg, tables, mode="replace", as_of_year=2025)
+    for t, left in (("e_crit", 5), ("e_pair", 1), ("e_cohort", 1)):  # T keeps criteria 2 and 3 only
+        assert spark.table(t).count() == left, t
+        if t != "e_crit":
+            assert {r.scenario for r in spark.table(t).collect()} == {"U"}
+
+
+def test_run_scratch_is_deleted(spark):
+    import os
+
+    cfg = make_config(spark, "T", "2026-01-01 00:00:00", [criterion_cfg([("A", "G")])])
+    res = run_scenario(spark, make_inputs(spark, dx=[(1, "2020-01-01", 1, "A")], patients=[(1, "F", "CA", 1980)]), cfg)
+    assert res.criteria.count() == 1
+    folder = res.scratch.path.removeprefix("file:")
+    assert os.path.isdir(folder)
+    res.close()
+    assert not os.path.exists(folder)

@@ -17,7 +17,7 @@ import pandas as pd
 from cohortlab.operators.combine import combine
 from cohortlab.operators.criterion import criterion_events
 from cohortlab.operators.scenario import load_scenario
-from cohortlab.plans.oracle import Sql
+from cohortlab.plans.oracle import Answer
 from cohortlab.sources.fixtures import scenario_config
 from cohortlab.sources.schemas import CRITERION_COLUMNS, PAIR_COLUMNS, result_schema
 from cohortlab.spec import PairSpec
@@ -56,9 +56,8 @@ def test_hot_patient_criterion_matches_oracle(spark):
     con.register("p_df", pd.DataFrame(patients, columns=["patient_id", "gender", "state", "birth_year"]))
     con.execute("CREATE VIEW patients AS SELECT patient_id, gender, state, "
                 "CAST(birth_year AS INTEGER) AS birth_year FROM p_df")
-    q = Sql()
-    q.config(None)
-    sql = q.render(f"SELECT {', '.join(CRITERION_COLUMNS)} FROM {q.criterion(1)}")
+    a = Answer(inputs={})
+    sql = a.sql(f"SELECT {', '.join(CRITERION_COLUMNS)} FROM ({a.rows(a.criterion(1))})")
     want = con.execute(sql).df()
 
     key = lambda df: sorted(map(tuple, df[list(CRITERION_COLUMNS)].astype(str).values.tolist()))
