@@ -10,9 +10,10 @@ states and place among the words, so parts of one long block can be decoded in
 parallel too. Checksums cover the table, the block and the decoded ids.
 
 Files are Parquet, written and read by Spark in any store, one row a block:
-part and block (the order of the ids), first (ids before it in its part),
-n_tokens and payload, the block in the format below. The documents are in
-ascending doc_id order over all parts (nulls first, then by text).
+part and first (ids before it in its part; the order of the ids), n_tokens, and
+payload, the block in the format below. The documents are in ascending doc_id
+order over all parts (nulls first, then by text). Texts are tokenized once, the
+ids stored in order, counted, and coded from there.
 
 Block format, little-endian: magic ``rNS1``, table checksum, documents, null
 doc_ids, lanes, checkpoints, words (u4 each); doc_ids (i8); ids a document
@@ -20,8 +21,8 @@ doc_ids, lanes, checkpoints, words (u4 each); doc_ids (i8); ids a document
 checksum of the decoded ids, checksum of all before it (u4 each).
 
 The ids come from the tokenizers library. White space always ends a token of
-the given vocabulary and is dropped, so the library is asked once for a string
-between spaces or line breaks, and its answer remembered (bounded).
+the given vocabulary and is dropped, so the library is asked for a string
+between spaces or line breaks, and its answer remembered (within bounds).
 
 Cases. Null text: only the end id; empty text likewise. Null doc_ids come first;
 equal doc_ids follow each other. No rows: no blocks. Other columns aren't read.
@@ -31,7 +32,9 @@ An id that the table lacks is an error (the table is counted from the same rows)
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -53,31 +56,82 @@ BLOCK = 1 << 17
 CHECKPOINT = 1 << 17
 LOW = np.uint64(1 << 32)  # a state is at least this between steps
 MAGIC = 0x31534E72
-MOST_STRINGS = 300_000  # remembered strings of a worker
+MOST_STRINGS = 600_000  # remembered strings of a worker
+MOST_PIECES = 1_000_000  # remembered pieces of a worker
+
+
+def byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write a byte: printable Latin-1 characters stand
+    for themselves, the others for characters from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [x for x in range(256) if x not in set(plain)]
+    return {x: chr(x) for x in plain} | {x: chr(256 + i) for i, x in enumerate(rest)}
 
 
 class Ids:
-    """The tokenizers library behind a memory of strings without white space."""
+    """The tokenizers library behind a memory of strings without white space.
+
+    The vocabulary's letters are lower-cased and a run of letters and a run of
+    marks are always pieces of their own, so a string of plain letters with
+    marks behind it is looked up as two, in lower case. Such a piece needs no
+    normalizing or cutting and goes straight to the library's BPE model; any
+    other string goes through the whole tokenizer.
+    """
+
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*]*)")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = str.maketrans({chr(k): v for k, v in byte_letters().items()})
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def forget(self) -> None:
+        """Empty what is remembered beyond its bounds: workers outlive their tasks."""
+        if len(self.known) > MOST_STRINGS:
+            self.known = {}
+        if len(self.pieces) > MOST_PIECES:
+            self.pieces = {"": b""}
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _ids(self, string: str) -> bytes:
+        plain = self.PLAIN.fullmatch(string)
+        if not plain:
+            return np.array(self.tokenizer.encode(string, add_special_tokens=False).ids, "<u4").tobytes()
+        out = b""
+        for piece in (plain[1].lower(), plain[2]):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                ids = self._piece(piece)
+                if len(piece) <= 64:  # long ones aren't remembered
+                    self.pieces[piece] = ids
+            out += ids
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > MOST_STRINGS:
-            self.known.clear()
-        known = self.known
-        new = list({s for strings in split for s in strings} - known.keys())
-        rest = {}
-        for s, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            (known if len(s) <= 64 else rest)[s] = np.array(e.ids, "<u4").tobytes()
-        look = known if not rest else {**{s: known[s] for strings in split for s in strings if s in known}, **rest}
-        return [b"".join([look[s] for s in strings]) for strings in split]
+        self.forget()
+        out, known = [], self.known
+        for text in texts:
+            strings = (text or "").replace("\n", " ").split(" ")
+            ids = list(map(known.get, strings))
+            if None in ids:
+                for i, x in enumerate(ids):
+                    if x is None:
+                        s = strings[i]
+                        ids[i] = x = known.get(s) or self._ids(s)  # it may stand here twice
+                        if len(s) <= 64:
+                            known[s] = x
+            out.append(b"".join(ids))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -198,51 +252,71 @@ def _ids(column: pa.Array, path: str, end_id: int) -> list[bytes]:
     return [x + end for x in load(path).encode(column.to_pylist())]
 
 
-def count_ids(docs: DataFrame, path: str, end_id: int = END_ID, text: str = "text") -> dict[int, int]:
+def count_ids(tokens: DataFrame) -> dict[int, int]:
     """Counts over all rows; at most one number for each id of the vocabulary reaches the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]):
         n = np.zeros(0, np.int64)
         for b in batches:
-            more = np.bincount(np.frombuffer(b"".join(_ids(b.column(0), path, end_id)), "<u4"))
+            more = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4"))
             if len(more) > len(n):
                 n, more = more, n
             n[: len(more)] += more
         ids = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n[ids], pa.int64())], ["id", "n"])
 
-    bounded_batches(docs.sparkSession)
-    return {r["id"]: r["n"] for r in docs.select(text).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    bounded_batches(tokens.sparkSession)
+    return {r["id"]: r["n"] for r in tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
 
 
-def write_ids(docs: DataFrame, out: str, t: Table, path: str, end_id: int = END_ID, block: int = BLOCK) -> None:
-    """``docs``: (doc_id, text)."""
+def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, part, first, ids) of ``docs`` (doc_id, text), dealt by range and
+    sorted; first counts the ids before a document in its part."""
 
     def encode(batches: Iterator[pa.RecordBatch]):
-        part, number, first = TaskContext.get().partitionId(), 0, 0
-        docs, size = [], 0
-        def flush():
-            nonlocal number, first, docs, size
-            row = [[part], [number], [first], [size], [encode_block(docs, t)]]
-            number, first, docs, size = number + 1, first + size, [], 0
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, [pa.int64()] * 4 + [pa.binary()])], names)
-
-        names = ["part", "block", "first", "n_tokens", "payload"]
+        part, first = TaskContext.get().partitionId(), 0
         for b in batches:
-            for doc_id, ids in zip(b.column(0).to_pylist(), _ids(b.column(1), path, end_id)):
-                docs.append((doc_id, ids))
-                size += len(ids) // 4
-                if size >= block:
-                    yield flush()
-        if docs:
-            yield flush()
+            ids = _ids(b.column(1), path, end_id)
+            before = np.cumsum([0] + [len(x) // 4 for x in ids]) + first
+            first = int(before[-1])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([part] * len(ids), pa.int64()), pa.array(before[:-1], pa.int64()), pa.array(ids, pa.binary())],
+                ["doc_id", "part", "first", "ids"],
+            )
 
     bounded_batches(docs.sparkSession)
-    rows = docs.select("doc_id", "text").repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id", "text")
-    blocks = rows.sortWithinPartitions("doc_id", "text").mapInArrow(encode, "part long, block long, first long, n_tokens long, payload binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id")
+    return rows.sortWithinPartitions("doc_id", "text").mapInArrow(encode, "doc_id long, part long, first long, ids binary")
+
+
+def write_ids(tokens: DataFrame, out: str, t: Table, block: int = BLOCK) -> None:
+    """``tokens``: the rows of ``tokenized`` as stored; a block is a run of rows that follow each other."""
+    names = ["part", "first", "n_tokens", "payload"]
+
+    def encode(batches: Iterator[pa.RecordBatch]):
+        docs, at, size = [], None, 0
+        for b in _then_none(batches):
+            rows = [None] if b is None else zip(*[c.to_pylist() for c in b.columns])
+            for row in rows:
+                if docs and (row is None or size >= block or (row[1], row[2]) != (at[0], at[1] + size)):
+                    done = [[at[0]], [at[1]], [size], [encode_block(docs, t)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(done, [pa.int64()] * 3 + [pa.binary()])], names)
+                    docs, size = [], 0
+                if row is not None:
+                    at = at if docs else row[1:3]
+                    docs.append((row[0], row[3]))
+                    size += len(row[3]) // 4
+
+    bounded_batches(tokens.sparkSession)
+    blocks = tokens.select("doc_id", "part", "first", "ids").mapInArrow(encode, "part long, first long, n_tokens long, payload binary")
     blocks.write.option("compression", "none").option("parquet.block.size", str(16 << 20)).parquet(out)
 
 
+def _then_none(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
 def read_ids(spark: SparkSession, path: str, t: Table) -> DataFrame:
     """(doc_id, start, ids): ids as little-endian unsigned 32-bit integers, start counts all ids before."""
     blocks = spark.read.parquet(path)
@@ -265,8 +339,12 @@ def read_ids(spark: SparkSession, path: str, t: Table) -> DataFrame:
 def op6_token_files(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     tokenizer = tokenizer or public_tokenizers.path(TOKENIZER)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    t = Table(count_ids(docs, tokenizer))
-    path = scratch_path(spark, "token_ids")
-    write_ids(docs, path, t, tokenizer)
+    tokens = tokenized(docs, tokenizer)
+    stored = scratch_path(spark, "tokens")
+    tokens.write.option("compression", "zstd").parquet(stored)
+    tokens = spark.read.schema(tokens.schema).parquet(stored)
+    t = Table(count_ids(tokens))
+    path = scratch_path(spark, "token_files")
+    write_ids(tokens, path, t)
     rows = read_ids(spark, path, t)
     return rows.select("doc_id", "start", F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
