@@ -62,7 +62,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     )
     # the first source that isn't full: what is left there, and the weights that share it
     level = F.min(F.when(~F.col("full"), F.struct("ratio", F.col("source").isNull(), "source", "left", "heads")))
-    shared = (F.col("level.left") * F.col("weight")).cast("double") / F.col("level.heads")
+    shared = F.try_divide((F.col("level.left") * F.col("weight")).cast("double"), F.col("level.heads"))
     return (
         steps.withColumn("level", level.over(everyone))
         .withColumn("target", F.when(F.col("full"), F.col("most").cast("double")).otherwise(shared))
@@ -71,10 +71,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def _rank(preference: str | None) -> Column:
-    odds = F.col("p") / (1 - F.col("p"))
+    odds = F.try_divide(F.col("p"), 1 - F.col("p"))
     if preference:
         odds = odds * F.coalesce(F.col(preference), F.lit(1.0))
-    return F.col("u") / (1 - F.col("u")) / odds
+    return F.try_divide(F.col("u") / (1 - F.col("u")), odds)  # null without a chance
 
 
 def _slice(slices: int) -> Column:
@@ -99,9 +99,9 @@ def mixing_plan(
     )
     plan = (
         targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-        .withColumn("whole", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)))
+        .withColumn("whole", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
         .withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-        .withColumn("p", F.col("need") / F.col("source_size"))
+        .withColumn("p", F.try_divide("need", "source_size"))
     )
     plan = written(plan, "mix_targets")
     parts = small_side(plan.where("need > 0").withColumnRenamed("source", "of"))
