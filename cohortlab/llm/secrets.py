@@ -31,15 +31,24 @@ from pyspark.sql import functions as F
 
 from .common import table, text_of
 
+
+
+def either_case(pattern: str) -> str:
+    """ASCII letters in either case, without a flag that would let other letters match."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in pattern)
+
+
+KEYS = f"(?:{either_case('password|passwd|secret|token|api_?key')})"
+
 # Kind -> (pattern, group whose length counts, least length).
 BASE = {
-    "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 3, 8),
+    "assign": (KEYS + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 3, 8),
     "access": (r"AKIA[A-Z0-9]+", 2, 16),
     "hex": (r"[0-9a-f]+", 2, 32),
 }
 # A text with a match that is long enough matches these.
 HINTS = {
-    "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8}""",
+    "assign": KEYS + r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8}""",
     "access": r"AKIA[A-Z0-9]{12}",
     "hex": r"[0-9a-f]{32}",
 }
@@ -100,7 +109,7 @@ def _base(kind: str) -> Column:
 def _hot(kind: str) -> Column:
     """Spans of hot windows, before the allow-list, with their text."""
     characters, width, bits = CLASSES[kind]
-    table_of = f"array({', '.join(f'{t}L' for t in terms(width))})"
+    table_of = f"array({', '.join(f'{t}L' for t in terms(width + 1))})"  # one enters before one leaves
     code = f"(locate(substr(r.hit, i, 1), {_quoted(characters)}) - 1)"
     gone = f"(locate(substr(r.hit, i - {width}, 1), {_quoted(characters)}) - 1)"
     least = round((width * math.log2(width) - bits * width) * UNIT)
