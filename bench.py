@@ -20,6 +20,7 @@ import uuid
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from cohortlab.plans import registry  # noqa: E402
+from cohortlab.plans.materialize import delete_folder  # noqa: E402
 from cohortlab.plans.scenario_run import ResultTables, write_scenario  # noqa: E402
 from cohortlab.plans.session import local_session, scratch_path  # noqa: E402
 from cohortlab.sources.fixtures import scenario_config, fixture_inputs  # noqa: E402
@@ -48,11 +49,15 @@ def full_run(spark, sf_dir) -> float:
     t0 = time.perf_counter()
     tag = uuid.uuid4().hex[:8]
     tables = ResultTables(f"b_crit_{tag}", f"b_pair_{tag}", f"b_cohort_{tag}")
+    root = scratch_path(spark, "bench")
     write_scenario(
-        spark, fixture_inputs(spark, sf_dir), scenario_config(spark), tables, "auto", None, 2025,
-        root=scratch_path(spark, "bench"),
-    ).collect()
-    return time.perf_counter() - t0
+        spark, fixture_inputs(spark, sf_dir), scenario_config(spark), tables, "auto", None, 2025, root=root,
+    ).counts.collect()
+    took = time.perf_counter() - t0
+    for table in (tables.criteria, tables.pairs, tables.cohort):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    delete_folder(spark, root)
+    return took
 
 
 def main() -> None:

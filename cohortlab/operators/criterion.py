@@ -63,7 +63,12 @@ def code_list(codes: DataFrame, spec: ScenarioSpec, criteria: list[int] | None =
     crits = [c for c in spec.criteria if c.live and (criteria is None or c.number in criteria)]
     wanted = [c.number for c in crits]
     live = codes.where(F.col("criterion").isin(wanted)) if wanted else _empty_like(codes)
-    if wanted and mask_applies(spec):
+    if wanted and mask_applies(spec) and all(c.groups is not None for c in crits):
+        known = [(c.number, g, i) for c in crits for i, g in enumerate(c.groups)]
+        cases = {n: F.coalesce(*[F.when(F.col("code_group") == F.lit(g), F.lit(i)) for m, g, i in known if m == n], F.lit(None).cast("int"))
+                 for n in {m for m, _, _ in known}}
+        live = live.withColumn("group_idx", case_by("criterion", cases, F.lit(None).cast("int")))
+    elif wanted and mask_applies(spec):
         groups = live.where(F.col("code_group").isNotNull()).select("criterion", "code_group").distinct()
         order = Window.partitionBy("criterion").orderBy("code_group")
         groups = groups.withColumn("group_idx", (F.row_number().over(order) - 1).cast("int"))

@@ -1,8 +1,9 @@
 """Scenario config: pick the scenario, read its scalars, unpivot its codes.
 
 The config is a user-submitted table (one row per code tuple). What reaches
-the driver: one row of scalar settings, one row of counts a criterion, and the
-distinct code values when there are few. Code lists stay a DataFrame.
+the driver: one row of scalar settings; then the code cells of a short list, or
+one row of counts a criterion and the distinct code values when those are few.
+Code lists stay a DataFrame.
 """
 
 from __future__ import annotations
@@ -135,14 +136,33 @@ def scenario_params(rows: DataFrame, name=_UNKNOWN) -> ScenarioSpec:
     return _spec(rows, row, name, n)
 
 
+def _counted(cells: list[tuple]) -> tuple[dict, dict, dict]:
+    """The counts of ``code_stats_frame``, the codes and the groups, from a short list's cells."""
+    stats, values, groups = {}, {}, {}
+    for i in {c[0] for c in cells}:
+        own = {(code, group) for n, code, group in cells if n == i}
+        listed = [(code, group) for code, group in own if code is not None]
+        groups[i] = tuple(sorted({group for _, group in own if group is not None}))
+        values[i] = list({code for code, _ in listed})
+        stats[i] = {
+            "groups": len(groups[i]), "codes": len(values[i]), "code_rows": len(listed),
+            "code_bytes": sum(len((code + (group or "")).encode()) + 16 for code, group in listed),
+        }
+    return stats, values, groups
+
+
 def _spec(rows: DataFrame, row, name, n: int) -> ScenarioSpec:
-    stats = {r["criterion"]: r for r in code_stats_frame(rows).collect()}
-    few = [i for i, r in stats.items() if r["codes"] <= SCAN_CODE_FILTER_MAX]
-    values: dict[int, list[str]] = {i: [] for i in few}
-    if few:  # at most SCAN_CODE_FILTER_MAX values a criterion
-        listed = _code_rows(rows).where(F.col("code").isNotNull() & F.col("criterion").isin(few))
-        for r in listed.select("criterion", "code").distinct().collect():
-            values[r["criterion"]].append(r["code"])
+    groups: dict[int, tuple[str, ...]] = {}
+    if row["n_rows"] <= SCAN_CODE_FILTER_MAX:  # few rows: read them, count here
+        stats, values, groups = _counted([tuple(r) for r in _code_rows(rows).collect()])
+    else:
+        stats = {r["criterion"]: r for r in code_stats_frame(rows).collect()}
+        few = [i for i, r in stats.items() if r["codes"] <= SCAN_CODE_FILTER_MAX]
+        values = {i: [] for i in few}
+        if few:  # at most SCAN_CODE_FILTER_MAX values a criterion
+            listed = _code_rows(rows).where(F.col("code").isNotNull() & F.col("criterion").isin(few))
+            for r in listed.select("criterion", "code").distinct().collect():
+                values[r["criterion"]].append(r["code"])
     crits = []
     for i in range(1, n + 1):
         s = stats.get(i)
@@ -159,6 +179,7 @@ def _spec(rows: DataFrame, row, name, n: int) -> ScenarioSpec:
                 codes=tuple(sorted(values.get(i, []))) if s is None or i in values else None,
                 code_rows=int(s["code_rows"]) if s else 0,
                 code_bytes=int(s["code_bytes"]) if s else 0,
+                groups=groups.get(i),
             )
         )
     pairs = []

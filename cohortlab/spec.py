@@ -59,6 +59,8 @@ class CriterionSpec:
     code_rows: int = 0
     # bytes of these rows
     code_bytes: int = 0
+    # distinct groups of the list, sorted, when the list is short
+    groups: tuple[str, ...] | None = None
 
     @property
     def groups_needed(self) -> int:

@@ -87,7 +87,7 @@ def test_read_config_from_parquet(spark, tmp_path):
     scenario_config(spark).write.parquet(path)
     a, _, codes_a = load_scenario(read_config(spark, path))
     b, _, codes_b = load_scenario(scenario_config(spark))
-    assert a == b and a.name == "S_SEQ"
+    assert a == b and a.name == "S_SEQ" and a.criteria[0].groups == ("G1", "G2")
     assert sorted(map(tuple, codes_a.collect())) == sorted(map(tuple, codes_b.collect()))
 
 
