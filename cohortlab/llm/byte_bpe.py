@@ -28,12 +28,13 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_column, table
+from .common import bounded_batches, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 MOST_PIECES = 200_000  # remembered pieces of a worker
@@ -147,6 +148,11 @@ class Bpe:
             out.append(ids)
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Empty what is remembered: workers outlive their tasks, their memory is shared with the next ones."""
+        self.pieces.clear()
+        self.pairs.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -156,22 +162,47 @@ def load(path: str, pattern: str) -> Bpe:
     return Bpe(read_ranks(path), pattern)
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, text: str = "text") -> DataFrame:
-    """``docs`` with ``text`` replaced by ``ids``: little-endian unsigned 32-bit integers."""
-    path = path or public_tokenizers.path(RANKS)
-    return map_column(docs, text, "ids", T.BinaryType(), lambda: load(path, pattern).encode, "")
+def encode(
+    docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, text: str = "text", check: bool = False
+) -> DataFrame:
+    """``docs`` with ``text`` replaced by ``ids``: little-endian unsigned 32-bit
+    integers. ``check``: also ``decoded``, the bytes that the ids decode to."""
+    path, place, names = path or public_tokenizers.path(RANKS), docs.columns.index(text), docs.columns
+    names = [*names[:place], "ids", *names[place + 1 :], *["decoded"] * check]
+
+    def run(batches):
+        bpe = load(path, pattern)
+        for b in batches:
+            ids = [bpe.encode(t or "") for t in b.column(place).to_pylist()]
+            columns = [pa.array(ids, pa.binary()) if i == place else c for i, c in enumerate(b.columns)]
+            if check:
+                columns.append(pa.array([bpe.decode(x) for x in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names)
+        bpe.forget()
+
+    bounded_batches(docs.sparkSession)
+    kinds = [T.StructField("ids", T.BinaryType()) if i == place else f for i, f in enumerate(docs.schema.fields)]
+    return docs.mapInArrow(run, T.StructType([*kinds, *[T.StructField("decoded", T.BinaryType())] * check]))
 
 
 def decode(rows: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, ids: str = "ids") -> DataFrame:
-    """``rows`` with ``decoded`` added: the bytes of the ids."""
-    path = path or public_tokenizers.path(RANKS)
-    copied = rows.withColumn("decoded", F.col(ids))
-    return map_column(copied, "decoded", "decoded", T.BinaryType(), lambda: load(path, pattern).decode, b"")
+    """``rows`` with ``ids`` replaced by ``decoded``: the bytes of the ids."""
+    path, place = path or public_tokenizers.path(RANKS), rows.columns.index(ids)
+    names = ["decoded" if i == place else c for i, c in enumerate(rows.columns)]
+
+    def run(batches):
+        bpe = load(path, pattern)
+        for b in batches:
+            data = pa.array([bpe.decode(x or b"") for x in b.column(place).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([data if i == place else c for i, c in enumerate(b.columns)], names)
+
+    bounded_batches(rows.sparkSession)
+    return rows.mapInArrow(run, T.StructType([T.StructField("decoded", T.BinaryType()) if i == place else f for i, f in enumerate(rows.schema.fields)]))
 
 
 def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decode(encode(docs)).select(
+    return encode(docs, check=True).select(
         "doc_id", F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )

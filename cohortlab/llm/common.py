@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans.materialize import materialize
 
@@ -81,23 +77,3 @@ def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
     """Few rows in each batch that goes to Python: rows can be long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
-
-def map_column(
-    df: DataFrame, column: str, to: str, kind: T.DataType, make: Callable[[], Callable], null: object
-) -> DataFrame:
-    """``df`` with ``column`` replaced by ``to``, the value of ``make()`` for it.
-
-    ``make`` runs on the executors; ``null`` is what its function gets for a null.
-    """
-    bounded_batches(df.sparkSession)
-    place = df.columns.index(column)
-    schema = T.StructType([T.StructField(to, kind) if i == place else f for i, f in enumerate(df.schema.fields)])
-    types = {"binary": pa.binary(), "string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}
-
-    def run(batches):
-        f, names = make(), schema.fieldNames()
-        for b in batches:
-            new = pa.array([f(null if x is None else x) for x in b.column(place).to_pylist()], types[kind.simpleString()])
-            yield pa.RecordBatch.from_arrays([new if i == place else c for i, c in enumerate(b.columns)], names)
-
-    return df.mapInArrow(run, schema)

@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
-PIECE = 1 << 20  # bytes hashed at a time
+PIECE = 1 << 18  # bytes hashed at a time
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -96,8 +96,8 @@ def shingle_hashes(texts: list[bytes], k: int, lower: bool = True) -> tuple[np.n
     n = np.diff(at)
     step = np.uint64(0xD6E8FEB86659FD93)
     runs = words.copy()
-    for j in range(1, k):
-        runs[: len(runs) - j] = mixed(runs[: len(runs) - j] * step + words[j:]) if j < len(words) else runs[: max(0, len(runs) - j)]
+    for j in range(1, min(k, len(words))):
+        runs[:-j] = mixed(runs[:-j] * step + words[j:])
     counts = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
     begin = np.concatenate([[0], np.cumsum(counts)])
     short = np.flatnonzero((n > 0) & (n < k))

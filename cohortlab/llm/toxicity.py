@@ -168,7 +168,7 @@ def _counts(docs: DataFrame, known: np.ndarray | None, by_text: bool = False) ->
                 ["total", "token", "n", "texts"],
             )
 
-    bounded_batches(docs.sparkSession, 2048)
+    bounded_batches(docs.sparkSession, 128)
     rows = docs.select("text").mapInArrow(count, "total boolean, token long, n long, texts long")
     rows = rows.groupBy("total", "token").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
     if by_text:

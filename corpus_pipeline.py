@@ -49,8 +49,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, decoded_sha256, whole): ids are
     little-endian unsigned 32-bit integers; whole: they decode to the text."""
-    rows = byte_bpe.encode(docs.select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), "text"))
-    return byte_bpe.decode(rows).select(
+    rows = docs.select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), "text")
+    return byte_bpe.encode(rows, check=True).select(
         "doc_id", "lang", "source", F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"), "ids",
         F.sha2("decoded", 256).alias("decoded_sha256"), (F.sha2("decoded", 256) == F.col("sha256")).alias("whole"),
     )
