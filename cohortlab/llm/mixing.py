@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by Pareto order sampling. DataFrame code only.
+"""Mixing sources to target weights by order sampling. DataFrame code only.
 
 Each source s has a target number of words t_s. A document is expected
 t_s / size_s times: the whole part is allocated for certain, the rest is a
@@ -8,8 +8,12 @@ divided by its inclusion odds,
     Q = (u / (1 - u)) / (p / (1 - p)),   u = draw(seed, doc_id), p = the rest,
 
 and the documents with the smallest ranks are taken until the source's words
-are reached. p may differ between documents (``chance``). The size of a sample
-is fixed in words, so a source ends within half a document of its target.
+are reached. p is the same for all documents of a source, so this is the order
+of u and every document is as likely, unless ``preference`` names a column of
+factors on the odds (Pareto order sampling). The cut is at the first document
+that crosses the target, which is taken if at least half of it fits; a source
+ends within half of that document of its target, which is much where single
+documents are long for their source.
 
 The cut in a source's order is found in two steps, so no task sees a source's
 rows whole: sizes summed by (source, slice of the rank), a running sum over at
