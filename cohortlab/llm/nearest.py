@@ -6,13 +6,15 @@ grid of 2^CELL_BITS a side. The vectors of all curves are dealt by range over
 (curve, key) and sorted by Spark; a vector's place in a curve follows from its
 place in its part and the sizes of the parts before. A query's candidates are
 those at most ``window`` places away in some curve; windows of neighbouring
-keys meet in blocks of PLACES places, where all of a block's queries are
-compared with its vectors at once and each keeps its nearest. The curves' lists
-are merged and ranked again by the distances of the original vectors.
+keys meet in blocks of PLACES places: a block's vectors are held, its queries
+pass by QUERY_ROWS at a time and each keeps its nearest. Many queries of a
+block are dealt to several tasks, each with the block's vectors. The curves'
+lists are merged and ranked again by the distances of the original vectors.
 
 The window is a share of all rows (``share``), so the recall is the same at any
-size, and so is the share of all rows that a query is compared with. The
-rows that the blocks take in grow with the vectors and the queries, not with
+size, and so is the share of all rows that a query is compared with: up to
+CURVES * 2 * SHARE = 144 % counted with repeats, more than brute force; only
+a smaller ``share`` saves distances. The rows that the blocks take in grow with the vectors and the queries, not with
 their pairs. Equal vectors are one entry (named by a 64-bit hash), as queries
 and as candidates: of each the smallest ids are kept, one more than asked for,
 which is all that a query can return of them.
@@ -30,6 +32,7 @@ columns aren't read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +48,8 @@ CELL_BITS = 10
 SHARE = 0.045  # of all rows, to either side
 LEAST_WINDOW = 64
 PLACES = 2048  # of a curve in a block
+MOST_QUERIES = 4096  # of a block in a task, about
+QUERY_ROWS = 256  # compared with a block at once
 FIT_ROWS = 20_000
 SEED = 11
 LIGHT_ROWS = 2048
@@ -127,6 +132,23 @@ def _as_bytes(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return rows if sizes is None else rows.where(F.octet_length("raw") == sizes["size"])
 
 
+def _least(query: np.ndarray, d: np.ndarray, x: np.ndarray, ids: list[list[int]], most: int) -> list[tuple[int, float]]:
+    """(id, score) of the ``most`` nearest (the query's own id may be among them).
+
+    ``d``: squared distances to the rows of ``x``, infinite outside the window.
+    """
+    take = min(most, len(d))
+    rows = np.flatnonzero((d <= np.partition(d, take - 1)[take - 1] + 1e-9) & np.isfinite(d))
+    scores = np.sqrt(((query - x[rows]) ** 2).sum(1)).tolist()
+    found = {(i, score) for r, score in zip(rows.tolist(), scores) for i in ids[r]}
+    return sorted(found, key=lambda r: (r[1], r[0]))[:most]
+
+
+def query_slices(asked: int, total: int, window: int) -> int:
+    """So many tasks share a block's queries that one gets about MOST_QUERIES."""
+    return max(1, math.ceil(asked * min(1.0, (PLACES + 2 * window) / total) / MOST_QUERIES))
+
+
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = SHARE, curves: int = CURVES,
     vec_id: str = "vec_id", vector: str = "embedding", seed: int = SEED,
@@ -168,62 +190,53 @@ def nearest(
     ahead = F.element_at(F.create_map(*[F.lit(x) for p in before.items() for x in p]), F.col("part"))
     placed = placed.select("curve", "entry", (ahead + F.col("row") - F.col("curve") * F.lit(total)).alias("place"))
 
-    # every entry once a curve; a query once for each block that its window touches
+    # every entry once a curve and slice; a query once for each block that its window touches, in one slice
     blocks = (F.lit(total) - 1) / PLACES
+    slices = query_slices(flags.count(), total, window)
     located = entries.join(placed, "entry")
-    candidate = located.select("curve", F.floor(F.col("place") / PLACES).alias("block"), F.lit(1).alias("kind"), "place", "raw", "ids", "entry")
+    candidate = located.select(
+        "curve", F.floor(F.col("place") / PLACES).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"),
+        F.lit(0).alias("kind"), "place", "raw", "ids", "entry",
+    )
     near = F.sequence(
         F.floor(F.greatest(F.col("place") - window, F.lit(0)) / PLACES),
         F.floor(F.least((F.col("place") + window) / PLACES, blocks)),
     )
     query = located.where("asked").select(
-        "curve", F.explode(near).alias("block"), F.lit(0).alias("kind"), "place", "raw", F.lit(None).cast("array<long>").alias("ids"), "entry"
+        "curve", F.explode(near).alias("block"), F.pmod("entry", F.lit(slices).cast("long")).alias("slice"),
+        F.lit(1).alias("kind"), "place", "raw", F.lit(None).cast("array<long>").alias("ids"), "entry",
     )
 
     def compare(batches: Iterator[pa.RecordBatch]):
-        at, places, raws, wanted = None, [], [], []
-        asked_at = asked_vectors = None
+        vectors_of = lambda raws: np.frombuffer(b"".join(raws), to).reshape(len(raws), -1).astype(np.float64)
+        at, places, raws, ids, x = None, [], [], [], None
         for b in batches:
             columns = [c.to_pylist() for c in b.columns]
-            edges = [0, *[i for i in range(1, b.num_rows) if tuple(c[i] for c in columns[:3]) != tuple(c[i - 1] for c in columns[:3])], b.num_rows]
+            edges = [0, *[i for i in range(1, b.num_rows) if tuple(c[i] for c in columns[:4]) != tuple(c[i - 1] for c in columns[:4])], b.num_rows]
             for lo, hi in zip(edges, edges[1:]):
                 if lo == hi:
                     continue
-                here = columns[0][lo], columns[1][lo]
+                here = tuple(c[lo] for c in columns[:3])
                 if here != at:
-                    at, places, raws, wanted, asked_vectors = here, [], [], [], None
-                place, raw = columns[3][lo:hi], columns[4][lo:hi]
-                if columns[2][lo] == 0:  # a block's queries come first
-                    places += place
-                    raws += raw
-                    wanted += columns[6][lo:hi]
-                    continue
-                if not places:
+                    at, places, raws, ids, x = here, [], [], [], None
+                if columns[3][lo] == 0:  # a block's own vectors come first, at most PLACES
+                    places += columns[4][lo:hi]
+                    raws += columns[5][lo:hi]
+                    ids += columns[6][lo:hi]
                     continue
-                if asked_vectors is None:
-                    asked_at = np.array(places)
-                    asked_vectors = np.frombuffer(b"".join(raws), to).reshape(len(raws), -1).astype(np.float64)
-                x = np.frombuffer(b"".join(raw), to).reshape(hi - lo, -1).astype(np.float64)
-                d = (asked_vectors**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * asked_vectors @ x.T
-                d[np.abs(asked_at[:, None] - np.array(place)[None, :]) > window] = np.inf
-                most = min(k + 1, hi - lo)  # the query's own id may be among them
-                bound = np.partition(d, most - 1, axis=1)[:, most - 1]
-                out = []
-                for q, c in zip(*np.nonzero((d <= bound[:, None] + 1e-9) & np.isfinite(d))):
-                    score = float(np.sqrt(((asked_vectors[q] - x[c]) ** 2).sum()))
-                    out += [(wanted[q], v, score) for v in columns[5][lo + int(c)]]
-                if out:
-                    out = sorted(set(out), key=lambda r: (r[0], r[2], r[1]))
-                    n, last, few = 0, None, []
-                    for r in out:
-                        n = n + 1 if r[0] == last else 1
-                        last = r[0]
-                        if n <= k + 1:
-                            few.append(r)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*few), (pa.int64(), pa.int64(), pa.float64()))], ["entry", "vec_id", "score"])
+                if x is None:
+                    x, own = vectors_of(raws), np.array(places)
+                for start in range(lo, hi, QUERY_ROWS):
+                    end = min(hi, start + QUERY_ROWS)
+                    asked_vectors = vectors_of(columns[5][start:end])
+                    d = (asked_vectors**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * asked_vectors @ x.T
+                    d[np.abs(np.array(columns[4][start:end])[:, None] - own[None, :]) > window] = np.inf
+                    out = [(e, v, s) for e, q, row in zip(columns[7][start:end], asked_vectors, d) for v, s in _least(q, row, x, ids, k + 1)]
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["entry", "vec_id", "score"])
 
     blocked = candidate.unionByName(query)
-    blocked = blocked.repartition(parts, "curve", "block").sortWithinPartitions("curve", "block", "kind")
+    blocked = blocked.repartition(parts, "curve", "block", "slice").sortWithinPartitions("curve", "block", "slice", "kind")
     found = blocked.mapInArrow(compare, "entry long, vec_id long, score double").distinct()
     few = Window.partitionBy("entry").orderBy("score", "vec_id")
     found = found.withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1)

@@ -65,6 +65,19 @@ def test_nearest_recall_over_a_whole_table(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_queries_of_a_block_in_slices(spark, monkeypatch):
+    rows = vectors()
+    df = frame(spark, rows, VECTORS)
+    queries = df.select(F.col("vec_id").alias("query_id"))
+    ask = lambda: rows_of(nearest.nearest(df, queries, share=1.0, curves=2))
+    whole = ask()
+    monkeypatch.setattr(nearest, "MOST_QUERIES", 50)
+    monkeypatch.setattr(nearest, "QUERY_ROWS", 7)
+    assert nearest.query_slices(400, 400, 400) == 8 and ask() == whole
+    want = {(q, r, i) for q, r, i, _ in brute_nearest(rows)}
+    assert want <= {(q, r, i) for q, r, _, i in whole}  # columns by name: query_id, rank, score, vec_id
+
+
 @pytest.mark.parametrize("dims, bits", [(2, 4), (3, 3), (4, 2)])
 def test_hilbert_keys_step_to_neighbours(dims, bits):
     cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
