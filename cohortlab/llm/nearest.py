@@ -7,7 +7,7 @@ grid of 2^CELL_BITS a side. The vectors of all curves are dealt by range over
 place in its part and the sizes of the parts before. A query's candidates are
 those at most ``window`` places away in some curve; windows of neighbouring
 keys meet in blocks of PLACES places: a block's vectors are held, its queries
-pass by QUERY_ROWS at a time and each keeps its nearest. Many queries of a
+pass by QUERY_ROWS at a time and each keeps its nearest ids. Many queries of a
 block are dealt to several tasks, each with the block's vectors. The curves'
 lists are merged and ranked again by the distances of the original vectors.
 
@@ -133,15 +133,23 @@ def _as_bytes(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 
 def _least(query: np.ndarray, d: np.ndarray, x: np.ndarray, ids: list[list[int]], most: int) -> list[tuple[int, float]]:
-    """(id, score) of the ``most`` nearest (the query's own id may be among them).
+    """(id, score) of the ``most`` nearest ids (the query's own may be among them).
 
     ``d``: squared distances to the rows of ``x``, infinite outside the window.
+    Several rows may hold the same id, so rows are taken until there are enough ids.
     """
-    take = min(most, len(d))
-    rows = np.flatnonzero((d <= np.partition(d, take - 1)[take - 1] + 1e-9) & np.isfinite(d))
-    scores = np.sqrt(((query - x[rows]) ** 2).sum(1)).tolist()
-    found = {(i, score) for r, score in zip(rows.tolist(), scores) for i in ids[r]}
-    return sorted(found, key=lambda r: (r[1], r[0]))[:most]
+    inside, take = int(np.isfinite(d).sum()), most
+    while inside:
+        take = min(take, inside)
+        rows = np.flatnonzero((d <= np.partition(d, take - 1)[take - 1] + 1e-9) & np.isfinite(d))
+        best: dict[int, float] = {}
+        for r, score in zip(rows.tolist(), np.sqrt(((query - x[rows]) ** 2).sum(1)).tolist()):
+            for i in ids[r]:
+                best[i] = min(score, best.get(i, score))
+        if len(best) >= most or take == inside:
+            return sorted(best.items(), key=lambda r: (r[1], r[0]))[:most]
+        take *= 2
+    return []
 
 
 def query_slices(asked: int, total: int, window: int) -> int:
@@ -237,7 +245,8 @@ def nearest(
 
     blocked = candidate.unionByName(query)
     blocked = blocked.repartition(parts, "curve", "block", "slice").sortWithinPartitions("curve", "block", "slice", "kind")
-    found = blocked.mapInArrow(compare, "entry long, vec_id long, score double").distinct()
+    found = blocked.mapInArrow(compare, "entry long, vec_id long, score double")
+    found = found.groupBy("entry", "vec_id").agg(F.min("score").alias("score"))  # an id counts once, with its nearest vector
     few = Window.partitionBy("entry").orderBy("score", "vec_id")
     found = found.withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -65,6 +65,24 @@ def test_nearest_recall_over_a_whole_table(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_an_id_with_several_vectors_takes_one_place(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, v, 1, "e") for i, v in enumerate(rng.normal(size=(300, 8)).astype(np.float32).tolist())]
+    near = (np.array(rows[0][1]) + rng.normal(scale=1e-3, size=(40, 8))).astype(np.float32).tolist()
+    rows += [(500, v, 1, "e") for v in near[:25]] + [(0, v, 1, "e") for v in near[25:]]  # another id's, and the query's own
+    df = frame(spark, rows, VECTORS)
+    got = sorted(tuple(r) for r in nearest.nearest(df, df.select(F.lit(0).cast("long").alias("query_id")), share=1.0, curves=2).collect())
+    own = np.array([v for i, v, *_ in rows if i == 0], np.float32).astype(float)
+    least: dict[int, float] = {}
+    for i, v, *_ in rows:
+        if i:
+            score = float(np.sqrt(((own - np.array(v, np.float32).astype(float)) ** 2).sum(1)).min())
+            least[i] = min(score, least.get(i, score))
+    want = sorted((s, i) for i, s in least.items())[:10]
+    assert [g[:3] for g in got] == [(0, r + 1, i) for r, (_, i) in enumerate(want)]
+    assert np.allclose([g[3] for g in got], [s for s, _ in want], rtol=0, atol=1e-12)
+
+
 def test_queries_of_a_block_in_slices(spark, monkeypatch):
     rows = vectors()
     df = frame(spark, rows, VECTORS)
