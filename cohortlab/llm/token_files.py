@@ -6,8 +6,9 @@ its count over the whole corpus. A block holds whole documents of about
 any other. Its ids are dealt to LANES interleaved coders, so one step codes
 LANES ids with vector operations. A coder's state is 64 bits and moves 32 at a
 time to the block's words. Every CHECKPOINT ids a block notes its coders'
-states and place among the words, so parts of one long block can be decoded in
-parallel too. Checksums cover the table, the block and the decoded ids.
+states and place among the words: a block of more than ALONE ids is decoded by
+segments in separate tasks, and their ids are put together afterwards, since a
+document's ids are one row. Checksums cover the table, the block and the decoded ids.
 
 Files are Parquet, written and read by Spark in any store, one row a block:
 part and first (ids before it in its part; the order of the ids), n_tokens, and
@@ -54,6 +55,7 @@ BITS = 20
 LANES = 512
 BLOCK = 1 << 17
 CHECKPOINT = 1 << 17
+ALONE = 2 * CHECKPOINT  # a block with more ids is decoded in segments, in separate tasks
 LOW = np.uint64(1 << 32)  # a state is at least this between steps
 MAGIC = 0x31534E72
 MOST_STRINGS = 600_000  # remembered strings of a worker
@@ -200,6 +202,26 @@ def encode_block(docs: list[tuple[int | None, bytes]], t: Table, lanes: int = LA
     return body + np.array([zlib.crc32(body)], "<u4").tobytes()
 
 
+def decode_words(words: np.ndarray, states: np.ndarray, n: int, t: Table) -> np.ndarray:
+    """The n ids that follow a checkpoint, from its states and the words up to the next one."""
+    lanes = len(states)
+    steps = -(-n // lanes)
+    out = np.empty((steps, lanes), "<u4")
+    state, at = states.copy(), 0
+    bits, slots = np.uint64(t.bits), np.uint64((1 << t.bits) - 1)
+    for step in range(steps):
+        slot = state & slots
+        ids = t.ids[slot.astype(np.int64)]
+        out[step] = ids
+        state = t.freq[ids] * (state >> bits) + slot - t.cum[ids]
+        low = state < LOW
+        m = int(np.count_nonzero(low))
+        if m:
+            state[low] = (state[low] << np.uint64(32)) | words[at : at + m]
+            at += m
+    return out.reshape(-1)[:n]
+
+
 class Block:
     """A parsed block; ``segment(k)`` decodes what follows its k-th checkpoint."""
 
@@ -222,23 +244,15 @@ class Block:
         self.data_checksum = int(np.frombuffer(payload, "<u4", 1, at + 4 * n_words)[0])
         self.n, self.every, self.t = int(self.sizes.sum()), max(1, checkpoint // self.lanes), t
 
+    def words_of(self, k: int) -> np.ndarray:
+        """The words between the k-th checkpoint and the next."""
+        return self.words[self.places[k] : self.places[k + 1] if k + 1 < len(self.places) else None]
+
+    def size_of(self, k: int) -> int:
+        return min(self.every * self.lanes, self.n - k * self.every * self.lanes)
+
     def segment(self, k: int) -> np.ndarray:
-        t, steps = self.t, -(-self.n // self.lanes)
-        steps = min(self.every, steps - k * self.every)
-        out = np.empty((steps, self.lanes), "<u4")
-        state, at = self.states[k].copy(), int(self.places[k])
-        bits, slots = np.uint64(t.bits), np.uint64((1 << t.bits) - 1)
-        for step in range(steps):
-            slot = state & slots
-            ids = t.ids[slot.astype(np.int64)]
-            out[step] = ids
-            state = t.freq[ids] * (state >> bits) + slot - t.cum[ids]
-            low = state < LOW
-            n = int(np.count_nonzero(low))
-            if n:
-                state[low] = (state[low] << np.uint64(32)) | self.words[at : at + n]
-                at += n
-        return out.reshape(-1)[: self.n - k * self.every * self.lanes]
+        return decode_words(self.words_of(k), self.states[k], self.size_of(k), self.t)
 
     def decode(self) -> np.ndarray:
         ids = np.concatenate([self.segment(k) for k in range(len(self.places))]) if self.n else np.empty(0, "<u4")
@@ -317,23 +331,84 @@ def _then_none(batches: Iterator) -> Iterator:
     yield None
 
 
+SEGMENT = "part long, first long, k long, n long, states binary, words binary, doc_ids array<long>, sizes array<long>, checksum long"
+DECODED = "part long, first long, k long, ids binary, doc_ids array<long>, sizes array<long>, checksum long"
+
+
+def decoded_segments(blocks: DataFrame, t: Table) -> DataFrame:
+    """Rows of ``DECODED`` of the blocks (part, first, payload): one for each
+    checkpoint, dealt to tasks one by one. The first of a block has its doc_ids,
+    sizes and checksum of ids."""
+    types = [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.list_(pa.int64())] * 2 + [pa.int64()]
+    names = [x.split()[0] for x in SEGMENT.split(", ")]
+
+    def split(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            for part, first, payload in zip(*[b.column(i).to_pylist() for i in range(3)]):
+                x = Block(payload, t)
+                for k in range(len(x.places)):
+                    head = [None] * 3 if k else [x.doc_ids, x.sizes.tolist(), x.data_checksum]
+                    row = [part, first, k, x.size_of(k), x.states[k].tobytes(), x.words_of(k).tobytes(), *head]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, types)], names)
+
+    def decode(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            for i in range(b.num_rows):
+                n, states, words = [b.column(c)[i].as_py() for c in (3, 4, 5)]
+                ids = decode_words(np.frombuffer(words, "<u4"), np.frombuffer(states, "<u8"), n, t)
+                kept = b.slice(i, 1)
+                columns = [*[kept.column(c) for c in (0, 1, 2)], pa.array([ids.tobytes()], pa.binary()), *[kept.column(c) for c in (6, 7, 8)]]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in DECODED.split(", ")])
+
+    spark = blocks.sparkSession
+    rows = blocks.select("part", "first", "payload").mapInArrow(split, SEGMENT)
+    return rows.repartition(shuffle_parts(spark), "part", "first", "k").mapInArrow(decode, DECODED)
+
+
 def read_ids(spark: SparkSession, path: str, t: Table) -> DataFrame:
     """(doc_id, start, ids): ids as little-endian unsigned 32-bit integers, start counts all ids before."""
     blocks = spark.read.parquet(path)
-    before, total = {}, 0
-    for r in sorted(blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):  # a row a part
-        before[r["part"]], total = total, total + r["n"]
+    before, total, most = {}, 0, 0
+    for r in sorted(blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("most")).collect()):  # a row a part
+        before[r["part"]], total, most = total, total + r["n"], max(most, r["most"])
+    result, names = "doc_id long, start long, ids binary", ["doc_id", "start", "ids"]
+
+    def documents(part: int, first: int, doc_ids: list, sizes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        ends = np.cumsum(sizes)
+        starts = (before[part] + first + ends - sizes).tolist()
+        data = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(data, pa.binary())], names)
 
     def decode(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             for part, first, payload in zip(*[b.column(i).to_pylist() for i in range(3)]):
                 x = Block(payload, t)
-                ids, ends = x.decode(), np.cumsum(x.sizes)
-                starts = (before[part] + first + ends - x.sizes).tolist()
-                data = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), x.sizes.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(x.doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "start", "ids"])
+                yield documents(part, first, x.doc_ids, x.sizes, x.decode())
 
-    return blocks.select("part", "first", "payload").mapInArrow(decode, "doc_id long, start long, ids binary")
+    def join(batches: Iterator[pa.RecordBatch]):
+        at, head, pieces, missing = None, None, [], 0
+        for b in batches:
+            for i in range(b.num_rows):
+                part, first, k, ids, *own = [c[i].as_py() for c in b.columns]
+                if k == 0:
+                    at, head, pieces, missing = (part, first), own, [], sum(own[1])
+                if at != (part, first) or k != len(pieces):
+                    raise ValueError("a block's segments are incomplete")
+                pieces.append(ids)
+                missing -= len(ids) // 4
+                if not missing:
+                    data = b"".join(pieces)
+                    if zlib.crc32(data) != head[2]:
+                        raise ValueError("a block's ids are wrong")
+                    yield documents(part, first, head[0], np.array(head[1], np.int64), np.frombuffer(data, "<u4"))
+                    pieces = []
+
+    short = blocks.where(F.col("n_tokens") <= ALONE).select("part", "first", "payload").mapInArrow(decode, result)
+    if most <= ALONE:
+        return short
+    segments = decoded_segments(blocks.where(F.col("n_tokens") > ALONE), t)
+    segments = segments.repartition(shuffle_parts(spark), "part", "first").sortWithinPartitions("part", "first", "k")
+    return short.unionByName(segments.mapInArrow(join, result))
 
 
 def op6_token_files(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

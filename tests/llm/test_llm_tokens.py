@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cohortlab.llm import byte_bpe, token_files
@@ -108,6 +109,23 @@ def test_rans_round_trip(sizes):
         token_files.Block(bytes(broken), t, checkpoint=4096).decode()
 
 
+def test_long_blocks_are_decoded_in_segments(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    sizes = [10, 0, 5 * token_files.CHECKPOINT + 77, 3, 3 * token_files.CHECKPOINT, 8]
+    ids = [np.minimum(rng.geometric(0.02, n), 49_000).astype("<u4") for n in sizes]
+    first = np.cumsum([0, *sizes])
+    rows = [(None if i == 0 else i, 0, int(first[i]), bytearray(x.tobytes())) for i, x in enumerate(ids)]
+    tokens = spark.createDataFrame(rows, "doc_id long, part long, first long, ids binary").coalesce(1).sortWithinPartitions("first")
+    t = token_files.Table(token_files.count_ids(tokens))
+    token_files.write_ids(tokens, str(tmp_path / "f"), t)
+    got = sorted((r.start, -1 if r.doc_id is None else r.doc_id, bytes(r.ids)) for r in token_files.read_ids(spark, str(tmp_path / "f"), t).collect())
+    assert got == sorted((r[2], -1 if r[0] is None else r[0], bytes(r[3])) for r in rows)
+    long = spark.read.parquet(str(tmp_path / "f")).where(f"n_tokens > {token_files.ALONE}")
+    parts = token_files.decoded_segments(long, t).select("part", "first", "k", F.spark_partition_id().alias("task"), F.octet_length("ids").alias("n"))
+    parts = parts.collect()
+    assert len(parts) == 6 + 4 and len({r.task for r in parts}) > 2 and max(r.n for r in parts) == 4 * token_files.CHECKPOINT
+
+
 def test_one_id_only_and_ids_outside_the_table():
     t = token_files.Table({1: 10})
     one = np.full(700, 1, "<u4").tobytes()
