@@ -9,9 +9,12 @@ so the likeness given is the cosine of that angle, 0 at least.
 Radius search: a fingerprint is cut into ``radius + 1`` blocks. Two within the
 radius agree in at least one block, so tables permuted to begin with each
 block in turn, and looked up by it, find them all. Equal fingerprints are one
-entry with a count. Queries are a stated set; they are looked up in blocks of
-candidates, so a block value shared by very many rows spreads over tasks and
-only pairs within the radius come out.
+entry with a count. Queries are a stated set. The entries of a block value that
+more than HOT share are dealt to several tasks, each with the value's queries;
+a task holds its entries of a value, the queries pass by and are compared with
+all of them at once, so only pairs within the radius come out. No registered
+query uses the search: ``op4_simhash`` compares each row with its edit and the
+next row only.
 
 ``with_next`` puts a table in order of doc_id: rows are dealt by range and
 sorted, a task handles each row with the one after it, and the last row of
@@ -35,11 +38,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shuffle_parts, table, written
+from .common import bounded_batches, shuffle_parts, small_side, table, written
 from .shingles import mixed, shingle_hashes
 
 BITS = 256
 WORDS = 5
+HOT = 2048  # entries of a block value that a task holds, about
 _LANES = np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -162,18 +166,44 @@ def within_radius(entries: DataFrame, queries: DataFrame, radius: int) -> DataFr
     looked = asked.select("query", key(F.col("query")).alias("k")).select("k.*", "query")
 
     def near(batches: Iterator[pa.RecordBatch]):
+        raw = lambda hexes: np.frombuffer(bytes.fromhex("".join(hexes)), np.uint8).reshape(len(hexes), -1).view(np.uint64)
+        at, held, counts, words = None, [], [], None
         for b in batches:
-            raw = [np.frombuffer(bytes.fromhex("".join(b.column(c).to_pylist())), np.uint8).reshape(b.num_rows, -1) for c in (0, 1)]
-            d = differing(*raw) if b.num_rows else np.zeros(0, np.int64)
-            # a pair comes from the first block in which it agrees
-            rows = [i for i in np.flatnonzero(d <= radius).tolist() if b.column(3)[i].as_py() == next(
-                k for k in range(blocks) if b.column(0)[i].as_py()[edges[k] : edges[k + 1]] == b.column(1)[i].as_py()[edges[k] : edges[k + 1]])]
-            take = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(d[rows].astype(np.int32)), b.column(2).take(take)], ["query", "fingerprint", "distance", "n"])
+            columns = [c.to_pylist() for c in b.columns]
+            rows = {"query": [], "fingerprint": [], "distance": [], "n": []}
+            for block, value, salt, kind, fingerprint, n in zip(*columns):
+                if (block, value, salt) != at:
+                    at, held, counts, words = (block, value, salt), [], [], None
+                if kind == 0:  # the entries of a value come before its queries
+                    held.append(fingerprint)
+                    counts.append(n)
+                elif held:
+                    words = raw(held) if words is None else words
+                    d = np.bitwise_count(words ^ raw([fingerprint])).sum(axis=1)
+                    for i in np.flatnonzero(d <= radius).tolist():
+                        # a pair comes from the first block in which it agrees
+                        if block == next(k for k in range(blocks) if fingerprint[edges[k] : edges[k + 1]] == held[i][edges[k] : edges[k + 1]]):
+                            for name, x in zip(rows, (fingerprint, held[i], int(d[i]), counts[i])):
+                                rows[name].append(x)
+            if rows["n"]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows.values(), (pa.string(), pa.string(), pa.int32(), pa.int64()))], list(rows))
 
     bounded_batches(spark, 4096)
-    candidates = table_of.join(looked, ["block", "value"]).select("query", "fingerprint", "n", "block")
-    return candidates.mapInArrow(near, "query string, fingerprint string, distance int, n long")
+    sides = dealt(written(table_of, "radius_entries"), looked)
+    rows = sides.repartition(shuffle_parts(spark), "block", "value", "salt").sortWithinPartitions("block", "value", "salt", "kind")
+    return rows.mapInArrow(near, "query string, fingerprint string, distance int, n long")
+
+
+def dealt(entries: DataFrame, looked: DataFrame) -> DataFrame:
+    """(block, value, salt, kind, fingerprint, n): ``entries`` as kind 0, each in one salt of
+    its block value, and ``looked`` (block, value, query) as kind 1, in all of them."""
+    sizes = entries.groupBy("block", "value").agg(F.count("*").alias("size")).where(F.col("size") > HOT)
+    hot = written(sizes.select("block", "value", F.ceil(F.col("size") / HOT).cast("long").alias("salts")), "radius_hot")
+    hot, salts = small_side(hot), F.coalesce("salts", F.lit(1).cast("long"))
+    held = entries.join(hot, ["block", "value"], "left").withColumn("salt", F.pmod(F.xxhash64("fingerprint"), salts))
+    asked = looked.join(hot, ["block", "value"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+    return held.select("block", "value", "salt", F.lit(0).alias("kind"), "fingerprint", "n").unionByName(
+        asked.select("block", "value", "salt", F.lit(1).alias("kind"), F.col("query").alias("fingerprint"), F.lit(None).cast("long").alias("n")))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

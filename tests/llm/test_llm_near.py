@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlab.llm import near_dedup, shingles, simhash
 from cohortlab.llm.components import components
@@ -174,3 +175,20 @@ def test_radius_search_finds_all(spark, radius):
             if d <= radius:
                 want.append((d, e, full.count(e), q))
     assert rows_of(got) == ordered(want)
+
+
+def test_radius_search_deals_out_a_hot_value(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 20)
+    rng = np.random.default_rng(9)
+    rows = sorted({"ab" * 8 + rng.integers(0, 256, 24, dtype=np.uint8).tobytes().hex() for _ in range(300)})  # one block value
+    rows += [r[:-1] + ("0" if r[-1] != "0" else "1") for r in rows[:40]]
+    entries = frame(spark, [(r,) for r in rows], "fingerprint string")
+    asked = rows[:60]
+    got = simhash.within_radius(entries, frame(spark, [(r,) for r in asked], "fingerprint string"), 3)
+    pairs = [((int(q, 16) ^ int(e, 16)).bit_count(), e, 1, q) for q in asked for e in rows]
+    assert rows_of(got) == ordered([p for p in pairs if p[0] <= 3])
+    table_of = entries.select(F.lit(0).alias("block"), F.lit("ab").alias("value"), "fingerprint", F.lit(1).cast("long").alias("n"))
+    sides = simhash.dealt(table_of, frame(spark, [(0, "ab", "q")], "block int, value string, query string")).collect()
+    salts = [r.salt for r in sides if r.kind == 0]
+    assert len(salts) == len(rows) and max(map(salts.count, salts)) < 50  # 17 salts of 20
+    assert sorted(r.salt for r in sides if r.kind == 1) == list(range(17))
