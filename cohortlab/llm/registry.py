@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op9_byte_bpe
+from .centroids import OP12_SQL, op12_centroids
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import OP3_SQL, op3_source_mix
 from .near_dedup import op7_near_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc_roundtrip": op10_warc_roundtrip,
+    "op12_centroids": op12_centroids,
 }
 
 ORACLE_SQL = {
@@ -31,4 +33,5 @@ ORACLE_SQL = {
     "op3_source_mix": OP3_SQL,
     "op5_secret_scan": OP5_SQL,
     "op10_warc_roundtrip": OP10_SQL,
+    "op12_centroids": OP12_SQL,
 }
