@@ -8,6 +8,7 @@ from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import OP3_SQL, op3_source_mix
 from .near_dedup import op7_near_dedup
 from .nearest import op1_nearest
+from .phrases import OP13_SQL, op13_phrases
 from .secrets import OP5_SQL, op5_secret_scan
 from .simhash import op4_simhash
 from .token_files import op6_token_files
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc_roundtrip": op10_warc_roundtrip,
     "op12_centroids": op12_centroids,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLE_SQL = {
@@ -34,4 +36,5 @@ ORACLE_SQL = {
     "op5_secret_scan": OP5_SQL,
     "op10_warc_roundtrip": OP10_SQL,
     "op12_centroids": OP12_SQL,
+    "op13_phrases": OP13_SQL,
 }
