@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .attention_lm import op11_attention_lm
 from .byte_bpe import op9_byte_bpe
 from .centroids import OP12_SQL, op12_centroids
 from .line_dedup import OP2_SQL, op2_line_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc_roundtrip": op10_warc_roundtrip,
+    "op11_attention_lm": op11_attention_lm,
     "op12_centroids": op12_centroids,
     "op13_phrases": op13_phrases,
 }
