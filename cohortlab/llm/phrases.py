@@ -6,15 +6,15 @@ in parts that fit in memory:
 
 1. Words are counted per language. Those seen LEAST times or more can be in a phrase.
 2. Prefixes of two words, both frequent, are counted.
-3. Every place where a frequent prefix begins gives one suffix: its words up to
+3. Prefixes are put into groups: neighbours (by a hash) are taken together up to the
+   memory budget of GROUP_LEAVES places; a prefix with more places than that gets several
+   groups of its own, dealt by the words that follow.
+4. Every place where a frequent prefix begins gives one suffix: its words up to
    the first pair of neighbours that isn't frequent, LONGEST at most. Equal
-   suffixes are added in the task and again by Spark: these are the tree's leaf totals.
-4. Leaves are dealt by range over (language, words), so a group is a run of
-   neighbouring prefixes with GROUP_LEAVES leaves on average, the budget of a
-   task; a prefix with more leaves than that is cut at a longer prefix. A group's
-   subtree is read off its sorted leaves: a node's count is the sum of the totals
-   of the leaves below it. Nodes at a group's two ends may go on in the next
-   group, so they come out whatever their count, and Spark adds them.
+   suffixes are added up in the task and sent, packed, to the prefix's group.
+5. A group's subtree is read off its sorted suffixes, the leaves: a node's count is
+   the sum of the totals of the leaves below it. Only the groups that share a prefix
+   have parts of a node; Spark adds these.
 
 Words are 64-bit hashes on the way. No two words of a language share one: all
 words are compared, and another seed is taken if they do. Frequent words and
@@ -48,14 +48,15 @@ LEAST = 100
 TOP = 2000
 SCALE = 1000
 BITMAP_BYTES = 1 << 23
-GROUP_LEAVES = 2_000_000  # of 56 bytes
+GROUP_LEAVES = 1_000_000  # of 48 bytes
+RANGES = 1 << 16  # of prefixes by hash, the least that a group takes
 TASK_ROWS = 1_000_000  # counts that a task adds up before they go out
 BATCH = 256  # texts
 _CUTS = np.zeros(256, np.uint8)  # 1: ends a word, 2: ends a piece as well
 _CUTS[[0x20, 0x09]] = 1
 _CUTS[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
-LEAF = "lang string, " + ", ".join(f"{w} long" for w in WORDS) + ", n long"
+NODE = "lang string, " + ", ".join(f"{w} long" for w in WORDS) + ", n long"
 
 
 def words(column: pa.Array) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
@@ -183,58 +184,92 @@ def _sent(spark, bits: np.ndarray):
     return spark.sparkContext.broadcast(bits)
 
 
+def _salts(names: list[str]) -> np.ndarray:
+    return np.array([_of_language(x) for x in names], np.uint64)
+
+
 def prefixes(docs: DataFrame, frequent, seed: int) -> DataFrame:
-    """(lang, w1, w2, n, key): occurrences of two words, each frequent."""
+    """(key, n): occurrences of two neighbouring words, both frequent, by a hash of language and
+    words. Two pairs that share a hash only let more suffixes through."""
 
     def count(batches: Iterator[pa.RecordBatch]):
         c = Counter()
 
         def out():
-            for lang, keys, n in c.take():
-                key = _pair_key(_of_language(lang), keys[:, 0], keys[:, 1])
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), _signed(keys[:, 0]), _signed(keys[:, 1]), pa.array(n), _signed(key)], ["lang", "w1", "w2", "n", "key"])
+            for _, keys, n in c.take():
+                yield pa.RecordBatch.from_arrays([_signed(keys[:, 0]), pa.array(n)], ["key", "n"])
 
         for b in batches:
             names, lang = languages(b.column(1))
             _, hashes, which, text, piece = coded(b.column(0), seed)
-            of = lang[text]
-            salt = np.array([_of_language(x) for x in names], np.uint64)
-            w = hashes[which]
-            good = has(frequent.value, mixed(w + salt[of])) if len(w) else np.zeros(0, bool)
-            pair = good[:-1] & good[1:] & (piece[:-1] == piece[1:])
-            for i, name in enumerate(names):
-                at = np.flatnonzero(pair & (of[:-1] == i))
-                c.add(name, np.stack([w[at], w[at + 1]], 1))
+            of, w = _salts(names)[lang[text]] if len(text) else np.zeros(0, np.uint64), hashes[which]
+            good = has(frequent.value, mixed(w + of))
+            at = np.flatnonzero(good[:-1] & good[1:] & (piece[:-1] == piece[1:]))
+            c.add("", _pair_key(of[at], w[at], w[at + 1])[:, None])
             if c.full():
                 yield from out()
         yield from out()
 
     bounded_batches(docs.sparkSession, BATCH)
-    rows = docs.select("text", "lang").mapInArrow(count, "lang string, w1 long, w2 long, n long, key long")
-    return rows.groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n"), F.first("key").alias("key"))
-
-
-def leaves(docs: DataFrame, frequent, pairs, seed: int) -> DataFrame:
-    """(lang, w1 .., n): distinct suffixes, 0 after their last word, and their totals."""
+    return docs.select("text", "lang").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+class Groups:
+    """Which group a suffix goes to; RANGES + places / GROUP_LEAVES numbers."""
+
+    def __init__(self, pairs: DataFrame, budget: int) -> None:
+        spark = pairs.sparkSession
+        top = F.shiftrightunsigned("key", 48).cast("int")
+        sums = np.zeros(RANGES, np.int64)
+        for r in pairs.where(F.col("n") <= budget).groupBy(top.alias("at")).agg(F.sum("n").alias("n")).collect():
+            sums[r["at"]] = r["n"]
+        budget = max(1, min(budget, -(-int(sums.sum()) // shuffle_parts(spark))))
+        self.of = ((np.cumsum(sums) - sums) // budget).astype(np.int64)
+        self.shared = int(self.of[-1]) + 1  # groups from here on share a prefix with others
+        large = sorted((r["key"] % (1 << 64), r["n"]) for r in pairs.where(F.col("n") > budget).collect())
+        parts = np.array([-(-n // budget) for _, n in large], np.int64)
+        self.large, self.parts = np.array([k for k, _ in large], np.uint64), parts
+        self.first = self.shared + np.cumsum(parts) - parts
+        self.total = self.shared + int(parts.sum())
+
+    def __call__(self, lang: str, suffixes: np.ndarray) -> np.ndarray:
+        salt = np.full(len(suffixes), _of_language(lang), np.uint64)
+        key = _pair_key(salt, suffixes[:, 0], suffixes[:, 1])
+        out = self.of[(key >> np.uint64(48)).astype(np.int64)]
+        if len(self.large):
+            at = np.minimum(np.searchsorted(self.large, key), len(self.large) - 1)
+            mine = np.flatnonzero(self.large[at] == key)
+            rest = suffixes[mine, 2]
+            for i in range(3, LONGEST):
+                rest = mixed(rest) + suffixes[mine, i]
+            out[mine] = self.first[at[mine]] + (mixed(rest) % self.parts[at[mine]].astype(np.uint64)).astype(np.int64)
+        return out
+
+
+def leaves(docs: DataFrame, pairs, groups, seed: int) -> DataFrame:
+    """(group, lang, leaves): suffixes (0 after their last word) and totals, column by column."""
 
     def count(batches: Iterator[pa.RecordBatch]):
-        c = Counter()
+        c, of_group = Counter(), groups.value
 
         def out():
             for lang, keys, n in c.take():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), *[_signed(keys[:, i]) for i in range(LONGEST)], pa.array(n)], ["lang", *WORDS, "n"])
+                group = of_group(lang, keys)
+                order = np.argsort(group, kind="stable")
+                group, rows = group[order], np.concatenate([keys, n[:, None].astype(np.uint64)], 1)[order]
+                cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+                packed = [np.ascontiguousarray(x.T).tobytes() for x in np.split(rows, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(group[cuts]), pa.array([lang] * len(cuts)), pa.array(packed, pa.binary())], ["group", "lang", "leaves"])
 
         for b in batches:
             names, lang = languages(b.column(1))
             _, hashes, which, text, piece = coded(b.column(0), seed)
-            of = lang[text]
-            salt = np.array([_of_language(x) for x in names], np.uint64)
-            w = hashes[which]
+            w, of = hashes[which], lang[text]
             if len(w) < 2:
                 continue
-            key = _pair_key(salt[of[:-1]], w[:-1], w[1:])
-            joined = (piece[:-1] == piece[1:]) & has(pairs.value, key)
-            joined = np.append(joined, False)  # may the word and the next one be in a phrase?
+            salt = _salts(names)[of]
+            # may the word and the next one be in a phrase?
+            joined = np.append((piece[:-1] == piece[1:]) & has(pairs.value, _pair_key(salt[:-1], w[:-1], w[1:])), False)
             ahead = joined.astype(np.uint8)  # words after this one
             for _ in range(LONGEST - 2):
                 ahead = np.where(joined, np.append(ahead[1:], 0) + 1, 0).clip(max=LONGEST - 1).astype(np.uint8)
@@ -250,62 +285,52 @@ def leaves(docs: DataFrame, frequent, pairs, seed: int) -> DataFrame:
         yield from out()
 
     bounded_batches(docs.sparkSession, BATCH)
-    rows = docs.select("text", "lang").mapInArrow(count, LEAF)
-    return rows.groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
-
-
-def subtrees(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Nodes of two words and more, from sorted leaves: (lang, words, n). Nodes on the
-    path to the first or the last leaf come out whatever their count."""
-    prefix: list = []  # language and words of the last leaf
-    totals: list[int] = []  # of the open nodes of 2, 3, .. words
-    edge: list[bool] = []  # is the node on the path to the first leaf?
-    out: list[tuple] = []
-    seen = False
-
-    def close(depth: int, last: bool = False) -> None:
-        while len(totals) > depth:
-            n, on_edge = totals.pop(), edge.pop()
-            if n >= least or on_edge or last:
-                own = prefix[: len(totals) + 3]
-                out.append((*own, *[0] * (LONGEST + 1 - len(own)), n))
-
-    def batch() -> pa.RecordBatch:
-        rows = pa.RecordBatch.from_arrays([pa.array(c, pa.string() if not i else pa.int64()) for i, c in enumerate(zip(*out))], ["lang", *WORDS, "n"])
-        out.clear()
-        return rows
-
-    for b in batches:
-        columns = [c.to_pylist() for c in b.columns]
-        for *path, n in zip(*columns):
-            while path and path[-1] == 0:
-                path.pop()
-            same = 0
-            while same < min(len(prefix), len(path)) and prefix[same] == path[same]:
-                same += 1
-            close(max(same - 2, 0))
-            prefix = path
-            while len(totals) < len(path) - 2:
-                totals.append(0)
-                edge.append(not seen)
-            for i in range(len(totals)):
-                totals[i] += n
-            seen = True
-        if len(out) > 10_000:
-            yield batch()
-    close(0, True)
-    if out:
-        yield batch()
-
-
-def phrases(leaf: DataFrame, least: int) -> DataFrame:
+    return docs.select("text", "lang").mapInArrow(count, "group long, lang string, leaves binary")
+
+
+def subtree(suffixes: np.ndarray, totals: np.ndarray, least: int, partial: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(words, counts) of the nodes of two words and more with ``least`` places. With
+    ``partial``, other groups have leaves of nodes above the deepest, which then come out whatever their count."""
+    suffixes, totals = summed(suffixes, totals)
+    nodes, counts = [], []
+    for depth in range(2, LONGEST + 1):
+        first = np.flatnonzero(np.concatenate([[True], (suffixes[1:, :depth] != suffixes[:-1, :depth]).any(1)]))
+        n = np.add.reduceat(totals, first)
+        kept = (suffixes[first, depth - 1] != 0) & ((n >= least) | (partial and depth < LONGEST))
+        own = suffixes[first[kept]].copy()
+        own[:, depth:] = 0
+        nodes.append(own)
+        counts.append(n[kept])
+    return np.concatenate(nodes), np.concatenate(counts)
+
+
+def phrases(packed: DataFrame, groups, total: int, least: int) -> DataFrame:
     """(lang, w1 .., a): phrases of two words and more, 0 after the last."""
-    parts = max(shuffle_parts(leaf.sparkSession), -(-leaf.count() // GROUP_LEAVES))
-    bounded_batches(leaf.sparkSession, 8192)
-    order = ["lang", *WORDS]
-    groups = leaf.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*order, "n")
-    nodes = groups.mapInArrow(lambda batches: subtrees(batches, least), LEAF)
-    return nodes.groupBy(*order).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+
+    def build(batches: Iterator[pa.RecordBatch]):
+        at, held = None, []
+
+        def out():
+            rows = np.concatenate([np.frombuffer(x, np.uint64).reshape(LONGEST + 1, -1) for x in held], 1)
+            words_, n = subtree(rows[:LONGEST].T, rows[LONGEST].astype(np.int64), least, at[0] >= groups.value.shared)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([at[1]] * len(n), pa.string()), *[_signed(words_[:, i]) for i in range(LONGEST)], pa.array(n)], ["lang", *WORDS, "n"])
+
+        for b in batches:
+            for group, lang, data in zip(*(c.to_pylist() for c in b.columns)):
+                if (group, lang) != at:
+                    if held:
+                        yield out()
+                    at = (group, lang)
+                held.append(data)
+        if held:
+            yield out()
+
+    spark = packed.sparkSession
+    placed = packed.repartition(max(shuffle_parts(spark), total // 4), "group")  # a few groups a task
+    bounded_batches(spark, 16)
+    nodes = placed.sortWithinPartitions("group", "lang").mapInArrow(build, NODE)
+    return nodes.groupBy("lang", *WORDS).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
 
 
 def scored(found: DataFrame, counts: DataFrame, least: int, scale: int) -> DataFrame:
@@ -351,7 +376,7 @@ def scored(found: DataFrame, counts: DataFrame, least: int, scale: int) -> DataF
     return cut.groupBy("lang", *WORDS, "a", "n").agg(least_cut).select("lang", *WORDS, "a", "cut.l", "cut.r", "n", "cut.score")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, scale: int = SCALE, text: str = "text", lang: str = "lang", bitmap_bytes: int = BITMAP_BYTES) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, scale: int = SCALE, text: str = "text", lang: str = "lang", bitmap_bytes: int = BITMAP_BYTES, group_leaves: int = GROUP_LEAVES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases."""
     spark = docs.sparkSession
     docs = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -363,9 +388,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, scale: int
         seed += 1  # two words of a language share a hash
     often = counts.where(F.col("n") >= least).select("lang", "w")
     frequent = _sent(spark, _word_bits(often, bitmap_bytes))
-    pairs = written(prefixes(docs, frequent, seed).where(F.col("n") >= least).select("key"), "prefixes")
-    leaf = written(leaves(docs, frequent, _sent(spark, bitmap(pairs, bitmap_bytes)), seed), "leaves")
-    found = written(phrases(leaf, least), "nodes")
+    pairs = written(prefixes(docs, frequent, seed).where(F.col("n") >= least), "prefixes")
+    groups = Groups(pairs, group_leaves)
+    sent = spark.sparkContext.broadcast(groups)
+    packed = leaves(docs, _sent(spark, bitmap(pairs, bitmap_bytes)), sent, seed)
+    found = written(phrases(packed, sent, groups.total, least), "nodes")
     rows = written(scored(found, counts, least, scale), "scores")
     first = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
     rows = rows.withColumn("place", F.rank().over(first)).where(F.col("place") <= top)  # with all that tie with the last

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from cohortlab.llm import phrases as P
@@ -62,35 +63,43 @@ def test_query_equals_sql(spark, tmp_path):
     assert none.count() == 0 and none.columns == got.columns
 
 
-@pytest.mark.parametrize("least, top, size", [(2, 10_000, 1 << 16), (5, 7, 8)])  # a bitmap of 64 bits lets nearly all through
-def test_any_threshold_and_bitmap(spark, least, top, size):
+@pytest.mark.parametrize("least, top, size, budget", [(2, 10_000, 1 << 16, 50), (5, 7, 8, 10**6)])
+def test_any_threshold_bitmap_and_budget(spark, least, top, size, budget):
+    """A bitmap of 64 bits lets nearly all through; a budget of 50 places splits prefixes."""
     rows = texts()
-    got = P.collocations(frame(spark, rows, DOCUMENTS), least=least, top=top, bitmap_bytes=size)
+    got = P.collocations(frame(spark, rows, DOCUMENTS), least=least, top=top, bitmap_bytes=size, group_leaves=budget)
     assert sorted(map(tuple, got.collect())) == plain(rows, least, top)
 
 
-def test_subtrees_of_groups_add_up():
-    """Cut anywhere, the groups' nodes add up to those of one tree."""
-    import pyarrow as pa
+def test_groups_keep_the_budget(spark):
+    rng = np.random.default_rng(1)
+    keys = rng.integers(-(1 << 63), 1 << 63, 500)
+    n = np.where(np.arange(500) < 3, 9000, rng.integers(1, 40, 500))
+    groups = P.Groups(spark.createDataFrame(list(zip(keys.tolist(), n.tolist())), "key long, n long"), 400)
+    at = groups.of[(keys[3:].view(np.uint64) >> np.uint64(48)).astype(int)]
+    assert np.bincount(at, n[3:]).max() <= 400 + 40 * 3 and at.max() < groups.shared
+    assert len(groups.large) == 3 and set(groups.parts) == {-(-9000 // 400)} or groups.parts.min() > 20
+    suffixes = rng.integers(1, 1 << 40, (20_000, 5)).astype(np.uint64)
+    suffixes[:, :2] = 7, 8
+    groups.large = P._pair_key(np.array([P._of_language("en")]), np.uint64(7), np.uint64(8))
+    share = np.bincount(groups("en", suffixes) - groups.first[0])
+    assert len(share) == groups.parts[0] and share.max() < 2 * share.mean()  # one prefix over all its groups
 
+
+def test_subtrees_of_shared_prefixes_add_up():
     rng = random.Random(9)
     leaves = sorted({tuple([1, *[rng.randint(1, 3) for _ in range(size - 1)], *[0] * (5 - size)]) for size in (2, 3, 4, 5) for _ in range(60)})
-    names = ["lang", *P.WORDS, "n"]
-
-    def nodes(part, least):
-        table = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*[("en", *x, 3) for x in part])], names)
-        return [tuple(r.values()) for b in P.subtrees(iter([table]), least) for r in b.to_pylist()]
-
     whole: Counter = Counter()
     for x in leaves:
         for size in range(2, 6):
             if x[size - 1]:
                 whole[x[:size] + (0,) * (5 - size)] += 3
+    nodes = lambda part, least, shared: zip(*(y.tolist() for y in P.subtree(np.array(part, np.uint64), np.full(len(part), 3), least, shared)))
     for least in (1, 9, 40):
         want = {k: v for k, v in whole.items() if v >= least}
-        for cut in (1, 7, 50, len(leaves) - 1, len(leaves)):
-            got: Counter = Counter()
-            for part in (leaves[:cut], leaves[cut:]):
-                for r in nodes(part, least) if part else []:
-                    got[r[1:6]] += r[6]
-            assert {k: v for k, v in got.items() if v >= least} == want
+        assert {tuple(w): n for w, n in nodes(leaves, least, False)} == want
+        got: Counter = Counter()
+        for part in (leaves[::2], leaves[1::2]):
+            for w, n in nodes(part, least, True):
+                got[tuple(w)] += n
+        assert {k: v for k, v in got.items() if v >= least} == {k: v for k, v in want.items() if not k[4] or v >= least}
