@@ -55,7 +55,7 @@ def full_run(spark, sf_dir) -> float:
     ).counts.collect()
     took = time.perf_counter() - t0
     for table in (tables.criteria, tables.pairs, tables.cohort):
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        spark.sql(f"DROP VIEW IF EXISTS {table}")
     delete_folder(spark, root)
     return took
 

@@ -24,10 +24,15 @@ patient (the test oracle in ``tests/naive_combine.py`` does exactly that).
 Every join has at most a handful of right rows per key, so a patient with a
 third of all events does not multiply anything; left rows are aggregated
 before they are shuffled to the join.
+
+With one scenario (``scenario`` given) everything is keyed by the patient alone, so
+events stored bucketed by patient are grouped and joined as they are stored, and so is a
+running result made from them: a fold of many criteria shuffles no stored event.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -80,9 +85,13 @@ def combine(
     of a pair: with the date kept, grouping them would change nothing.
     """
     left, right, dead = _prepare(left, right, pair, keep_date, scenario)
-    out = list(output_columns(keep_date))
     if dead:
         return _empty(left, keep_date)
+    out = list(output_columns(keep_date))
+    keys = KEYS
+    if scenario is not None:  # one value: no key
+        keys = [k for k in KEYS if k != "scenario"]
+        out.remove("scenario")
     attrs = list(ATTRIBUTE_COLUMNS)
     group_cols = (["service_date"] if keep_date else []) + attrs
     how = "inner" if pair.logic == LOGIC_AND else "left"
@@ -102,9 +111,9 @@ def combine(
 
     # Left side grouped by its output columns: earliest/latest (sentinel) date.
     if keep_date and left_distinct:
-        grouped = left.select(*KEYS, *group_cols, d.alias("_lmin"), d.alias("_lmax"))
+        grouped = left.select(*keys, *group_cols, d.alias("_lmin"), d.alias("_lmax"))
     else:
-        grouped = left.groupBy(*KEYS, *group_cols).agg(F.min(d).alias("_lmin"), F.max(d).alias("_lmax"))
+        grouped = left.groupBy(*keys, *group_cols).agg(F.min(d).alias("_lmin"), F.max(d).alias("_lmax"))
     complete = all_not_null(group_cols)
     fill_attrs = not left_complete
     fill_dates = keep_date and not left_dated
@@ -113,17 +122,17 @@ def combine(
     # summary is needed, group by the output columns first and derive the
     # coarser summaries from that (much smaller) result.
     if pair.logic == LOGIC_OR or fill_attrs or fill_dates:
-        right_rows = right.groupBy(*KEYS, *group_cols).agg(F.min(d).alias("_rmin"), F.max(d).alias("_rmax"))
-        per_patient = right_rows.groupBy(*KEYS).agg(F.min("_rmin").alias("_rmin"), F.max("_rmax").alias("_rmax"))
+        right_rows = right.groupBy(*keys, *group_cols).agg(F.min(d).alias("_rmin"), F.max(d).alias("_rmax"))
+        per_patient = right_rows.groupBy(*keys).agg(F.min("_rmin").alias("_rmin"), F.max("_rmax").alias("_rmax"))
     else:
         right_rows = None
-        per_patient = right.groupBy(*KEYS).agg(F.min(d).alias("_rmin"), F.max(d).alias("_rmax"))
+        per_patient = right.groupBy(*keys).agg(F.min(d).alias("_rmin"), F.max(d).alias("_rmax"))
 
     def prefixed(df: DataFrame, by: list[str]) -> DataFrame:
-        return df.select(*KEYS, *[F.col(c).alias("_r_" + c) for c in by], "_rmin", "_rmax")
+        return df.select(*keys, *[F.col(c).alias("_r_" + c) for c in by], "_rmin", "_rmax")
 
     # 1. complete left rows: output is the left row itself.
-    parts = [grouped.where(complete).join(per_patient, KEYS, how).where(passes()).select(*out)]
+    parts = [grouped.where(complete).join(per_patient, keys, how).where(passes()).select(*out)]
 
     # 2. left rows with a NULL attribute (date present or not output): fill
     #    from each passing right (attribute combination).
@@ -131,13 +140,13 @@ def combine(
     fill = [F.coalesce(F.col(c), F.col("_r_" + c)).alias(c) for c in attrs]
     if fill_attrs:
         dated = incomplete.where(F.col("service_date").isNotNull()) if keep_date else incomplete
-        by_attr = right_rows if not keep_date else right_rows.groupBy(*KEYS, *attrs).agg(
+        by_attr = right_rows if not keep_date else right_rows.groupBy(*keys, *attrs).agg(
             F.min("_rmin").alias("_rmin"), F.max("_rmax").alias("_rmax")
         )
         parts.append(
-            dated.join(prefixed(by_attr, attrs), KEYS, how)
+            dated.join(prefixed(by_attr, attrs), keys, how)
             .where(passes())
-            .select(*KEYS, *(["service_date"] if keep_date else []), *fill)
+            .select(*keys, *(["service_date"] if keep_date else []), *fill)
             .select(*out)
         )
 
@@ -146,10 +155,10 @@ def combine(
     if fill_dates:
         undated = incomplete.where(F.col("service_date").isNull())
         parts.append(
-            undated.join(prefixed(right_rows, ["service_date"] + attrs), KEYS, how)
+            undated.join(prefixed(right_rows, ["service_date"] + attrs), keys, how)
             .where(passes())
             .select(
-                *KEYS,
+                *keys,
                 F.coalesce(F.col("service_date"), F.col("_r_service_date")).alias("service_date"),
                 *fill,
             )
@@ -158,21 +167,29 @@ def combine(
 
     # 4. OR form: right-only patients, tested against 1900-01-01 on the left.
     if pair.logic == LOGIC_OR:
-        left_keys = grouped.select(*KEYS).distinct()
+        left_keys = grouped.select(*keys).distinct()
         parts.append(
-            right_rows.join(left_keys, KEYS, "left_anti")
+            right_rows.join(left_keys, keys, "left_anti")
             .where(
                 gap_exists(sentinel, sentinel, F.col("_rmin"), F.col("_rmax"), pair.gap_op, pair.gap_days)
             )
             .select(*out)
         )
 
+    if scenario is not None and len(parts) > 1:
+        # Spark keeps a union's partitioning if the parts' keys are equal expressions; a key of the
+        # union's own (an alias that differs by its metadata only, so it isn't dropped) makes them so
+        own = {"union": uuid.uuid4().hex}
+        parts = [p.withColumn("patient_id", F.col("patient_id").alias("patient_id", metadata=own)) for p in parts]
     result = reduce(lambda a, b: a.unionByName(b), parts)
     # Parts 1 and 4 are distinct by construction (grouped by the output
     # columns, one summary row per key) and disjoint (4 holds right-only
     # patients); only the fill paths can repeat a row.
     filled = len(parts) > (2 if pair.logic == LOGIC_OR else 1)
-    return result.distinct() if filled else result
+    result = result.distinct() if filled else result
+    if scenario is not None:
+        result = result.withColumn("scenario", F.lit(scenario)).select(*output_columns(keep_date))
+    return result
 
 
 __all__ = ["combine", "output_columns", "LOGIC_AND", "LOGIC_OR"]

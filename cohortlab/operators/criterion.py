@@ -7,15 +7,17 @@ the work does not grow with the number of criteria.
 
 Plan shape, chosen for skew and scale:
 
-1. ``matched``  claims x code list (broadcast, size-checked), date window per
-   criterion. Scan-level filters (code IN list, overall date range) reach the
-   Parquet scan.
+1. ``matched``  claims x code list (broadcast, size-checked; a larger list goes
+   through ``operators.code_join``), date window per criterion. What the scan can
+   drop by itself reaches it: the criteria's windows as disjoint intervals, each
+   with the codes of the criteria that are open in it.
 2. ``base``     distinct (criterion, patient, date, source, group, claim),
    written once to the shared scratch folder (see ``criterion_events``), so
    each claim table is read once. Partial aggregation collapses repeated
    lines before the shuffle.
-3. ``qualified`` per (criterion, patient): distinct groups and distinct
-   claims against the thresholds.
+3. ``qualified`` per (criterion, patient): distinct groups, counted as bits of mask
+   words, and distinct claims, of which only as many as the threshold needs are
+   shuffled.
 4. ``eligible``  qualified patients x patient reference, birth-year test,
    age and band. The birth-year test depends on the patient only, so it can
    run after the counts without changing them; the patient join then sees
@@ -30,18 +32,21 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.intervals import Interval, disjoint
 from ..functions.predicates import age, age_band, birth_year_test, case_by
 from ..plans.materialize import RunScratch, materialize
 from ..sources.schemas import CRITERION_COLUMNS
 from ..sources.tables import ClaimInputs
-from ..spec import ScenarioSpec
-from .scenario import SCAN_CODE_FILTER_MAX
+from ..spec import CriterionSpec, ScenarioSpec
+from .code_join import join_codes
+from .scenario import SCAN_CODE_FILTER_MAX, number_groups
 
 # Code lists up to this many bytes are broadcast to the claim scan; the list's
 # size is counted with the scenario's settings, before planning. A million
-# codes take about 30 MB. Beyond it the join is left to Spark (shuffled, hot
-# codes split by AQE, claims filtered by a runtime Bloom filter where it pays).
+# codes take about 30 MB. A larger list is joined by ``operators.code_join``.
 BROADCAST_CODES_BYTES = 64 << 20
+# At most so many codes stand in one scan filter, over all its intervals.
+SCAN_FILTER_CODES = 2 * SCAN_CODE_FILTER_MAX
 
 EVENT_KEY = ["criterion", "patient_id"]
 
@@ -50,37 +55,52 @@ def _empty_like(df: DataFrame) -> DataFrame:
     return df.where(F.lit(False))
 
 
-def code_list(codes: DataFrame, spec: ScenarioSpec, criteria: list[int] | None = None):
-    """The code list restricted to live criteria, plus scan hints.
+def _live(spec: ScenarioSpec, criteria: list[int] | None) -> list[CriterionSpec]:
+    return [c for c in spec.criteria if c.live and (criteria is None or c.number in criteria)]
 
-    Returns ``(codes_df, scan_codes, broadcastable)``: ``scan_codes`` are the
-    distinct code values when few enough to push into the scan;
-    ``broadcastable`` says the list's size, counted with the scenario's
-    settings, is under ``BROADCAST_CODES_BYTES``. ``group_idx`` numbers a
-    criterion's groups where the bit mask applies (``mask_applies``): at most
-    ``GROUP_MASK_MAX`` distinct groups a criterion are ranked, never the list.
+
+def code_list(codes: DataFrame, spec: ScenarioSpec, criteria: list[int] | None = None) -> tuple[DataFrame, bool]:
+    """The code list restricted to live criteria; is it small enough to broadcast?
+
+    ``group_idx`` numbers a criterion's distinct groups from 0 (``number_groups``).
     """
-    crits = [c for c in spec.criteria if c.live and (criteria is None or c.number in criteria)]
+    crits = _live(spec, criteria)
+    if "group_idx" not in codes.columns:
+        codes = number_groups(codes)
     wanted = [c.number for c in crits]
     live = codes.where(F.col("criterion").isin(wanted)) if wanted else _empty_like(codes)
-    if wanted and mask_applies(spec) and all(c.groups is not None for c in crits):
-        known = [(c.number, g, i) for c in crits for i, g in enumerate(c.groups)]
-        cases = {n: F.coalesce(*[F.when(F.col("code_group") == F.lit(g), F.lit(i)) for m, g, i in known if m == n], F.lit(None).cast("int"))
-                 for n in {m for m, _, _ in known}}
-        live = live.withColumn("group_idx", case_by("criterion", cases, F.lit(None).cast("int")))
-    elif wanted and mask_applies(spec):
-        groups = live.where(F.col("code_group").isNotNull()).select("criterion", "code_group").distinct()
-        order = Window.partitionBy("criterion").orderBy("code_group")
-        groups = groups.withColumn("group_idx", (F.row_number().over(order) - 1).cast("int"))
-        live = live.join(F.broadcast(groups), ["criterion", "code_group"], "left")
-    else:
-        live = live.withColumn("group_idx", F.lit(None).cast("int"))
-    scan_codes = None
-    if crits and all(c.codes is not None for c in crits):
-        merged = sorted({code for c in crits for code in c.codes})
-        scan_codes = merged if len(merged) <= SCAN_CODE_FILTER_MAX else None
-    broadcastable = sum(c.code_bytes for c in crits) <= BROADCAST_CODES_BYTES
-    return live, scan_codes, broadcastable
+    return live, sum(c.code_bytes for c in crits) <= BROADCAST_CODES_BYTES
+
+
+def scan_intervals(spec: ScenarioSpec, criteria: list[int] | None = None) -> list[Interval]:
+    """The live criteria's windows as disjoint date intervals with the codes that
+    count in each (None: not known on the driver, or too many for a filter)."""
+    crits = _live(spec, criteria)
+    windows = [(c.start, c.end, None if c.codes is None else frozenset(c.codes)) for c in crits]
+    found = disjoint(windows)
+    if sum(len(i.codes) for i in found if i.codes is not None) > SCAN_FILTER_CODES:
+        found = disjoint([(start, end, None) for start, end, _ in windows])
+    return found
+
+
+def scan_filter(events: DataFrame, spec: ScenarioSpec, criteria: list[int] | None = None) -> DataFrame:
+    """Claims that can match: in one of the intervals, with a code that counts in it.
+
+    The dates stand in a filter of their own as well, so that partitions by date
+    are pruned by it whatever the codes.
+    """
+    found = scan_intervals(spec, criteria)
+    if not found:
+        return _empty_like(events)
+    d = F.col("service_date")
+    inside = [d.between(F.lit(i.start), F.lit(i.end)) for i in found]
+    either = lambda tests: reduce(lambda a, b: a | b, tests)
+    events = events.where(either(inside))
+    if all(i.codes is None for i in found):
+        return events
+    if len({i.codes for i in found}) == 1:
+        return events.where(F.col("code").isin(sorted(found[0].codes)))
+    return events.where(either([t if i.codes is None else t & F.col("code").isin(sorted(i.codes)) for t, i in zip(inside, found)]))
 
 
 def window_filter(spec: ScenarioSpec, date_col: str = "service_date") -> F.Column:
@@ -97,15 +117,17 @@ def match_events(
     codes: DataFrame,
     spec: ScenarioSpec,
     criteria: list[int] | None = None,
+    scratch: RunScratch | None = None,
 ) -> DataFrame:
     """Claims on a criterion's code list, inside its date window.
 
     ``events`` is ``ClaimInputs.tagged_events()`` (or one tagged channel).
     Output: criterion, patient_id, service_date, claim_id, code_group, source.
-    A code is tried on every channel (codes carry no coding system).
+    A code is tried on every channel (codes carry no coding system). ``scratch``:
+    where a list too large to broadcast stores what its join needs twice.
     """
-    live, scan_codes, broadcastable = code_list(codes, spec, criteria)
-    crits = [c for c in spec.criteria if c.live and (criteria is None or c.number in criteria)]
+    live, broadcastable = code_list(codes, spec, criteria)
+    crits = _live(spec, criteria)
     if not crits:
         return _empty_like(
             events.select(
@@ -114,16 +136,13 @@ def match_events(
                 F.lit(None).cast("int").alias("group_idx"),
             )
         )
-    lo = min(c.start for c in crits)
-    hi = max(c.end for c in crits)
-    scan = events.where(F.col("service_date").between(F.lit(lo), F.lit(hi)))
-    if scan_codes is not None:
-        scan = scan.where(F.col("code").isin(scan_codes))
-    right = F.broadcast(live) if broadcastable else live
-    return (
-        scan.join(right, "code")
-        .where(window_filter(spec))
-        .select("criterion", "patient_id", "service_date", "claim_id", "code_group", "source", "group_idx")
+    scan = scan_filter(events, spec, criteria)
+    if broadcastable:
+        joined = scan.join(F.broadcast(live), "code")
+    else:
+        joined = join_codes(scan, live, sum(c.code_rows for c in crits), scratch)
+    return joined.where(window_filter(spec)).select(
+        "criterion", "patient_id", "service_date", "claim_id", "code_group", "source", "group_idx"
     )
 
 
@@ -134,34 +153,64 @@ def distinct_claim_rows(matched: DataFrame) -> DataFrame:
     ).distinct()
 
 
-# Up to this many groups per criterion, distinct groups are counted as the
-# bits of a 64-bit mask; above it with a set.
-GROUP_MASK_MAX = 62
+# Bits of a mask word.
+MASK_BITS = 63
 
 
-def mask_applies(spec: ScenarioSpec) -> bool:
-    return all(c.group_total <= GROUP_MASK_MAX for c in spec.criteria)
+def group_counts(base: DataFrame) -> DataFrame:
+    """Per (criterion, patient): distinct non-NULL groups, for any number of groups.
+
+    A group is a bit of one of its criterion's mask words. The first aggregate
+    ORs the bits by (criterion, patient, word): code-generated, combined before
+    the shuffle, and a hot patient's rows are dealt by word. The second
+    adds the words' bit counts. Every patient of ``base`` has a row.
+    """
+    word = (F.col("group_idx") / F.lit(MASK_BITS)).cast("int")
+    bit = F.expr(f"shiftleft(CAST(1 AS BIGINT), group_idx % {MASK_BITS})")
+    words = base.groupBy(*EVENT_KEY, word.alias("word")).agg(F.bit_or(bit).alias("mask"))
+    return words.groupBy(*EVENT_KEY).agg(F.sum(F.coalesce(F.bit_count("mask"), F.lit(0))).cast("int").alias("n_groups"))
+
+
+def claim_counts(base: DataFrame) -> DataFrame:
+    """Per (criterion, patient): all distinct non-NULL claims."""
+    claims = base.where(F.col("claim_id").isNotNull()).select(*EVENT_KEY, "claim_id").distinct()
+    return claims.groupBy(*EVENT_KEY).agg(F.count("*").alias("n_claims"))
 
 
-def patient_counts(base: DataFrame, spec: ScenarioSpec | None = None) -> DataFrame:
-    """Per (criterion, patient): distinct non-NULL groups and claims.
+def claims_up_to(base: DataFrame, most: int) -> DataFrame:
+    """Per (criterion, patient): distinct non-NULL claims, counted up to ``most``.
 
-    Distinct groups: ``bit_count(bit_or(1 << group_idx))`` when every
-    criterion has at most ``GROUP_MASK_MAX`` groups (known from the config).
-    That is a plain, code-generated aggregate next to the one distinct
-    aggregate for claims: no ``Expand`` (two ``count_distinct`` would double
-    every row), no object buffers (``collect_set`` falls back to sort-based
-    aggregation on many keys). Otherwise ``size(collect_set(group))``.
+    The rank is limited in the tasks that read ``base``, before the shuffle: a
+    patient sends ``most`` distinct claims a task, however many there are.
     """
-    if spec is not None and mask_applies(spec):
-        mask = F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), group_idx)"))
-        n_groups = F.coalesce(F.bit_count(mask), F.lit(0)).cast("int")
-    else:
-        n_groups = F.size(F.collect_set("code_group"))
-    return base.groupBy(*EVENT_KEY).agg(
-        n_groups.alias("n_groups"),
-        F.count_distinct("claim_id").alias("n_claims"),
-    )
+    each = Window.partitionBy(*EVENT_KEY).orderBy("claim_id")
+    ranked = base.where(F.col("claim_id").isNotNull()).select(*EVENT_KEY, "claim_id").withColumn("n", F.dense_rank().over(each))
+    return ranked.where(F.col("n") <= F.lit(most)).groupBy(*EVENT_KEY).agg(F.max("n").cast("long").alias("n_claims"))
+
+
+def _with_claims(groups: DataFrame, claims: DataFrame) -> DataFrame:
+    """Patients without a claim id have none."""
+    return groups.join(claims, EVENT_KEY, "left").withColumn("n_claims", F.coalesce("n_claims", F.lit(0).cast("long")))
+
+
+def patient_counts(base: DataFrame) -> DataFrame:
+    """Per (criterion, patient): distinct non-NULL groups and claims, both exact."""
+    return _with_claims(group_counts(base), claim_counts(base))
+
+
+def patients_qualified(base: DataFrame, spec: ScenarioSpec, groups: bool = True, claims: bool = True) -> DataFrame:
+    """(criterion, patient) rows of ``base`` that meet the group rule and/or the claim
+    threshold; claims are counted only as far as some threshold needs."""
+    counts = group_counts(base)
+    if not groups:
+        counts = counts.withColumn("n_groups", F.lit(0))
+    most = max([c.min_claims for c in spec.criteria if c.live], default=0)
+    if claims:
+        if most > 0:
+            counts = _with_claims(counts, claims_up_to(base, most))
+        else:
+            counts = counts.withColumn("n_claims", F.lit(0).cast("long"))
+    return qualify_patients(counts, spec, groups, claims).select(*EVENT_KEY)
 
 
 def group_threshold(spec: ScenarioSpec) -> F.Column:
@@ -239,18 +288,18 @@ def criterion_events(
 
     Columns: ``CRITERION_COLUMNS``; rows are distinct (claim id dropped).
 
-    ``base`` feeds two consumers (the counts and the event rows). Catalyst
-    cannot share it between them: the counts only use duplicate-insensitive
+    ``base`` feeds three consumers (groups, claims and the event rows). Catalyst
+    cannot share it between them: some only use duplicate-insensitive
     aggregates, so it drops ``base``'s distinct in that branch and the claim
-    tables would be scanned twice. With ``store`` (the default) ``base`` is
-    written once to the shared scratch folder and both consumers read that;
+    tables would be scanned again. With ``store`` (the default) ``base`` is
+    written once to the shared scratch folder and all consumers read that;
     matched claims are a small part of the claim tables.
     """
-    matched = match_events(inputs.tagged_events(), codes, spec, criteria)
+    matched = match_events(inputs.tagged_events(), codes, spec, criteria, scratch)
     base = distinct_claim_rows(matched)
     if store:
         base = materialize(base, "matched_claims", scratch=scratch)
-    qualified = qualify_patients(patient_counts(base, spec), spec)
+    qualified = patients_qualified(base, spec)
     eligible = eligible_patients(qualified, inputs.patients, spec, as_of_year)
     # Distinct event rows before the join: a hot patient's rows shrink to
     # (date, source, group) combinations before they are shuffled to it.

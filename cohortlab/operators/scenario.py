@@ -1,16 +1,18 @@
 """Scenario config: pick the scenario, read its scalars, unpivot its codes.
 
-The config is a user-submitted table (one row per code tuple). What reaches
-the driver: one row of scalar settings; then the code cells of a short list, or
-one row of counts a criterion and the distinct code values when those are few.
-Code lists stay a DataFrame.
+The config is a user-submitted table (one row per code tuple) that others may be
+writing to. A run reads the scenario's rows from it once (``snapshot``) and takes
+settings and codes from that copy. What reaches the driver: the rows of a short
+scenario; of a long one, one row of scalar settings, one row of counts a criterion and
+the distinct code values when those are few. Long code lists stay a DataFrame.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.materialize import RunScratch, materialize
 from ..sources.schemas import pair_keys
 from ..sources.tables import criteria_in
 from ..spec import CriterionSpec, PairSpec, ScenarioConfigError, ScenarioSpec
@@ -22,6 +24,31 @@ from ..spec import CriterionSpec, PairSpec, ScenarioConfigError, ScenarioSpec
 SCAN_CODE_FILTER_MAX = 2000
 
 
+def rank_scenarios(config: DataFrame, parts: int | None = None, scratch: RunScratch | None = None) -> DataFrame:
+    """(scenario, submitted_at, rank) of every config row: the dense rank of its
+    submission time, newest first, undated last.
+
+    No task holds all times: the distinct ones are dealt by range over ``parts``
+    partitions and stored; a time's rank is the number of times in the partitions before its own
+    (one number a partition reaches the driver) and its place in its partition.
+    """
+    spark = config.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    newest = F.col("_time").desc_nulls_last()
+    times = config.select(F.col("submitted_at").alias("_time")).distinct().repartitionByRange(parts, newest)
+    times = materialize(times.withColumn("_part", F.spark_partition_id()), "submissions", scratch=scratch)
+    before, total = {}, 0
+    for r in sorted(times.groupBy("_part").count().collect()):
+        before[r["_part"]] = total
+        total += r["count"]
+    if not before:
+        return config.select("scenario", "submitted_at", F.lit(None).cast("long").alias("rank"))
+    ahead = F.element_at(F.create_map(*[F.lit(x) for p in before.items() for x in p]), F.col("_part"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(newest))
+    ranks = times.select("_time", (ahead + place).cast("long").alias("rank"))
+    return config.select("scenario", "submitted_at").join(ranks, F.col("submitted_at").eqNullSafe(F.col("_time"))).drop("_time")
+
+
 def latest_scenario(config: DataFrame) -> DataFrame:
     """One row: the scenario at rank 1; ties broken by name (ascending).
 
@@ -206,21 +233,38 @@ def config_codes(rows: DataFrame) -> DataFrame:
     return _code_rows(rows).where(F.col("code").isNotNull()).distinct()
 
 
-def load_scenario(config: DataFrame, name: str | None = None, pick_latest: bool = True):
-    """Scenario rows, settings and code list.
+def number_groups(codes: DataFrame) -> DataFrame:
+    """``codes`` with ``group_idx``: a criterion's distinct groups numbered from 0, NULL for none.
+
+    The window holds a criterion's distinct groups, never its codes."""
+    groups = codes.where(F.col("code_group").isNotNull()).select("criterion", "code_group").distinct()
+    order = Window.partitionBy("criterion").orderBy("code_group")
+    groups = groups.withColumn("group_idx", (F.row_number().over(order) - 1).cast("int"))
+    return codes.join(groups, ["criterion", "code_group"], "left").select("criterion", "code", "code_group", "group_idx")
+
+
+def snapshot(rows: DataFrame, scratch: RunScratch | None = None) -> tuple[DataFrame, bool]:
+    """A copy of a scenario's rows that later submissions don't change, made by one
+    read; is it short? A short one (at most SCAN_CODE_FILTER_MAX rows) is held by the
+    driver, a longer one is stored in the scratch folder."""
+    first = rows.limit(SCAN_CODE_FILTER_MAX + 1).toArrow()
+    if first.num_rows <= SCAN_CODE_FILTER_MAX:
+        return rows.sparkSession.createDataFrame(first, rows.schema), True
+    return materialize(rows, "scenario", scratch=scratch), False
+
+
+def load_scenario(config: DataFrame, name: str | None = None, pick_latest: bool = True, scratch: RunScratch | None = None):
+    """Scenario rows, settings and code list (with ``group_idx``), all of one snapshot.
 
     ``name=None`` picks the latest submitted scenario (the reference's only
     mode); a name selects that scenario directly.
     """
     if name is None and pick_latest:
-        # the scalars of the latest name: a semi join with the one-row top-1
-        # (its size is bounded by the limit), read in one action; from here on
-        # the name is fixed, so a scenario submitted meanwhile can't mix in
-        latest = config.join(F.broadcast(latest_scenario(config)), "scenario", "left_semi")
-        row = scenario_params_frame(latest).first()
-        rows = scenario_rows(config, row["__name"])
-        spec = _spec(rows, row, row["__name"], criteria_in(config.columns))
+        # a semi join with the one-row top-1 (its size is bounded by the limit)
+        rows = config.join(F.broadcast(latest_scenario(config)), "scenario", "left_semi").select(config.columns)
     else:
         rows = scenario_rows(config, name)
-        spec = scenario_params(rows, name)
-    return spec, rows, config_codes(rows)
+    rows, short = snapshot(rows, scratch)
+    spec = scenario_params(rows) if name is None and pick_latest else scenario_params(rows, name)
+    codes = number_groups(config_codes(rows))
+    return spec, rows, codes if short else materialize(codes, "code_list", scratch=scratch)

@@ -1,18 +1,26 @@
-"""Result tables: create, append, replace one scenario, audit, preview.
+"""One catalog table at a time: create, append, replace one scenario; audit, preview.
 
-Tables are partitioned by ``scenario`` (pairs also by ``pair``): reading one
-scenario prunes the rest, and ``replace`` overwrites exactly the named
-partition. Appends go by column *name* with names and types checked first, where
-the reference inserted by position.
+Tables are partitioned by ``scenario``: reading one scenario prunes the rest, and
+``replace`` overwrites exactly the named partition. Appends go by column *name*
+with names and types checked first, where the reference inserted by position. A
+created table takes its name when its data is complete. A run's tables
+together are published by ``operators.result_store``.
+
+A partition value can't be the empty string (it reads back as NULL), so a row that
+has one ends the write.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..plans.materialize import delete_folder
 
 
 class SchemaMismatch(ValueError):
@@ -32,9 +40,8 @@ def table_exists(spark: SparkSession, table: str) -> bool:
     return spark.catalog.tableExists(table)
 
 
-def _check_schema(spark: SparkSession, df: DataFrame, table: str) -> DataFrame:
+def check_schema(df: DataFrame, target: T.StructType, table: str) -> DataFrame:
     """``df`` in the table's column order; names and types must be the table's."""
-    target = spark.table(table).schema
     names = [f.name for f in target.fields]
     missing = [n for n in names if n not in df.columns]
     extra = [c for c in df.columns if c not in names]
@@ -48,6 +55,78 @@ def _check_schema(spark: SparkSession, df: DataFrame, table: str) -> DataFrame:
     return df.select(*names)
 
 
+def _check_schema(spark: SparkSession, df: DataFrame, table: str) -> DataFrame:
+    return check_schema(df, spark.table(table).schema, table)
+
+
+def _named(df: DataFrame, partition_by: tuple[str, ...] | list[str]) -> DataFrame:
+    """``df`` that fails on an empty string in a partition column."""
+    for c in partition_by:
+        if c in df.columns and df.schema[c].dataType == T.StringType():
+            empty = F.raise_error(F.lit(f"{c} is the empty string, which can't name a partition")).cast("string")
+            df = df.withColumn(c, F.when(F.col(c) == "", empty).otherwise(F.col(c)))
+    return df
+
+
+def _staged_name(table: str) -> str:
+    return f"{table}__next"
+
+
+def _former_name(table: str) -> str:
+    return f"{table}__former"
+
+
+def recover(spark: SparkSession, table: str) -> None:
+    """Finish or undo a ``create`` that died between its steps. A staged table is in
+    the catalog only when its data is complete."""
+    staged, former = _staged_name(table), _former_name(table)
+    if not table_exists(spark, table):
+        if table_exists(spark, staged):
+            spark.sql(f"ALTER TABLE {_quoted(staged)} RENAME TO {_quoted(table)}")
+        elif table_exists(spark, former):
+            spark.sql(f"ALTER TABLE {_quoted(former)} RENAME TO {_quoted(table)}")
+    for left in (staged, former):
+        _drop(spark, left)
+
+
+def _drop(spark: SparkSession, table: str) -> None:
+    """Drop a table, and its folder if ``_create`` made it (the catalog leaves those)."""
+    if not table_exists(spark, table):
+        return
+    facts = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {_quoted(table)}").collect()}
+    spark.sql(f"DROP TABLE IF EXISTS {_quoted(table)}")
+    folder = facts.get("Location", "")
+    if facts.get("Type") == "EXTERNAL" and re.fullmatch(r".*-data-[0-9a-f]{12}", folder):
+        delete_folder(spark, folder)
+
+
+def _new_folder(spark: SparkSession, table: str, path: str | None) -> str:
+    """A folder of its own for a table's data: renaming the table then moves nothing, and
+    partitions keep their places."""
+    *database, name = table.split(".")
+    if not path:
+        path = spark.catalog.getDatabase(database[-1] if database else spark.catalog.currentDatabase()).locationUri
+    return f"{path.rstrip('/')}/{name}-data-{uuid.uuid4().hex[:12]}"
+
+
+def _quoted(table: str) -> str:
+    return ".".join(f"`{x}`" for x in table.split("."))
+
+
+def _create(df: DataFrame, table: str, partition_by: tuple[str, ...], path: str | None) -> None:
+    """Write the successor under another name and folder, then swap the names: the
+    table is dropped only after its successor is complete."""
+    spark = df.sparkSession
+    recover(spark, table)
+    staged, former = _staged_name(table), _former_name(table)
+    w = _named(df, partition_by).write.format("parquet").partitionBy(*partition_by)
+    w.option("path", _new_folder(spark, table, path)).saveAsTable(staged)
+    if table_exists(spark, table):
+        spark.sql(f"ALTER TABLE {_quoted(table)} RENAME TO {_quoted(former)}")
+    spark.sql(f"ALTER TABLE {_quoted(staged)} RENAME TO {_quoted(table)}")
+    _drop(spark, former)
+
+
 def _literal(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -65,21 +144,22 @@ def write_result(
     its first partition columns (e.g. ``{"scenario": "S"}``), with the rows of
     ``df``, all of which must belong to it. An empty ``df`` empties it.
 
-    ``path`` makes a created table external, with its data at that location
-    (a shared folder); otherwise it lives in the catalog's warehouse.
+    A created table is external, with its data in a folder of its own below ``path`` (a
+    shared folder), or below the database's location.
     """
     spark = df.sparkSession
+    if mode in ("append", "replace"):
+        recover(spark, table)
     if mode == "create":
-        w = df.write.mode("overwrite").format("parquet").partitionBy(*partition_by)
-        if path:
-            w = w.option("path", path)
-        w.saveAsTable(table)
+        _create(df, table, partition_by, path)
     elif mode == "append":
         # aligned by name first, so the positional insert is safe
-        _check_schema(spark, df, table).write.insertInto(table, overwrite=False)
+        _named(_check_schema(spark, df, table), partition_by).write.insertInto(table, overwrite=False)
     elif mode == "replace":
         if not partition:
             raise ValueError("replace needs the partition to overwrite")
+        if "" in partition.values():
+            raise ValueError("the empty string can't name a partition")
         if not table_exists(spark, table):
             return write_result(df, table, "create", partition_by, path)
         aligned = _check_schema(spark, df, table)
@@ -87,9 +167,8 @@ def write_result(
         name = "_" + uuid.uuid4().hex
         aligned.drop(*partition).createOrReplaceTempView(name)
         try:
-            quoted = ".".join(f"`{x}`" for x in table.split("."))
             # static for the named columns: the partition is emptied also when no row comes in
-            spark.sql(f"INSERT OVERWRITE TABLE {quoted} PARTITION ({values}) SELECT * FROM {name}")
+            spark.sql(f"INSERT OVERWRITE TABLE {_quoted(table)} PARTITION ({values}) SELECT * FROM {name}")
         finally:
             spark.catalog.dropTempView(name)
     else:
@@ -98,6 +177,7 @@ def write_result(
 
 def create_or_append(df: DataFrame, table: str, path: str | None = None) -> str:
     """Append when the table exists, else create it. Returns the mode used."""
+    recover(df.sparkSession, table)
     mode = "append" if table_exists(df.sparkSession, table) else "create"
     write_result(df, table, mode, path=path)
     return mode

@@ -24,12 +24,15 @@ class RunScratch:
 
     def __init__(self, spark: SparkSession, name: str = "run") -> None:
         self.spark, self.path, self.closed = spark, scratch_path(spark, name), False
+        self.tables: list[str] = []
 
     def folder(self, name: str) -> str:
         return f"{self.path}/{name}-{uuid.uuid4().hex[:12]}"
 
     def close(self) -> None:
         if not self.closed:
+            for table in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
             delete_folder(self.spark, self.path)
             self.closed = True
 
@@ -78,3 +81,32 @@ def materialize(
     # keep the producer's column order and types
     back = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     return back if obs is None else (back, obs.get)
+
+
+def materialize_bucketed(
+    df: DataFrame,
+    name: str,
+    bucket_by: str,
+    scratch: RunScratch,
+    partition_by: list[str] | None = None,
+    observe: dict[str, Column] | None = None,
+) -> DataFrame | tuple[DataFrame, dict]:
+    """Like ``materialize``, dealt by the hash of ``bucket_by`` into as many buckets as a
+    shuffle has partitions: grouping and joining on it then needs no shuffle.
+
+    Buckets are known to the catalog only, so this is a table of the run: external, in the
+    scratch folder, dropped with it. One shuffle before the write gives each bucket one file.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns, obs = df.columns, None
+    if observe:
+        df, obs = observed(df, name, observe)
+    table = f"{name}_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, bucket_by).write.format("parquet").option("path", scratch.folder(name))
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    scratch.tables.append(table)
+    writer.bucketBy(buckets, bucket_by).sortBy(bucket_by).saveAsTable(table)
+    back = spark.table(table).select(*columns)
+    return back if obs is None else (back, obs.get)

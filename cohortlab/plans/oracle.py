@@ -126,9 +126,15 @@ def pair_sql(scenario: str | None = None) -> str:
     return a.sql(a.rows(a.pair()))
 
 
-def cohort_sql(scenario: str | None = None) -> str:
+def pairs_sql(*scenarios: str) -> str:
+    """The pairs of several scenarios."""
+    return " UNION ALL ".join(f"({pair_sql(s)})" for s in scenarios)
+
+
+def cohort_sql(scenario: str | None = None, copies: int = 1) -> str:
     a = Answer(scenario)
-    return a.sql(a.rows(a.cohort()))
+    rows = a.rows(a.cohort())
+    return a.sql(" UNION ALL ".join([rows] * copies))
 
 
 def counts_sql(scenario: str | None = None) -> str:

@@ -23,7 +23,7 @@ from ..operators.criterion import (
     enriched_events,
     match_events,
     patient_counts,
-    qualify_patients,
+    patients_qualified,
     with_age,
 )
 from ..operators.scenario import load_scenario
@@ -112,7 +112,7 @@ def _counts(n: int) -> Callable:
     def counts(spark, sf_dir):
         inputs, spec, codes = _setup(spark, sf_dir, None)
         base = distinct_claim_rows(match_events(inputs.tagged_events(), codes, spec, [n]))
-        c = patient_counts(base, spec).join(_birth_passing(inputs, spec, n), ["criterion", "patient_id"], "left_semi")
+        c = patient_counts(base).join(_birth_passing(inputs, spec, n), ["criterion", "patient_id"], "left_semi")
         return c, spec
 
     return counts
@@ -134,18 +134,12 @@ def _claim_count(n):
     return run
 
 
-def _group_ok(n):
+def _qualified(n: int, groups: bool = False, claims: bool = False) -> QueryFn:
     def run(spark, sf_dir):
-        c, spec = _counts(n)(spark, sf_dir)
-        return qualify_patients(c, spec, groups=True, claims=False).select("patient_id")
-
-    return run
-
-
-def _claim_ok(n):
-    def run(spark, sf_dir):
-        c, spec = _counts(n)(spark, sf_dir)
-        return qualify_patients(c, spec, groups=False, claims=True).select("patient_id")
+        inputs, spec, codes = _setup(spark, sf_dir, None)
+        base = distinct_claim_rows(match_events(inputs.tagged_events(), codes, spec, [n]))
+        found = patients_qualified(base, spec, groups, claims)
+        return found.join(_birth_passing(inputs, spec, n), ["criterion", "patient_id"], "left_semi").select("patient_id")
 
     return run
 
@@ -219,7 +213,10 @@ class _Tables:
         return table
 
     def results(self, database: str = "") -> ResultTables:
-        return ResultTables(*(self.name(f"{database}{t}") for t in ("criterion_events", "pair_events", "cohort")))
+        names = [f"{database}{t}_{uuid.uuid4().hex[:12]}" for t in ("criterion_events", "pair_events", "cohort")]
+        for view in names:
+            self.left.insert(0, lambda view=view: self.spark.sql(f"DROP VIEW IF EXISTS {view}"))
+        return ResultTables(*names)
 
     def write(self, df: DataFrame, table: str, mode: str, scenario: str | None = None) -> None:
         write_result(df, table, mode, path=f"{self.scratch.path}/{table}", partition=scenario and {"scenario": scenario})
@@ -290,13 +287,13 @@ def q_scan_results(spark, sf_dir):
     return _read(spark, t, "S_ALL")
 
 
-def _stored(spark, sf_dir, key: str, database: str = ""):
+def _stored(spark, sf_dir, key: str, database: str = "", scenarios: tuple = (None,), mode: str = "auto"):
     s = _Tables(spark, key)
     tables = s.results(database)
-    done = write_scenario(
-        spark, fixture_inputs(spark, sf_dir), scenario_config(spark), tables, "auto", None, AS_OF_YEAR,
-        root=s.scratch.path,
-    )
+    for name in scenarios:
+        done = write_scenario(
+            spark, fixture_inputs(spark, sf_dir), scenario_config(spark), tables, mode, name, AS_OF_YEAR, root=s.scratch.path,
+        )
     return tables, done
 
 
@@ -304,6 +301,18 @@ def q_audit_counts(spark, sf_dir):
     return _stored(spark, sf_dir, "audit_counts")[1].counts
 
 
+def q_publish_append(spark, sf_dir):
+    """Two scenarios published in turn, the first one again: the store's cohort of the first, pruned to its parts."""
+    tables, done = _stored(spark, sf_dir, "publish_append", scenarios=("S_ALL", LATEST_SCENARIO, "S_ALL"))
+    return done.store.read(tables.cohort, "S_ALL").select(*COHORT_COLUMNS)
+
+
+def q_publish_replace(spark, sf_dir):
+    """A scenario published twice beside another one, by ``replace``: the pairs of both."""
+    tables, done = _stored(spark, sf_dir, "publish_replace", scenarios=("S_ALL", LATEST_SCENARIO, "S_ALL"), mode="replace")
+    return done.store.read(tables.pairs).select(*PAIR_COLUMNS)
+
+
 def q_stored_cohort(spark, sf_dir):
     """The cohort as written by a full run into its own namespace (created
     if missing), tables created and read back."""
@@ -339,10 +348,10 @@ REGISTRY: dict[str, tuple[QueryFn, str | None]] = {
     "age_band": (_age(True), O.age_sql(True)),
     "channel_union": (_criterion(1, "S_MIXED"), O.criterion_sql(1, "S_MIXED")),
     "group_count": (_group_count(1), O.per_patient_sql(1, "count(DISTINCT code_group) AS n_groups")),
-    "group_qualify_and": (_group_ok(1), O.qualified_sql(1, groups=True)),
-    "group_qualify_or": (_group_ok(2), O.qualified_sql(2, groups=True)),
+    "group_qualify_and": (_qualified(1, groups=True), O.qualified_sql(1, groups=True)),
+    "group_qualify_or": (_qualified(2, groups=True), O.qualified_sql(2, groups=True)),
     "claim_count": (_claim_count(2), O.per_patient_sql(2, "count(DISTINCT claim_id) AS n_claims")),
-    "claim_qualify": (_claim_ok(2), O.qualified_sql(2, claims=True)),
+    "claim_qualify": (_qualified(2, claims=True), O.qualified_sql(2, claims=True)),
     "criterion_1": (_criterion(1), O.criterion_sql(1)),
     "criterion_2": (_criterion(2), O.criterion_sql(2)),
     "criterion_3": (_criterion(3), O.criterion_sql(3)),
@@ -388,6 +397,8 @@ REGISTRY: dict[str, tuple[QueryFn, str | None]] = {
     "sink_replace_empty": (q_sink_replace_empty, O.criteria_sql("S_ALL")),
     "stored_cohort": (q_stored_cohort, O.cohort_sql(None)),
     "audit_counts": (q_audit_counts, O.counts_sql(None)),
+    "publish_append": (q_publish_append, O.cohort_sql("S_ALL", copies=2)),
+    "publish_replace": (q_publish_replace, O.pairs_sql("S_ALL", LATEST_SCENARIO)),
     "preview_cohort": (q_preview_cohort, O.preview_sql(None)),
 }
 

@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from ..operators.combine import combine
 from ..operators.criterion import criterion_events
 from ..operators.scenario import load_scenario
-from ..operators.sinks import audit_counts, preview, table_exists, write_result
-from ..sources.schemas import ATTRIBUTE_COLUMNS, PAIR_COLUMNS, pair_keys
-from ..sources.tables import ClaimInputs, read_result
+from ..operators.result_store import ResultStore, grouped_counts, union
+from ..operators.sinks import audit_counts, preview
+from ..sources.schemas import ATTRIBUTE_COLUMNS, COHORT_COLUMNS, CRITERION_COLUMNS, PAIR_COLUMNS, pair_keys
+from ..sources.tables import ClaimInputs
 from ..spec import ScenarioSpec
-from .materialize import RunScratch, materialize, observed
+from .materialize import RunScratch, materialize_bucketed, observed
 from .session import apply_engine_conf
 
 
@@ -123,25 +124,24 @@ def run_scenario(
     they need. ``close()`` the result when it has been read.
     """
     apply_engine_conf(spark)
-    spec, _rows, codes = load_scenario(config, name)
     scratch = RunScratch(spark)
+    spec, _rows, codes = load_scenario(config, name, scratch=scratch)
     wanted = None if pairs is None else list(range(1, pairs + 2))
     crit = criterion_events(inputs, codes, spec, as_of_year, criteria=wanted, scratch=scratch)
     null_attrs = None
     if store_criteria:
-        crit, metrics = materialize(crit, "criteria", ["criterion"], null_flags(spec), scratch)
+        crit, metrics = materialize_bucketed(crit, "criteria", "patient_id", scratch, ["criterion"], null_flags(spec))
         null_attrs = null_criteria(spec, metrics)
     folded = combine_chain(crit, spec, null_attrs, combine_fn, pairs)
     return ScenarioResult(spec=spec, criteria=crit, pairs=folded, scratch=scratch)
 
 
 class ScenarioWriteError(RuntimeError):
-    """A result table failed to write; ``written`` lists those already done."""
+    """A run failed while it wrote ``table``; nothing of it was published."""
 
-    def __init__(self, table: str, written: list[str]):
-        super().__init__(f"writing {table!r} failed; already written: {written or 'none'}")
+    def __init__(self, table: str):
+        super().__init__(f"writing {table!r} failed; no table was changed")
         self.table = table
-        self.written = written
 
 
 @dataclass(frozen=True)
@@ -158,6 +158,13 @@ class ScenarioWrite:
     spec: ScenarioSpec
     counts: DataFrame  # (table_name, n_rows)
     preview: list[dict]
+    store: ResultStore
+    version: int
+
+
+def default_root(spark: SparkSession) -> str:
+    """Where results are stored unless a run names a folder: in the catalog's warehouse."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scenario_results"
 
 
 def write_scenario(
@@ -170,72 +177,58 @@ def write_scenario(
     as_of_year: int | None = None,
     root: str | None = None,
     preview_rows: int = 1,
+    views: bool = True,
 ) -> ScenarioWrite:
-    """Run a scenario and write its tables in dependency order.
-
-    ``mode``: ``auto`` (append if the table exists, else create; the
-    reference's behaviour), ``append``, ``replace`` (overwrite exactly this
-    scenario's partitions) or ``create`` (tables made anew, once a run).
-    ``root``: folder for newly created tables (external tables); default: the
-    catalog's warehouse. Returns the audit counts and the preview.
+    """Run a scenario and publish all its tables, or none if any step fails.
+
+    The tables are staged in dependency order in the result store at ``root`` (default: a
+    folder of the warehouse) and published by one commit. ``mode``: ``auto`` or
+    ``append`` (rows are added, tables made if missing; the reference's behaviour),
+    ``replace`` (this scenario's rows give way) or ``create`` (all rows of the
+    tables give way). ``views``: also give the catalog a view of each table.
+    Returns the audit counts, the preview and the published version.
     """
     apply_engine_conf(spark)
-    spec, _rows, codes = load_scenario(config, name)
-    written: list[str] = []
-    fresh = True  # do the tables hold rows of this run only?
-
-    def put(df: DataFrame, table: str, pair_key: str | None = None) -> DataFrame:
-        nonlocal fresh
-        m = mode
-        if m == "auto":
-            m = "append" if table_exists(spark, table) else "create"
-        if m == "create" and table in written:
-            m = "append"  # made by this run
-        elif m == "append":
-            fresh = False
-        partition, by = {"scenario": spec.name}, ("scenario",)
-        if pair_key is not None:
-            df = df.withColumn("pair", F.lit(pair_key))
-            partition, by = partition | {"pair": pair_key}, ("scenario", "pair")
-        if m == "replace" and spec.name is None:
-            m = "append"  # a scenario without a name has no rows, so nothing to replace
+    store = ResultStore(spark, root or default_root(spark))
+    step = tables.criteria
+    with RunScratch(spark) as scratch:
+        spec, _rows, codes = load_scenario(config, name, scratch=scratch)
+        run = store.begin(spec.name, "append" if mode == "auto" else mode)
         try:
-            path = None if root is None else f"{root.rstrip('/')}/{table}"
-            write_result(df, table, m, by, path, partition)
+            # do the tables hold rows of this run only?
+            fresh = not any(p.scenario == spec.name for p in run.former(tables.criteria))
+            events = criterion_events(inputs, codes, spec, as_of_year, scratch=scratch)
+            events, flags = observed(events.select(*CRITERION_COLUMNS), "criteria", null_flags(spec))
+            run.write(events, tables.criteria, ("criterion",))
+            crit = run.read(tables.criteria)
+            null_attrs = null_criteria(spec, flags.get) if fresh else None
+            running = crit.where(F.col("criterion") == 1).select(*PAIR_COLUMNS)
+            for i, pair in enumerate(spec.pairs):
+                last = i == len(spec.pairs) - 1
+                step = tables.cohort if last else tables.pairs
+                right = crit.where(F.col("criterion") == F.lit(i + 2)).select(*PAIR_COLUMNS)
+                df = fold(running, right, spec, i, null_attrs, fresh)
+                if last:
+                    run.write(df.select(*COHORT_COLUMNS), step)
+                else:
+                    run.write(df.select(*PAIR_COLUMNS), step, pair=pair.key)
+                    running = run.read(step, pair=pair.key).drop("pair")
+            step = "the manifest"
+            version = run.commit()
         except Exception as e:
-            # tables are written one by one (no transaction across them)
-            raise ScenarioWriteError(table, list(written)) from e
-        written.append(table)
-        back = read_result(spark, table, spec.name)
-        if pair_key is not None:
-            back = back.where(F.col("pair") == F.lit(pair_key)).drop("pair")
-        return back
-
-    with RunScratch(spark) as scratch:
-        events = criterion_events(inputs, codes, spec, as_of_year, scratch=scratch)
-        events, flags = observed(events, "criteria", null_flags(spec))
-        crit = put(events, tables.criteria)
-        null_attrs = null_criteria(spec, flags.get) if fresh else None
-        last = len(spec.pairs) - 1
-        running = crit.where(F.col("criterion") == 1).select(*PAIR_COLUMNS)
-        for i, pair in enumerate(spec.pairs):
-            right = crit.where(F.col("criterion") == F.lit(i + 2)).select(*PAIR_COLUMNS)
-            df = fold(running, right, spec, i, null_attrs, fresh)
-            if i < last:
-                if i:  # a table isn't written from its own rows
-                    df = materialize(df, "pair", scratch=scratch)
-                running = put(df, tables.pairs, pair.key)
-            else:
-                put(df, tables.cohort)
-    counts = scenario_counts(spark, tables, len(spec.criteria))
-    return ScenarioWrite(spec, counts, preview(read_result(spark, tables.cohort, spec.name), preview_rows))
-
-
-def scenario_counts(spark: SparkSession, tables: ResultTables, n_criteria: int) -> DataFrame:
-    """Rows of each result: a row a criterion, a row a pair before the last, and the cohort."""
-    crit = spark.table(tables.criteria)
-    frames = {f"criterion_{n}": crit.where(F.col("criterion") == n) for n in range(1, n_criteria + 1)}
-    for key in pair_keys(n_criteria)[:-1]:
-        frames[f"pair_{key}"] = spark.table(tables.pairs).where(F.col("pair") == key)
-    frames["cohort"] = spark.table(tables.cohort)
-    return audit_counts(spark, frames)
+            run.abandon()
+            raise ScenarioWriteError(step) from e
+    if views:
+        store.publish_views([t for t in dict.fromkeys((tables.criteria, tables.pairs, tables.cohort)) if t in run.staged])
+    counts = scenario_counts(store, tables, len(spec.criteria))
+    return ScenarioWrite(spec, counts, preview(store.read(tables.cohort, spec.name), preview_rows), store, version)
+
+
+def scenario_counts(store: ResultStore, tables: ResultTables, n_criteria: int) -> DataFrame:
+    """Rows of each result: a row a criterion, a row a pair before the last, and the
+    cohort; one scan of each table."""
+    frames = [grouped_counts(store.read(tables.criteria), "criterion", {str(n): f"criterion_{n}" for n in range(1, n_criteria + 1)})]
+    keys = pair_keys(n_criteria)[:-1]
+    if keys:
+        frames.append(grouped_counts(store.read(tables.pairs), "pair", {k: f"pair_{k}" for k in keys}))
+    return union([*frames, audit_counts(store.spark, {"cohort": store.read(tables.cohort)})])

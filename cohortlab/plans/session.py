@@ -22,6 +22,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # stored events keep their buckets below a union too, so a fold of them needs no shuffle
+    "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
 }
 
 

@@ -171,8 +171,13 @@ def test_either_side_of_every_size_switch_gives_the_same_rows(spark, monkeypatch
 
     want = result()
     assert len(want) > 5
-    for module, name in ((scenario, "SCAN_CODE_FILTER_MAX"), (criterion, "SCAN_CODE_FILTER_MAX"),
-                         (criterion, "BROADCAST_CODES_BYTES"), (criterion, "GROUP_MASK_MAX")):
+    from cohortlab.operators import code_join
+
+    for module, name, value in ((scenario, "SCAN_CODE_FILTER_MAX", 0), (criterion, "SCAN_FILTER_CODES", 0), (criterion, "MASK_BITS", 1),
+                                (criterion, "BROADCAST_CODES_BYTES", 0), (code_join, "HOT_SHARE", 3), (code_join, "HOT_ROWS", 0)):
         with monkeypatch.context() as m:
-            m.setattr(module, name, 0)
+            if module is code_join:
+                m.setattr(criterion, "BROADCAST_CODES_BYTES", 0)
+                m.setattr(code_join, "HOT_SHARE", 5)
+            m.setattr(module, name, value)
             assert result() == want, name

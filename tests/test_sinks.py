@@ -54,37 +54,71 @@ def test_existence_errors_propagate(spark):
 
 
 def test_write_scenario_auto_twice(spark, tmp_path):
-    tables = ResultTables("t_crit", "t_pair", "t_cohort")
+    tables, root = ResultTables("t_crit", "t_pair", "t_cohort"), str(tmp_path)
     inputs, cfg = fixture_inputs(spark, SF_SMALL), scenario_config(spark)
     first = {r.table_name: r.n_rows for r in
-             write_scenario(spark, inputs, cfg, tables, as_of_year=2025, root=str(tmp_path)).counts.collect()}
+             write_scenario(spark, inputs, cfg, tables, as_of_year=2025, root=root).counts.collect()}
     direct = run_scenario(spark, inputs, cfg, as_of_year=2025)
     assert first == {f"criterion_{n}": direct.criterion(n).count() for n in (1, 2, 3)} | {
         "pair_12": direct.pairs["12"].count(), "cohort": direct.cohort.count()}
     assert all(first.values())
     second = {r.table_name: r.n_rows for r in
-              write_scenario(spark, inputs, cfg, tables, as_of_year=2025).counts.collect()}
+              write_scenario(spark, inputs, cfg, tables, as_of_year=2025, root=root).counts.collect()}
     assert second == {k: 2 * v for k, v in first.items()}  # append mode repeats rows
-    done = write_scenario(spark, inputs, cfg, tables, mode="replace", as_of_year=2025, preview_rows=2)
+    assert spark.table("t_cohort").count() == second["cohort"]  # the catalog's view
+    done = write_scenario(spark, inputs, cfg, tables, mode="replace", as_of_year=2025, preview_rows=2, root=root)
     assert {r.table_name: r.n_rows for r in done.counts.collect()} == first
     assert len(done.preview) == 2 and done.preview == preview(spark.table("t_cohort"), 2)
     rec = preview(spark.table("t_cohort"), 1)
     assert len(rec) == 1 and set(rec[0]) >= {"patient_id", "scenario", "age_group"}
 
 
-def test_failed_write_reports_written_tables(spark, tmp_path):
-    from cohortlab.plans.scenario_run import ScenarioWriteError
+def test_created_table_keeps_its_rows_until_the_successor_is_complete(spark, tmp_path, monkeypatch):
+    from cohortlab.operators import sinks
 
-    inputs, cfg = fixture_inputs(spark, SF_SMALL), scenario_config(spark)
-    # the pair table exists with an incompatible schema, so its append fails
-    spark.createDataFrame([(1,)], "x int").write.saveAsTable("w_pair")
-    tables = ResultTables("w_crit", "w_pair", "w_cohort")
-    with pytest.raises(ScenarioWriteError) as err:
-        write_scenario(spark, inputs, cfg, tables, as_of_year=2025, root=str(tmp_path))
-    assert err.value.table == "w_pair" and err.value.written == ["w_crit"]
+    t = "swap_table"
+    write_result(rows(spark, "A", 3), t, "create", path=str(tmp_path / t))
+    bad = rows(spark, "B", 2).withColumn("patient_id", F.expr("raise_error('dies while it writes')").cast("long"))
+    with pytest.raises(Exception):
+        write_result(bad, t, "create", path=str(tmp_path / t))
+    assert spark.table(t).count() == 3
+    real = type(spark).sql
+    for step, rows_left in (("RENAME TO `swap_table__former`", 3), ("RENAME TO `swap_table`", 2), ("DROP TABLE IF EXISTS `swap_table__former`", 2)):
+        write_result(rows(spark, "A", 3), t, "create", path=str(tmp_path / t))
+        seen = []
+
+        def dying(self, query, *a, **k):
+            # the clean-up before the staged write also drops; only steps after it die
+            if step in query and spark.catalog.tableExists(f"{t}__next") or (step.startswith("DROP") and step in query and seen):
+                raise RuntimeError("killed")
+            if "RENAME" in query:
+                seen.append(query)
+            return real(self, query, *a, **k)
+
+        with monkeypatch.context() as m:
+            m.setattr(type(spark), "sql", dying)
+            with pytest.raises(RuntimeError):
+                write_result(rows(spark, "B", 2), t, "create", path=str(tmp_path / t))
+        sinks.recover(spark, t)
+        assert spark.table(t).count() == rows_left, step
+        assert not spark.catalog.tableExists(f"{t}__next") and not spark.catalog.tableExists(f"{t}__former")
+    assert create_or_append(rows(spark, "B", 1), t) == "append"
+
+
+def test_empty_string_is_no_partition(spark):
+    t = "no_name"
+    with pytest.raises(Exception, match="empty string"):
+        write_result(rows(spark, "", 2), t, "create")
+    assert not spark.catalog.tableExists(t)
+    write_result(rows(spark, "A", 2), t, "create")
+    with pytest.raises(Exception, match="empty string"):
+        write_result(rows(spark, "", 2), t, "append")
+    with pytest.raises(ValueError):
+        write_result(rows(spark, "", 2), t, "replace", partition={"scenario": ""})
+    assert spark.table(t).count() == 2
 
 
-def test_replace_empties_a_scenario_and_leaves_the_others(spark):
+def test_replace_empties_a_scenario_and_leaves_the_others(spark, tmp_path):
     def inputs(code):
         return make_inputs(spark, dx=[(1, "2020-01-01", 1, code), (1, "2020-02-01", 2, "B"), (1, "2020-03-01", 3, "C")],
                            patients=[(1, "F", "CA", 1980)])
@@ -92,14 +126,15 @@ def test_replace_empties_a_scenario_and_leaves_the_others(spark):
     crits = [criterion_cfg([(c, "G")]) for c in "ABC"]
     pairs = (("AND", None, None), ("AND", None, None))
     tables = ResultTables("e_crit", "e_pair", "e_cohort")
+    root = str(tmp_path)
     for name in ("T", "U"):
         cfg = make_config(spark, name, "2026-01-01 00:00:00", crits, pairs)
-        write_scenario(spark, inputs("A"), cfg, tables, mode="replace", as_of_year=2025)
-    assert spark.table("e_cohort").count() == 2
+        done = write_scenario(spark, inputs("A"), cfg, tables, mode="replace", as_of_year=2025, root=root)
+    assert done.store.read("e_cohort").count() == 2
     cfg = make_config(spark, "T", "2026-01-01 00:00:00", crits, pairs)
-    write_scenario(spark, inputs("none"), cfg, tables, mode="replace", as_of_year=2025)
+    done = write_scenario(spark, inputs("none"), cfg, tables, mode="replace", as_of_year=2025, root=root)
     for t, left in (("e_crit", 5), ("e_pair", 1), ("e_cohort", 1)):  # T keeps criteria 2 and 3 only
-        assert spark.table(t).count() == left, t
+        assert done.store.read(t).count() == spark.table(t).count() == left, t
         if t != "e_crit":
             assert {r.scenario for r in spark.table(t).collect()} == {"U"}
 
