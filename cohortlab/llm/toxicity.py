@@ -41,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, table, written
 from .shingles import mixed, word_hashes
@@ -232,13 +233,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
 
 def passages(docs: DataFrame, m: Model) -> DataFrame:
-    """``docs`` (all their columns) as ``doc``, with ``score``, ``toxic`` and the
-    significant ``passages``: first and last token, log-odds, expected number by chance."""
-    kind = "double, array<struct<first:int,last:int,score:double,evalue:double>>"
+    """``docs`` (all their columns) as ``doc``, with ``score`` and the significant
+    ``passages``: first and last token, log-odds, expected number by chance."""
+    of = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("evalue", pa.float64())]))
+    names = docs.columns
+    place = names.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]):
-        place = names.index("text")
-        of = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("evalue", pa.float64())]))
         for b in batches:
             found = list(text_segments(*_tokens(b.column(place)), m))
             x = np.minimum(np.array([surprise(n, s, m.k) for n, s in found], np.float64), 100.0)
@@ -246,20 +247,19 @@ def passages(docs: DataFrame, m: Model) -> DataFrame:
                 [{"first": a, "last": z, "score": s, "evalue": m.k * max(n, 1) * math.exp(-s)} for a, z, s in x if m.k * max(n, 1) * math.exp(-s) < LEAST_EVALUE]
                 for n, x in found
             ]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.probability(x)), pa.array(good, of)], [*names, "score", "passages"])
+            doc = pa.StructArray.from_arrays(b.columns, names)
+            yield pa.RecordBatch.from_arrays([doc, pa.array(m.probability(x)), pa.array(good, of)], ["doc", "score", "passages"])
 
-    names = docs.columns
     bounded_batches(docs.sparkSession)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    done = docs.mapInArrow(score, f"{types}, score {kind.split(', ', 1)[0]}, passages {kind.split(', ', 1)[1]}")
-    return done
+    passage = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("evalue", T.DoubleType())])
+    kind = T.StructType([T.StructField("doc", docs.schema), T.StructField("score", T.DoubleType()), T.StructField("passages", T.ArrayType(passage))])
+    return docs.mapInArrow(score, kind)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     m = train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    rows = passages(docs, m)
-    return rows.select(
-        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    return passages(docs, m).select(
+        "doc.doc_id", held_out("doc.doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
         F.size("passages").cast("long").alias("n_passages"),
     )
