@@ -1,10 +1,13 @@
 """Line dedup by site-relative frequency. DataFrame code only.
 
 Documents are grouped by host. A line's share is the number of the host's
-pages that contain it, divided by the host's pages; a line whose share exceeds
-``ratio`` is boilerplate of that host and is dropped wherever it stands on the
-host's pages. A line counts once a page and is compared without the spaces
-around it. The text itself isn't shuffled: only (host, 64-bit line hash)
+pages that contain it, divided by the host's pages. A share is known the less exactly
+the fewer pages there are, so its lower bound counts (Wilson's, at Z standard errors;
+the first two pages with a line, which a copied page explains, count as none): a line whose
+lower bound exceeds ``ratio`` is boilerplate of that host and is dropped wherever it
+stands on the host's pages. The rule is the same for every host, whatever its size: 3 pages of
+3, 4 of 12, 5 % of 500 or 3 % of 5,000 are enough, 3 of 9 are not. A line counts once a page and is
+compared without the spaces around it. The text itself isn't shuffled: only (host, 64-bit line hash)
 pairs are, summed before they are, so neither a large host nor a common line
 gathers in a task. A host has fewer than (lines a page) / ratio boilerplate
 lines, whatever its size; these short lists meet the texts by a broadcast if
@@ -14,10 +17,8 @@ Hashes: a line is dropped wrongly only if its hash equals that of a boilerplate
 line of its own host, so 64 bits suffice.
 
 Cases. A null text stays null and an empty one empty; both are pages without
-lines. Blank lines are never dropped. A null host is a host of its own. Hosts
-with fewer than ``min_pages`` pages, and lines on fewer than ``min_lines``
-pages, are left alone: a share says nothing there. Repeated rows are pages of
-their own. A document may end up empty; it stays. Other columns pass through.
+lines. Blank lines are never dropped. A null host is a host of its own. Repeated
+rows are pages of their own. A document may end up empty; it stays. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -27,9 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import small_side, table, written
 
-RATIO = 0.1
-MIN_PAGES = 10
-MIN_LINES = 3
+RATIO = 0.02
+Z = 3.0
 SALTS = 16
 MOST_BROADCAST = 1_000_000  # boilerplate hashes in all (8 bytes each)
 
@@ -42,20 +42,25 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate(
-    pages: DataFrame, text: str = "text", host: str = "source",
-    ratio: float = RATIO, min_pages: int = MIN_PAGES, min_lines: int = MIN_LINES,
-) -> DataFrame:
+def _above(n: str, pages: str, ratio: float, z: float) -> str:
+    """SQL: the lower bound of the share of ``n`` - 2 in ``pages`` - 2 exceeds ``ratio``, as a
+    quadratic inequality, so that Spark and other engines round alike (no root is taken)."""
+    x, m = f"CAST({n} - 2 AS DOUBLE)", f"CAST({pages} - 2 AS DOUBLE)"
+    r, zz = f"CAST({ratio!r} AS DOUBLE)", f"CAST({z * z!r} AS DOUBLE)"
+    return f"({n} > 2 AND {x} > {r} * {m} AND ({x} - {r} * {m}) * ({x} - {r} * {m}) > {zz} * {r} * (1 - {r}) * {m})"
+
+
+def boilerplate(pages: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, z: float = Z) -> DataFrame:
     """(host, lines): the hashes of each host's boilerplate lines; hosts without any are left out."""
     pages = pages.select(F.col(host).alias("host"), F.col(text).alias("text"))
     keys = F.array_distinct(F.transform(F.filter(_lines("text"), lambda x: F.trim(x) != ""), _key))
     counts = pages.select("host", F.explode(keys).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
     totals = small_side(written(totals.withColumnRenamed("host", "of"), "hosts"))
     return (
-        counts.where(F.col("n") >= min_lines)
+        counts.where(F.col("n") > 2)
         .join(totals, F.col("host").eqNullSafe(F.col("of")))
-        .where(F.col("n").cast("double") / F.col("pages") > F.lit(float(ratio)))
+        .where(F.expr(_above("n", "pages", ratio, z)))
         .groupBy("host")
         .agg(F.collect_list("line").alias("lines"))
     )
@@ -107,8 +112,7 @@ common AS (
   FROM (SELECT DISTINCT rowid, source, trim(line) AS line FROM lines WHERE trim(line) <> '') l
   JOIN pages p ON l.source IS NOT DISTINCT FROM p.source
   GROUP BY l.source, l.line, p.pages
-  HAVING p.pages >= {MIN_PAGES} AND count(*) >= {MIN_LINES}
-     AND CAST(count(*) AS DOUBLE) / CAST(p.pages AS DOUBLE) > CAST({RATIO} AS DOUBLE)),
+  HAVING {_above("count(*)", "p.pages", RATIO, Z)}),
 marked AS (
   SELECT l.rowid, l.line, l.place, c.line IS NOT NULL AS out
   FROM lines l LEFT JOIN common c ON l.source IS NOT DISTINCT FROM c.source AND trim(l.line) = c.line),
