@@ -1,29 +1,28 @@
 """Mixing sources to target weights by order sampling. DataFrame code only.
 
 Each source s has a target number of words t_s. A document is expected
-t_s / size_s times: the whole part is allocated for certain, the rest is a
-fixed-size sample without replacement. A document's rank is its random odds
-divided by its inclusion odds,
+r = t_s / size_s times: the whole part is allocated for certain, the rest f is a
+sample without replacement. Documents are put into classes by size (a class's sizes differ by
+less than a factor of two). In a class that is to give n words a document of size x gets the
+inclusion odds of p = n x / (sum of x^2 over the class), those with p of 1 or more
+are certain, and a document's rank is its random odds divided by its inclusion odds,
 
-    Q = (u / (1 - u)) / (p / (1 - p)),   u = draw(seed, doc_id), p = the rest,
+    Q = (u / (1 - u)) / (p / (1 - p)),   u = draw(seed, doc_id).
 
-and the documents with the smallest ranks are taken until the source's words
-are reached. p is the same for all documents of a source, so this is the order
-of u and every document is as likely, unless ``preference`` names a column of
-factors on the odds (Pareto order sampling). The cut is at the first document
-that crosses the target, which is taken if at least half of it fits; a source
-ends within half of that document of its target, which is much where single
-documents are long for their source.
+From the largest class to the smallest, documents are taken in the order of ranks while they fit
+into f times the class's words and what the classes before left over. So a long document that
+doesn't fit leaves its words to shorter ones. A second turn through the classes goes on
+where each stopped, with what is still left; a third gives documents another copy, where
+``most`` allows it. A source ends below its target, by less than the next document of any class.
 
-The cut in a source's order is found in two steps, so no task sees a source's
-rows whole: sizes summed by (source, slice of the rank), a running sum over at
-most ``slices`` sums, and a running sum over the documents of the one slice in
-which the target falls.
+Ranks are cut at slices of their scale, ``slices`` a class; all documents of a slice are taken
+or none (few slices hold more than one, and those are small parts of their class).
+What is folded over the classes is one row a source with at most ``slices`` sums a class; no
+task sees a source's rows whole.
 
 Cases. Null or empty text: size 0, taken 0. A null source is a source of its
-own, last in order. Rows with the same doc_id draw the same number; among
-equal ranks the order is doc_id, then the row's digest, and rows equal in all
-that get the same decision in any order. A null doc_id draws as an empty one.
+own, last in order. Rows with the same doc_id draw the same number; rows of
+equal rank and size class all are taken or none. A null doc_id draws as an empty one.
 Columns of ``docs`` that clash with names used here are not read. No rows: no
 rows. A source without words has target 0.
 """
@@ -74,15 +73,32 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     )
 
 
-def _rank(preference: str | None) -> Column:
-    odds = F.try_divide(F.col("p"), 1 - F.col("p"))
-    if preference:
-        odds = odds * F.coalesce(F.col(preference), F.lit(1.0))
-    return F.try_divide(F.col("u") / (1 - F.col("u")), odds)  # null without a chance
+def _drawn(docs: DataFrame, seed: int, preference: str | None, *kept: Column) -> DataFrame:
+    """(of, size, u, class, factor) and ``kept``: a class is a size's number of binary digits; null without words."""
+    factor = F.coalesce(F.col(preference), F.lit(1.0)).cast("double") if preference else F.lit(1.0)
+    rows = docs.select(*kept, F.col("source").alias("of"), word_count().alias("size"), unit_draw(seed, "doc_id").alias("u"), factor.alias("factor"))
+    return rows.withColumn("class", F.when(F.col("size") > 0, F.length(F.bin("size"))))
+
+
+# of a document: its slice, from its own size and draw and its class's words and sum of squares
+P = "(f * size * words / squares)"
+SLICE = "CASE WHEN {p} >= 1 THEN 0 ELSE CAST(floor({q} / (1 + {q}) * {n}) AS BIGINT) END"
+Q = f"(u / (1 - u) * ((1 - {P}) / {P}) / factor)"
 
 
 def _slice(slices: int) -> Column:
-    return F.floor(F.col("q") / (1 + F.col("q")) * slices)
+    return F.expr(SLICE.format(p=P, q=Q, n=f"{slices}D"))
+
+
+# the largest sum of a class's first slices that is within a bound
+_FITS = "coalesce(array_max(transform(filter({cells}, x -> x.upto <= {bound}), x -> x.upto)), 0L)"
+
+
+def _turn(bound: str) -> str:
+    """A fold over ``classes``: what each takes up to (its first slices' words), and what is left."""
+    fits = _FITS.format(cells="c.cells", bound=bound)
+    return f"""aggregate(classes, named_struct('left', left, 'taken', CAST(array() AS ARRAY<BIGINT>)),
+        (s, c) -> named_struct('left', {bound} - {fits}, 'taken', concat(s.taken, array({fits}))))"""
 
 
 def mixing_plan(
@@ -93,51 +109,46 @@ def mixing_plan(
     slices: int = SLICES,
     preference: str | None = None,
 ) -> DataFrame:
-    """One row a source: target, whole copies, p, and the cut in the order of ranks.
+    """One row a source: source_size, target, whole copies, f, and ``cuts``: for each class
+    its words and squares and the last slice that is taken, and the last one taken again.
 
     ``preference``: column of a factor on a document's inclusion odds.
     """
-    extra = [preference] if preference else []
-    light = written(
-        docs.select("doc_id", "source", word_count().alias("size"), unit_draw(seed, "doc_id").alias("u"), *extra), "mix_sizes"
-    )
+    light = written(_drawn(docs, seed, preference).withColumnRenamed("of", "source"), "mix_sizes")
     plan = (
         targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
         .withColumn("whole", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
-        .withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-        .withColumn("p", F.try_divide("need", "source_size"))
+        .withColumn("f", F.coalesce(F.try_divide(F.col("target") - F.col("whole") * F.col("source_size"), "source_size"), F.lit(0.0)))
     )
     plan = written(plan, "mix_targets")
-    parts = small_side(plan.where("need > 0").withColumnRenamed("source", "of"))
-    ranked = (
-        light.where("size > 0")
-        .join(parts, F.col("source").eqNullSafe(F.col("of")))
-        .withColumn("q", _rank(preference))
-        .withColumn("slice", _slice(slices))
-        .select("source", "doc_id", "size", "q", "slice", "need")
-    )
-    upto = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut_slice = (
-        ranked.groupBy("source", "slice")
-        .agg(F.sum("size").alias("words"), F.first("need").alias("need"))
-        .withColumn("before", F.sum("words").over(upto) - F.col("words"))
-        .where("before < need and need <= before + words")
-        .select(F.col("source").alias("of"), F.col("slice").alias("cut_slice"), "before")
-    )
-    cut_slice = written(cut_slice, "mix_slices")
-    order = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = (
-        ranked.join(small_side(cut_slice), F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("cut_slice")))
-        .withColumn("upto", F.col("before") + F.sum("size").over(order))
-        .where("2 * upto - size <= 2 * need")
-        .groupBy("source")
-        .agg(F.max(F.struct("q", "doc_id", "size")).alias("cut"))
-        .withColumnRenamed("source", "with_cut")
+    square = F.col("size").cast("double") * F.col("size")
+    classes = light.where("size > 0").groupBy(F.col("source").alias("of"), F.col("class").alias("own")).agg(
+        F.sum("size").alias("words"), F.sum(square).alias("squares"))
+    classes = classes.join(small_side(plan.where("f > 0").select("source", "f")), F.col("of").eqNullSafe(F.col("source"))).drop("source")
+    classes = written(classes, "mix_classes")
+    same = F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("own"))
+    cells = light.join(small_side(classes), same).withColumn("slice", _slice(slices)).groupBy("source", "class", "slice").agg(F.sum("size").alias("n"))
+    upto = Window.partitionBy("source", "class").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.withColumn("upto", F.sum("n").over(upto)).groupBy("source", "class").agg(F.collect_list(F.struct("slice", "upto")).alias("cells"))
+    cells = cells.join(classes, same).groupBy("source", "f").agg(
+        F.sort_array(F.collect_list(F.struct("class", "words", "squares", "cells")), asc=False).alias("classes"))
+    cells = cells.join(plan.select(F.col("source").alias("of"), "whole"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    with_taken = "transform(classes, (c, i) -> named_struct('class', c.class, 'words', c.words, 'squares', c.squares, 'cells', c.cells, 'taken', turn.taken[i]))"
+    first = cells.withColumn("left", F.lit(0.0)).withColumn("turn", F.expr(_turn("(s.left + f * c.words)")))
+    second = first.withColumn("left", F.col("turn.left")).withColumn("classes", F.expr(with_taken))
+    second = second.withColumn("turn", F.expr(_turn("(s.left + c.taken)")))
+    third = second.withColumn("left", F.col("turn.left")).withColumn("classes", F.expr(with_taken))
+    again = F.expr(_turn("s.left"))
+    none = F.expr("transform(classes, c -> 0L)")
+    third = third.withColumn("more", F.when(F.col("whole") + 2 <= most, again["taken"]).otherwise(none))
+    last = "coalesce(array_max(transform(filter(c.cells, x -> x.upto <= {t}), x -> x.slice)), -1L)"
+    cuts = third.select(
+        F.col("source").alias("with_cuts"),
+        F.expr(f"""map_from_entries(transform(classes, (c, i) -> struct(c.class, named_struct(
+            'words', c.words, 'squares', c.squares, 'last', {last.format(t="c.taken")}, 'again', {last.format(t="more[i]")}))))""").alias("cuts"),
     )
     return written(
-        plan.join(cut_slice, F.col("source").eqNullSafe(F.col("of")), "left")
-        .join(cut, F.col("source").eqNullSafe(F.col("with_cut")), "left")
-        .select("source", "source_size", "target", "whole", "need", "p", "cut_slice", "cut"),
+        plan.join(cuts, F.col("source").eqNullSafe(F.col("with_cuts")), "left").select("source", "source_size", "target", "whole", "f", "cuts"),
         "mix_plan",
     )
 
@@ -150,22 +161,12 @@ def with_copies(
     The decision on a document depends on its own row and its source's plan,
     so texts aren't shuffled.
     """
-    extra = [preference] if preference else []
-    rows = docs.select(
-        F.struct(*docs.columns).alias("doc"), "doc_id", F.col("source").alias("of"),
-        word_count().alias("size"), unit_draw(seed, "doc_id").alias("u"), *extra,
-    )
-    mine = F.struct("q", "doc_id", "size")
-    sampled = (F.col("need") > 0) & (F.col("size") > 0) & (
-        (F.col("slice") < F.col("cut_slice")) | ((F.col("slice") == F.col("cut_slice")) & (mine <= F.col("cut")))
-    )
-    return (
-        rows.join(small_side(plan), F.col("of").eqNullSafe(F.col("source")))
-        .withColumn("q", _rank(preference))
-        .withColumn("slice", _slice(slices))
-        .withColumn("copies", F.col("whole") + F.coalesce(sampled, F.lit(False)).cast("long"))
-        .select("doc", "size", "source_size", "target", "copies")
-    )
+    rows = _drawn(docs, seed, preference, F.struct(*docs.columns).alias("doc"))
+    rows = rows.join(small_side(plan), F.col("of").eqNullSafe(F.col("source")))
+    rows = rows.withColumn("cut", F.col("cuts")[F.col("class")])
+    rows = rows.select("*", F.col("cut.words").alias("words"), F.col("cut.squares").alias("squares")).withColumn("slice", _slice(slices))
+    taken = lambda name: F.coalesce((F.col("slice") <= F.col(f"cut.{name}")).cast("long"), F.lit(0))
+    return rows.withColumn("copies", F.col("whole") + taken("last") + taken("again")).select("doc", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -205,17 +206,43 @@ aims AS (
          THEN CAST({MOST_COPIES} * source_size AS DOUBLE) ELSE CAST(rest * weight AS DOUBLE) / CAST(heads AS DOUBLE) END AS target
   FROM sizes LEFT JOIN level ON TRUE),
 parts AS (
-  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS BIGINT) END AS whole,
-         target - CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END * source_size AS need
-  FROM aims),
-ranked AS (
-  SELECT doc_id, size, source_size, target, whole, need,
-         sum(CASE WHEN size > 0 THEN size ELSE 0 END) OVER (
-           PARTITION BY p.source
-           ORDER BY u / (1 - u) / ((need / source_size) / (1 - need / source_size)), doc_id, size
-           ROWS UNBOUNDED PRECEDING) AS upto
-  FROM docs d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target,
-       CAST(size * (whole + CASE WHEN need > 0 AND 2 * upto - size <= 2 * need THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM ranked
+  SELECT *, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE (target - whole * source_size) / source_size END AS f
+  FROM (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS BIGINT) END AS whole FROM aims)),
+classes AS MATERIALIZED (
+  SELECT d.source, length(bin(size)) AS class, CAST(sum(size) AS BIGINT) AS words, sum(CAST(size AS DOUBLE) * size) AS squares, any_value(f) AS f, any_value(whole) AS whole
+  FROM docs d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source WHERE size > 0 AND f > 0 GROUP BY d.source, length(bin(size))),
+sliced AS MATERIALIZED (
+  SELECT d.source, c.class, doc_id, size, {SLICE.format(p=P, q=Q.replace("factor", "1.0::DOUBLE"), n=f"{SLICES}::DOUBLE")} AS slice
+  FROM docs d JOIN classes c ON d.source IS NOT DISTINCT FROM c.source AND length(bin(size)) = c.class WHERE size > 0),
+cells AS MATERIALIZED (
+  SELECT source, class, list(upto ORDER BY slice) AS uptos, list(slice ORDER BY slice) AS slices
+  FROM (SELECT source, class, slice, CAST(sum(sum(size)) OVER (PARTITION BY source, class ORDER BY slice) AS BIGINT) AS upto FROM sliced GROUP BY source, class, slice)
+  GROUP BY source, class),
+-- the classes of a source from the largest, three times
+grid AS MATERIALIZED (
+  SELECT c.source, c.class, c.f * c.words AS share, uptos, slices, c.whole,
+         row_number() OVER (PARTITION BY c.source ORDER BY c.class DESC) AS k, count(*) OVER (PARTITION BY c.source) AS n
+  FROM classes c JOIN cells x ON c.source IS NOT DISTINCT FROM x.source AND c.class = x.class),
+steps AS (
+  WITH RECURSIVE r AS (
+    SELECT source, 0 AS step, 0.0::DOUBLE AS remaining, CAST([] AS BIGINT[]) AS taken FROM (SELECT DISTINCT source FROM grid)
+    UNION ALL
+    SELECT source, step + 1, bound - got, list_append(taken, got) FROM (
+      SELECT source, step, bound, taken, coalesce(list_max(list_filter(uptos, lambda x: x <= bound)), 0) AS got FROM (
+        SELECT r.source, r.step, r.taken, g.uptos,
+               CASE WHEN r.step < g.n THEN r.remaining + g.share WHEN r.step < 2 * g.n THEN r.remaining + r.taken[r.step + 1 - g.n] ELSE r.remaining END AS bound
+        FROM r JOIN grid g ON r.source IS NOT DISTINCT FROM g.source AND g.k = r.step % g.n + 1
+        WHERE r.step < CASE WHEN g.whole + 2 <= {MOST_COPIES} THEN 3 ELSE 2 END * g.n)))
+  SELECT source, arg_max(taken, step) AS taken FROM r GROUP BY source),
+cuts AS (
+  SELECT g.source, g.class,
+         coalesce(list_max([z[2] FOR z IN list_zip(uptos, slices) IF z[1] <= taken[n + k]]), -1) AS last,
+         coalesce(list_max([z[2] FOR z IN list_zip(uptos, slices) IF z[1] <= coalesce(taken[2 * n + k], 0)]), -1) AS again
+  FROM grid g JOIN steps s ON g.source IS NOT DISTINCT FROM s.source)
+SELECT d.doc_id, d.size, p.source_size, p.target,
+       CAST(d.size * (p.whole + CASE WHEN x.slice <= c.last THEN 1 ELSE 0 END + CASE WHEN x.slice <= c.again THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM (SELECT row_number() OVER () AS row, * FROM docs) d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source
+LEFT JOIN (SELECT DISTINCT source, class, doc_id, size, slice FROM sliced) x
+  ON d.source IS NOT DISTINCT FROM x.source AND d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.size = x.size
+LEFT JOIN cuts c ON x.source IS NOT DISTINCT FROM c.source AND x.class = c.class
 """

@@ -7,7 +7,12 @@ import random
 import duckdb
 import pyarrow as pa
 
-DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, size long, page string, line string, copies long"
+DOCUMENTS = (
+    "doc_id long, text string, lang string, source string, n_chars long, size long, page string, line string, copies long, "
+    # names that operators use for themselves
+    "score double, passages string, doc string, kept_text string, part int, row long, slice int, class int, of string, ids binary, word string, n long"
+)
+CLASHING = (None, "p", None, "k", 0, None, 1, 2, "o", b"", "w", 3)
 WORDS = "the of and thon rean inor ething ouble tion ering hast shed nt ti wh edon ationing reth".split()
 
 
@@ -41,6 +46,8 @@ def documents(seed: int = 1) -> list[tuple]:
 
 
 def frame(spark, rows: list[tuple], schema: str = DOCUMENTS):
+    if schema is DOCUMENTS:
+        rows = [(*r, *CLASHING) for r in rows]
     return spark.createDataFrame(rows, schema).repartition(3)
 
 
