@@ -26,7 +26,7 @@ from cohortlab.llm.common import table, written
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return toxicity.passages(docs, model).where(F.col("score") < 0.5).select(*docs.columns)
+    return toxicity.passages(docs, model).where(F.col("score") < 0.5).select("doc.*")
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
