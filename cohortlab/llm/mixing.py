@@ -12,8 +12,8 @@ are certain, and a document's rank is its random odds divided by its inclusion o
 From the largest class to the smallest, documents are taken in the order of ranks while they fit
 into f times the class's words and what the classes before left over. So a long document that
 doesn't fit leaves its words to shorter ones. A second turn through the classes goes on
-where each stopped, with what is still left; a third gives documents another copy, where
-``most`` allows it. A source ends below its target, by less than the next document of any class.
+where each stopped, with what is still left; the next ones give documents another copy, as far
+as ``most`` allows. A source ends below its target, by less than the next document of any class.
 
 Ranks are cut at slices of their scale, ``slices`` a class; all documents of a slice are taken
 or none (few slices hold more than one, and those are small parts of their class).
@@ -110,7 +110,7 @@ def mixing_plan(
     preference: str | None = None,
 ) -> DataFrame:
     """One row a source: source_size, target, whole copies, f, and ``cuts``: for each class
-    its words and squares and the last slice that is taken, and the last one taken again.
+    its words and squares, and for each copy that the sample can give the last slice that gets it.
 
     ``preference``: column of a factor on a document's inclusion odds.
     """
@@ -137,15 +137,17 @@ def mixing_plan(
     first = cells.withColumn("left", F.lit(0.0)).withColumn("turn", F.expr(_turn("(s.left + f * c.words)")))
     second = first.withColumn("left", F.col("turn.left")).withColumn("classes", F.expr(with_taken))
     second = second.withColumn("turn", F.expr(_turn("(s.left + c.taken)")))
-    third = second.withColumn("left", F.col("turn.left")).withColumn("classes", F.expr(with_taken))
-    again = F.expr(_turn("s.left"))
-    none = F.expr("transform(classes, c -> 0L)")
-    third = third.withColumn("more", F.when(F.col("whole") + 2 <= most, again["taken"]).otherwise(none))
+    done = second.withColumn("left", F.col("turn.left")).withColumn("classes", F.expr(with_taken)).drop("turn")
+    turns = range(2, most + 1)  # the copy that a turn gives
+    for i in turns:
+        done = done.withColumn(f"turn{i}", F.when(F.col("whole") + i <= most, F.expr(_turn("s.left"))))
+        done = done.withColumn("left", F.coalesce(F.col(f"turn{i}.left"), "left"))
     last = "coalesce(array_max(transform(filter(c.cells, x -> x.upto <= {t}), x -> x.slice)), -1L)"
-    cuts = third.select(
+    again = ", ".join(last.format(t=f"coalesce(turn{i}.taken[i], 0L)") for i in turns)
+    cuts = done.select(
         F.col("source").alias("with_cuts"),
         F.expr(f"""map_from_entries(transform(classes, (c, i) -> struct(c.class, named_struct(
-            'words', c.words, 'squares', c.squares, 'last', {last.format(t="c.taken")}, 'again', {last.format(t="more[i]")}))))""").alias("cuts"),
+            'words', c.words, 'squares', c.squares, 'last', array({", ".join([last.format(t="c.taken"), again])})))))""").alias("cuts"),
     )
     return written(
         plan.join(cuts, F.col("source").eqNullSafe(F.col("with_cuts")), "left").select("source", "source_size", "target", "whole", "f", "cuts"),
@@ -165,8 +167,9 @@ def with_copies(
     rows = rows.join(small_side(plan), F.col("of").eqNullSafe(F.col("source")))
     rows = rows.withColumn("cut", F.col("cuts")[F.col("class")])
     rows = rows.select("*", F.col("cut.words").alias("words"), F.col("cut.squares").alias("squares")).withColumn("slice", _slice(slices))
-    taken = lambda name: F.coalesce((F.col("slice") <= F.col(f"cut.{name}")).cast("long"), F.lit(0))
-    return rows.withColumn("copies", F.col("whole") + taken("last") + taken("again")).select("doc", "size", "source_size", "target", "copies")
+    taken = F.size(F.filter("cut.last", lambda x: F.col("slice") <= x))
+    sampled = F.when(F.col("cut").isNotNull(), taken).otherwise(0).cast("long")
+    return rows.withColumn("copies", F.col("whole") + sampled).select("doc", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -218,7 +221,7 @@ cells AS MATERIALIZED (
   SELECT source, class, list(upto ORDER BY slice) AS uptos, list(slice ORDER BY slice) AS slices
   FROM (SELECT source, class, slice, CAST(sum(sum(size)) OVER (PARTITION BY source, class ORDER BY slice) AS BIGINT) AS upto FROM sliced GROUP BY source, class, slice)
   GROUP BY source, class),
--- the classes of a source from the largest, three times
+-- the classes of a source from the largest, once a turn
 grid AS MATERIALIZED (
   SELECT c.source, c.class, c.f * c.words AS share, uptos, slices, c.whole,
          row_number() OVER (PARTITION BY c.source ORDER BY c.class DESC) AS k, count(*) OVER (PARTITION BY c.source) AS n
@@ -232,15 +235,14 @@ steps AS (
         SELECT r.source, r.step, r.taken, g.uptos,
                CASE WHEN r.step < g.n THEN r.remaining + g.share WHEN r.step < 2 * g.n THEN r.remaining + r.taken[r.step + 1 - g.n] ELSE r.remaining END AS bound
         FROM r JOIN grid g ON r.source IS NOT DISTINCT FROM g.source AND g.k = r.step % g.n + 1
-        WHERE r.step < CASE WHEN g.whole + 2 <= {MOST_COPIES} THEN 3 ELSE 2 END * g.n)))
+        WHERE r.step < (1 + greatest(1, {MOST_COPIES} - g.whole)) * g.n)))
   SELECT source, arg_max(taken, step) AS taken FROM r GROUP BY source),
 cuts AS (
-  SELECT g.source, g.class,
-         coalesce(list_max([z[2] FOR z IN list_zip(uptos, slices) IF z[1] <= taken[n + k]]), -1) AS last,
-         coalesce(list_max([z[2] FOR z IN list_zip(uptos, slices) IF z[1] <= coalesce(taken[2 * n + k], 0)]), -1) AS again
+  SELECT g.source, g.class, list_transform(range(1, {MOST_COPIES} + 1), lambda t:
+         coalesce(list_max([z[2] FOR z IN list_zip(uptos, slices) IF z[1] <= coalesce(taken[t * n + k], 0)]), -1)) AS last
   FROM grid g JOIN steps s ON g.source IS NOT DISTINCT FROM s.source)
 SELECT d.doc_id, d.size, p.source_size, p.target,
-       CAST(d.size * (p.whole + CASE WHEN x.slice <= c.last THEN 1 ELSE 0 END + CASE WHEN x.slice <= c.again THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(d.size * (p.whole + coalesce(len(list_filter(c.last, lambda t: x.slice <= t)), 0)) AS BIGINT) AS taken
 FROM (SELECT row_number() OVER () AS row, * FROM docs) d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source
 LEFT JOIN (SELECT DISTINCT source, class, doc_id, size, slice FROM sliced) x
   ON d.source IS NOT DISTINCT FROM x.source AND d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.size = x.size
