@@ -9,8 +9,10 @@ the one that leaves. With n_c characters of kind c in a window of w,
     w * H = w * log2(w) - sum(n_c * log2(n_c)),
 
 so a step adds and subtracts two terms of a table (``n * log2(n)`` in units of
-2^-20 bits, whole numbers, so the sum doesn't drift). Windows that reach the
-class's bits are hot; overlapping hot windows are one span. A span is left out
+2^-20 bits, whole numbers, so the sum doesn't drift). The two counts of a step are those of
+one character among the window's others, so a run costs its length times the window's
+width, and no more. Windows that reach the class's bits are hot; overlapping hot
+windows are one span. A span is left out
 if its text is on the allow-list (``ALLOWED``) or it lies within a base span.
 
 Offsets count code points, the end is exclusive. Matches are found from left
@@ -106,30 +108,33 @@ def _base(kind: str) -> Column:
     return F.expr(_when(HINTS[kind], found, SPAN))
 
 
+# a span that no further window can join is put with the others, once
+CLOSED = "IF(a.end >= 0, concat(a.closed, array(struct(a.start AS start, a.end AS end))), a.closed) AS closed"
+
+
 def _hot(kind: str) -> Column:
     """Spans of hot windows, before the allow-list, with their text."""
     characters, width, bits = CLASSES[kind]
-    table_of = f"array({', '.join(f'{t}L' for t in terms(width + 1))})"  # one enters before one leaves
-    code = f"(locate(substr(r.hit, i, 1), {_quoted(characters)}) - 1)"
-    gone = f"(locate(substr(r.hit, i - {width}, 1), {_quoted(characters)}) - 1)"
+    table_of = f"array({', '.join(f'{t}L' for t in terms(width))})"
     least = round((width * math.log2(width) - bits * width) * UNIT)
-    # step 1: the character at i enters (its count is n); step 2: the one at i - width leaves
-    enter = f"a.total + {table_of}[a.n[{code}] + 1] - {table_of}[a.n[{code}]]"
-    enters = f"transform(a.n, (v, k) -> v + IF(k = {code}, 1, 0))"
-    leave = f"b.total + IF(i > {width}, {table_of}[b.n[{gone}] - 1] - {table_of}[b.n[{gone}]], 0L)"
-    leaves = f"IF(i > {width}, transform(b.n, (v, k) -> v - IF(k = {gone}, 1, 0)), b.n)"
-    window = f"struct(r.start + i - {width} AS start, r.start + i AS end)"
-    joined = f"""CASE WHEN NOT (i >= {width} AND c.total <= {least}L) THEN c.hot
-        WHEN size(c.hot) > 0 AND c.hot[size(c.hot) - 1].end >= r.start + i - {width}
-        THEN concat(slice(c.hot, 1, size(c.hot) - 1), array(struct(c.hot[size(c.hot) - 1].start AS start, r.start + i AS end)))
-        ELSE concat(c.hot, array({window})) END"""
     one = "transform(array({}), {} -> {})[0]"  # names a value within an expression
+    # the character at i enters a window of which width - 1 are left; the one that left had as many
+    # equals among the width - 1 after it
+    near = f"size(filter(slice(codes, greatest(1, i - {width - 1}), least({width - 1}, i - 1)), x -> x = codes[i - 1]))"
+    after = f"size(filter(slice(codes, i - {width - 1}, {width - 1}), x -> x = codes[i - {width + 1}]))"
+    enter = one.format(near, "n", f"{table_of}[n + 1] - {table_of}[n]")
+    leave = one.format(after, "n", f"{table_of}[n] - {table_of}[n + 1]")
+    steps = f"transform(sequence(1, char_length(r.hit)), i -> {enter} + IF(i > {width}, {leave}, 0L))"
+    window = f"r.start + i - {width}"
     step = one.format(
-        f"struct(a.hot AS hot, {enters} AS n, {enter} AS total)", "b",
-        one.format(f"struct(b.hot AS hot, {leaves} AS n, {leave} AS total)", "c", f"struct({joined} AS hot, c.n AS n, c.total AS total)"),
+        "a.total + steps[i - 1]", "total",
+        f"""CASE WHEN NOT (i >= {width} AND total <= {least}L) THEN struct(total AS total, a.start AS start, a.end AS end, a.closed AS closed)
+            WHEN a.end >= {window} THEN struct(total AS total, a.start AS start, r.start + i AS end, a.closed AS closed)
+            ELSE struct(total AS total, {window} AS start, r.start + i AS end, {CLOSED}) END""",
     )
-    start = f"struct(CAST(array() AS array<struct<start:int,end:int>>) AS hot, array_repeat(0, {len(characters)}) AS n, 0L AS total)"
-    hot = f"aggregate(sequence(1, char_length(r.hit)), {start}, (a, i) -> {step}, a -> a.hot)"
+    start = "struct(0L AS total, -1 AS start, -1 AS end, CAST(array() AS array<struct<start:int,end:int>>) AS closed)"
+    hot = f"aggregate(sequence(1, char_length(r.hit)), {start}, (a, i) -> {step}, a -> struct({CLOSED}).closed)"
+    hot = one.format("split(r.hit, '')", "codes", one.format(steps, "steps", hot))
     runs = _found(run_pattern(characters, width), 2)
     spans = f"flatten(transform({runs}, r -> transform({hot}, h -> struct(h.start AS start, {KINDS.index(kind)} AS kind, h.end AS end))))"
     return F.expr(_when(run_pattern(characters, width), spans, SPAN))
@@ -145,9 +150,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` as ``doc``, with ``base`` and ``added``: arrays of (start, kind, end), kind an index into ``KINDS``."""
     rows = docs.select(F.struct(*docs.columns).alias("doc"), text_of(text).alias("text"))
     rows = rows.withColumn("base", F.concat(*[_base(k) for k in BASE]))
-    inside = lambda s: F.exists("base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
+    inside = lambda s, spans: F.exists(spans, lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
     content = lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
-    added = F.filter(F.concat(*[_hot(k) for k in CLASSES]), lambda s: ~inside(s) & ~F.rlike(content(s), F.lit(ALLOWED)))
+    # the base spans are named outside of the filter, so they are found once a text and not once a span
+    hot = F.concat(*[_hot(k) for k in CLASSES])
+    added = F.get(F.transform(F.array("base"), lambda b: F.filter(hot, lambda s: ~inside(s, b) & ~F.rlike(content(s), F.lit(ALLOWED)))), F.lit(0))
     return rows.withColumn("added", added).select("doc", "base", "added")
 
 

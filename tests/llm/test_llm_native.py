@@ -111,3 +111,20 @@ def test_share_that_is_boilerplate(spark, pages, copies, gone):
     got = line_dedup.line_dedup(rows.unionByName(rest))
     dropped = got.where("n_dropped > 0").count()
     assert dropped == (copies if gone else 0)
+
+
+def test_long_runs_and_many_matches_cost_their_length(spark):
+    import random
+    import string
+    import time
+
+    rng = random.Random(1)
+    letters = string.ascii_letters + string.digits
+    run = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    scan = lambda text: secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.size("added")).first()[0]
+    scan("warm up")
+    for size, seconds in ((16_000, 5), (160_000, 50)):
+        for text in (run(size), "a" * size, " ".join(run(30) for _ in range(size // 31))):
+            began = time.time()
+            scan(text)
+            assert time.time() - began < seconds, (size, text[:40])
