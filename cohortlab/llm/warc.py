@@ -9,7 +9,7 @@ writer ends each row with a zero byte: a member of less than 16 MB ends with
 one (the top byte of its size), which is therefore left to the writer; after
 larger members it is padding, which gzip readers skip.
 
-Reader. A task scans its byte range for the gzip magic (the delimiter of the
+Reader. Files are cut into byte ranges whatever they are named (``byte_ranges``). A task scans its byte range for the gzip magic (the delimiter of the
 input format); what begins after a magic inside the range is its own, read to
 the next magic even if that lies beyond the range. A magic can also occur by
 chance inside compressed data, so each candidate is validated: it is a member
@@ -34,6 +34,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -163,12 +164,35 @@ class Assembler:
             self.open = None
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record (``RECORD``). Payloads are read, checked and digested, not returned."""
-    ranges = (
-        spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
-        .select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    )
+def byte_ranges(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """((piece, file, block) cut at the magic; names of files by what ``file`` calls them).
+
+    Spark inflates and doesn't split what is named ``.gz``. Such files are read
+    by another name: a mount table of this one read (options of the reader reach Hadoop's
+    configuration on the driver and in tasks) links a number to each of them.
+    """
+    reader = lambda: spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1"))
+    files = reader().text(path).inputFiles()  # a listing, no job
+    zipped = [f for f in files if re.search(r"\.(gz|deflate|bz2|zst|lz4|snappy)$", f)]
+    if not zipped:
+        return _pieces(reader().text(path)), {}
+    mount = f"warc{uuid.uuid4().hex}"
+    linked = reader()
+    for i, f in enumerate(zipped):
+        linked = linked.option(f"fs.viewfs.mounttable.{mount}.link./{i}", f)
+    names = {f"viewfs://{mount}/{i}": f for i, f in enumerate(zipped)}
+    ranges, others = _pieces(linked.text(list(names))), [unquote(f) for f in sorted(set(files) - set(zipped))]
+    return (ranges.unionByName(_pieces(reader().text(others))) if others else ranges), names
+
+
+def _pieces(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def read_archives(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row a record (``RECORD``). Payloads are read, checked and digested, not
+    returned. Files may have any name; those named ``.warc.gz`` are split like others."""
+    ranges, names = byte_ranges(spark, path)
     schema = f"{RECORD}, {PIECE}"
     record, piece = [x.split()[0] for x in RECORD.split(",")], [x.split()[0] for x in PIECE.split(",")]
 
@@ -183,7 +207,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             records, lost = [], []
             for x, file, block in zip(*[b.column(c) for c in ("piece", "file", "block")]):
-                here = (file.as_py(), block.as_py())
+                here = (names.get(file.as_py(), file.as_py()), block.as_py())
                 if here != at:
                     members.close()
                     lost += [(*at, *m) for m in members.lost] if at else []
