@@ -134,13 +134,14 @@ def mixing_plan(
         F.sort_array(F.collect_list(F.struct("class", "words", "squares", "cells")), asc=False).alias("classes"))
     cells = cells.join(plan.select(F.col("source").alias("of"), "whole"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     with_taken = "transform(classes, (c, i) -> named_struct('class', c.class, 'words', c.words, 'squares', c.squares, 'cells', c.cells, 'taken', turn.taken[i]))"
-    first = cells.withColumn("left", F.lit(0.0)).withColumn("turn", F.expr(_turn("(s.left + f * c.words)")))
-    second = first.withColumn("left", F.col("turn.left")).withColumn("classes", F.expr(with_taken))
-    second = second.withColumn("turn", F.expr(_turn("(s.left + c.taken)")))
-    done = second.withColumn("left", F.col("turn.left")).withColumn("classes", F.expr(with_taken)).drop("turn")
+    # each turn is written (a row a source): a fold that a later expression took up would be folded anew for each of its uses
+    done = cells.withColumn("left", F.lit(0.0))
+    for bound in ("(s.left + f * c.words)", "(s.left + c.taken)"):
+        done = written(done.withColumn("turn", F.expr(_turn(bound))), "mix_turn")
+        done = written(done.withColumn("left", F.col("turn.left")).withColumn("classes", F.expr(with_taken)).drop("turn"), "mix_turn")
     turns = range(2, most + 1)  # the copy that a turn gives
     for i in turns:
-        done = done.withColumn(f"turn{i}", F.when(F.col("whole") + i <= most, F.expr(_turn("s.left"))))
+        done = written(done.withColumn(f"turn{i}", F.when(F.col("whole") + i <= most, F.expr(_turn("s.left")))), "mix_turn")
         done = done.withColumn("left", F.coalesce(F.col(f"turn{i}.left"), "left"))
     last = "coalesce(array_max(transform(filter(c.cells, x -> x.upto <= {t}), x -> x.slice)), -1L)"
     again = ", ".join(last.format(t=f"coalesce(turn{i}.taken[i], 0L)") for i in turns)
