@@ -10,7 +10,9 @@ states and place among the words: a block of more than ALONE ids is decoded by
 segments in separate tasks, and their ids are put together afterwards, since a
 document's ids are one row. Checksums cover the table, the block and the decoded ids.
 
-Files are Parquet, written and read by Spark in any store, one row a block:
+Files are Parquet, written and read by Spark in any store. Beside the blocks, in the
+folder ``_table``, stands the table (id, slots), a row an id: whoever has the folder can
+decode it. One row a block:
 part and first (ids before it in its part; the order of the ids), n_tokens, and
 payload, the block in the format below. The documents are in ascending doc_id
 order over all parts (nulls first, then by text). Texts are tokenized once, the
@@ -21,9 +23,11 @@ doc_ids, lanes, checkpoints, words (u4 each); doc_ids (i8); ids a document
 (u8); checkpoints: words before (u8) and states (u8 a lane); words (u4);
 checksum of the decoded ids, checksum of all before it (u4 each).
 
-The ids come from the tokenizers library. White space always ends a token of
-the given vocabulary and is dropped, so the library is asked for a string
-between spaces or line breaks, and its answer remembered (within bounds).
+The ids come from the tokenizers library. If white space always ends a token of the
+vocabulary and is dropped, the library is asked for a string between spaces or line
+breaks, and its answer remembered (within bounds). Whether that and the short cut for
+plain words hold is read from the tokenizer's file (its normalizer and its
+splitting) and tried on PROBES; a tokenizer of another kind gets whole texts.
 
 Cases. Null text: only the end id; empty text likewise. Null doc_ids come first;
 equal doc_ids follow each other. No rows: no blocks. Other columns aren't read.
@@ -32,6 +36,7 @@ An id that the table lacks is an error (the table is counted from the same rows)
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -58,6 +63,7 @@ CHECKPOINT = 1 << 17
 ALONE = 2 * CHECKPOINT  # a block with more ids is decoded in segments, in separate tasks
 LOW = np.uint64(1 << 32)  # a state is at least this between steps
 MAGIC = 0x31534E72
+PROBES = ("", " a  b ", "Two words\nA line", "It's x-ray, (ok)!! 12.5%", "ÀÉÖ straße Ünï", "tab\there \r\n end", "中文 é́ ﬁ 😀", "a,b c;d ...")
 MOST_STRINGS = 600_000  # remembered strings of a worker
 MOST_PIECES = 1_000_000  # remembered pieces of a worker
 
@@ -91,6 +97,18 @@ class Ids:
         self.letters = str.maketrans({chr(k): v for k, v in byte_letters().items()})
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {"": b""}
+        self.by_word = self._splits_words(path)
+
+    def _splits_words(self, path: str) -> bool:
+        """Do the short cuts give what the library gives for whole texts?"""
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        parts = [kind["normalizer"], *(kind["normalizer"] or {}).get("normalizers", []), kind["pre_tokenizer"], *(kind["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        kinds = {p["type"] for p in parts if p}
+        if not {"Lowercase", "Split", "ByteLevel"} <= kinds or kind["model"]["type"] != "BPE" or kind["model"].get("ignore_merges"):
+            return False
+        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        return all(b"".join(map(self._ids, t.replace("\n", " ").split(" "))) == whole(t) for t in PROBES)
 
     def forget(self) -> None:
         """Empty what is remembered beyond its bounds: workers outlive their tasks."""
@@ -120,6 +138,8 @@ class Ids:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
+        if not self.by_word:
+            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         self.forget()
         out, known = [], self.known
         for text in texts:
@@ -144,6 +164,19 @@ def load(path: str) -> Ids:
 class Table:
     """Slots by id: ``freq``, where they begin (``cum``), and the id of a slot."""
 
+    @classmethod
+    def from_slots(cls, slots: dict[int, int], bits: int = BITS, checksum: int | None = None) -> Table:
+        """The table with exactly these slots, as stored beside the blocks."""
+        t = cls({}, bits)
+        ids = np.array(sorted(slots), np.int64)
+        if len(ids):
+            t.freq = np.zeros(int(ids[-1]) + 1, np.uint64)
+            t.freq[ids] = [slots[i] for i in ids.tolist()]
+        t._finish(int(ids[np.argmax(t.freq[ids])]) if len(ids) else 0)
+        if checksum is not None and checksum != t.checksum:
+            raise ValueError("the table's checksum is wrong")
+        return t
+
     def __init__(self, counts: dict[int, int], bits: int = BITS) -> None:
         if len(counts) >= 1 << bits:
             raise ValueError(f"{len(counts)} different ids don't fit {bits} bits")
@@ -157,9 +190,13 @@ class Table:
             share[np.argmax(n)] += (1 << bits) - 1 - share.sum()
             freq[ids] = share.astype(np.uint64)
         self.freq = freq
+        self._finish(int(ids[np.argmax(n)]) if len(ids) else 0)
+
+    def _finish(self, common: int) -> None:
+        freq = self.freq
         self.cum = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64) if len(freq) else freq
         self.ids = np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64))
-        self.common = int(ids[np.argmax(n)]) if len(ids) else 0
+        self.common = common  # fills up the last step; any id will do
         self.checksum = zlib.crc32(freq.astype("<u4").tobytes())
 
 
@@ -324,6 +361,15 @@ def write_ids(tokens: DataFrame, out: str, t: Table, block: int = BLOCK) -> None
     bounded_batches(tokens.sparkSession)
     blocks = tokens.select("doc_id", "part", "first", "ids").mapInArrow(encode, "part long, first long, n_tokens long, payload binary")
     blocks.write.option("compression", "none").option("parquet.block.size", str(16 << 20)).parquet(out)
+    some = np.flatnonzero(t.freq)
+    slots = pa.table({"id": pa.array(some), "slots": pa.array(t.freq[some].astype(np.int64)), "bits": pa.array(np.full(len(some), t.bits, np.int32)), "checksum": pa.array(np.full(len(some), t.checksum, np.int64))})
+    tokens.sparkSession.createDataFrame(slots).coalesce(1).write.parquet(f"{out}/_table")
+
+
+def read_table(spark: SparkSession, path: str) -> Table:
+    """The table beside the blocks: a row an id of the vocabulary."""
+    rows = spark.read.schema("id long, slots long, bits int, checksum long").parquet(f"{path}/_table").collect()
+    return Table.from_slots({r["id"]: r["slots"] for r in rows}, rows[0]["bits"], rows[0]["checksum"]) if rows else Table({})
 
 
 def _then_none(batches: Iterator) -> Iterator:
@@ -365,8 +411,10 @@ def decoded_segments(blocks: DataFrame, t: Table) -> DataFrame:
     return rows.repartition(shuffle_parts(spark), "part", "first", "k").mapInArrow(decode, DECODED)
 
 
-def read_ids(spark: SparkSession, path: str, t: Table) -> DataFrame:
-    """(doc_id, start, ids): ids as little-endian unsigned 32-bit integers, start counts all ids before."""
+def read_ids(spark: SparkSession, path: str, t: Table | None = None) -> DataFrame:
+    """(doc_id, start, ids): ids as little-endian unsigned 32-bit integers, start counts
+    all ids before. Without ``t`` the table is read from the folder."""
+    t = t or read_table(spark, path)
     blocks = spark.read.parquet(path)
     before, total, most = {}, 0, 0
     for r in sorted(blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("most")).collect()):  # a row a part
@@ -421,5 +469,5 @@ def op6_token_files(spark, sf_dir: str, tokenizer: str | None = None) -> DataFra
     t = Table(count_ids(tokens))
     path = scratch_path(spark, "token_files")
     write_ids(tokens, path, t)
-    rows = read_ids(spark, path, t)
+    rows = read_ids(spark, path)
     return rows.select("doc_id", "start", F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
