@@ -30,7 +30,7 @@ from ..operators.scenario import load_scenario
 from ..operators.sinks import audit_counts, create_or_append, ensure_database, preview_frame, write_result
 from ..sources.fixtures import LATEST_SCENARIO, scenario_config, fixture_inputs
 from ..sources.schemas import COHORT_COLUMNS, CRITERION_COLUMNS, PAIR_COLUMNS
-from ..sources.tables import ClaimInputs, read_result
+from ..sources.tables import ClaimInputs, read_config, read_result
 from ..spec import SOURCE_TAGS
 from . import oracle as O
 from .materialize import RunScratch
@@ -289,11 +289,11 @@ def q_scan_results(spark, sf_dir):
 
 def _stored(spark, sf_dir, key: str, database: str = "", scenarios: tuple = (None,), mode: str = "auto"):
     s = _Tables(spark, key)
-    tables = s.results(database)
+    tables, stored = s.results(database), f"{s.scratch.path}/config.parquet"
+    scenario_config(spark).write.parquet(stored)
+    config = read_config(spark, stored)
     for name in scenarios:
-        done = write_scenario(
-            spark, fixture_inputs(spark, sf_dir), scenario_config(spark), tables, mode, name, AS_OF_YEAR, root=s.scratch.path,
-        )
+        done = write_scenario(spark, fixture_inputs(spark, sf_dir), config, tables, mode, name, AS_OF_YEAR, root=s.scratch.path)
     return tables, done
 
 
