@@ -238,6 +238,8 @@ def passages(docs: DataFrame, m: Model) -> DataFrame:
     of = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("evalue", pa.float64())]))
     names = docs.columns
     place = names.index("text")
+    longest = "_" * (max(map(len, names)) + 1)  # no column is named so
+    own = [f"{longest}score", f"{longest}passages"]
 
     def score(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -247,13 +249,13 @@ def passages(docs: DataFrame, m: Model) -> DataFrame:
                 [{"first": a, "last": z, "score": s, "evalue": m.k * max(n, 1) * math.exp(-s)} for a, z, s in x if m.k * max(n, 1) * math.exp(-s) < LEAST_EVALUE]
                 for n, x in found
             ]
-            doc = pa.StructArray.from_arrays(b.columns, names)
-            yield pa.RecordBatch.from_arrays([doc, pa.array(m.probability(x)), pa.array(good, of)], ["doc", "score", "passages"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.probability(x)), pa.array(good, of)], [*names, *own])
 
     bounded_batches(docs.sparkSession)
     passage = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("evalue", T.DoubleType())])
-    kind = T.StructType([T.StructField("doc", docs.schema), T.StructField("score", T.DoubleType()), T.StructField("passages", T.ArrayType(passage))])
-    return docs.mapInArrow(score, kind)
+    kind = T.StructType([*docs.schema.fields, T.StructField(own[0], T.DoubleType()), T.StructField(own[1], T.ArrayType(passage))])
+    doc = F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc")
+    return docs.mapInArrow(score, kind).select(doc, F.col(own[0]).alias("score"), F.col(own[1]).alias("passages"))
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
