@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import scratch_path
-from .common import small_side, table, written
+from .common import bounded_batches, small_side, table, written
 
 # Fixed values of the formats.
 MAGIC = b"\x1f\x8b\x08"
@@ -104,6 +104,7 @@ def write_archives(pages: DataFrame, path: str, level: int = 6) -> None:
                 out = [page_member(p, u, x, r, r is None, level) for p, u, x, r in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
+    bounded_batches(pages.sparkSession)
     out = with_originals(pages).mapInArrow(members, "member binary")
     out.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
 
@@ -240,6 +241,7 @@ def read_archives(spark: SparkSession, path: str | list[str]) -> DataFrame:
         out += [(pdf["file"].iloc[0], "damaged", None, None, None, None, len(x), None) for _, x in members.lost]
         return pd.DataFrame(out, columns=record)
 
+    bounded_batches(spark)
     found = written(ranges.mapInArrow(scan, schema), "warc_records")
     whole = found.where(F.col("piece").isNull()).select(*record)
     torn = found.where(F.col("piece").isNotNull()).select("file", *piece)

@@ -46,3 +46,19 @@ def test_names_make_no_difference(spark, tmp_path, size):
     assert seen == {f"part%20{i}.warc.gz" for i in range(len(files))}
     with gzip.open(tmp_path / "gz" / "part 0.warc.gz") as f:
         assert f.read().startswith(b"WARC/")  # an ordinary archive
+
+
+def test_few_rows_go_to_python_at_once(spark, tmp_path):
+    """Rows are whole pages and whole members: a batch of them is bounded in the writer and the reader."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    pages = spark.createDataFrame([(i, "u", "x" * i) for i in range(700)], "page_id long, url string, html string")
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        warc.write_archives(pages.coalesce(1), str(tmp_path / "w"))
+        assert int(spark.conf.get(key)) <= 256
+        spark.conf.set(key, "10000")
+        assert warc.read_archives(spark, str(tmp_path / "w")).where("warc_type != 'warcinfo'").count() == 700
+        assert int(spark.conf.get(key)) <= 256
+    finally:
+        spark.conf.set(key, before)
